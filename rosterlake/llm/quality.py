@@ -24,7 +24,7 @@ from .common import fresh, saved
 
 STATISTICS = (
     "log_bytes", "log_words", "letters", "capitals", "digits", "blanks", "other_bytes", "sentence_marks", "quotes",
-    "symbols", "bars", "exclamations", "line_ends", "word_length", "word_spread", "long_words", "symbol_words", "capital_words",
+    "symbols", "bars", "exclamations", "line_ends", "word_length", "word_spread", "long_words", "symbol_words", "capital_words", "repeated_words", "alternating_words",
 )
 _GRID = 4096.0  # features are rounded to multiples of 1/4096, so that their sums are exact in any order of adding up
 
@@ -51,27 +51,35 @@ def statistics(column: pa.Array) -> np.ndarray:
     for a, b in W.slices(column):
         data, at = W.text_bytes(column.slice(a, b - a))
         size = np.diff(at)
-        start, end, _, first = W.scan(data, at, W.BLANKS)
+        start, end, word, first = W.scan(data, at, W.BLANKS)
         n_words = np.diff(first)
 
         def per_row(flags: np.ndarray, edges: np.ndarray = at) -> np.ndarray:
             sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
             return np.diff(sums[edges]).astype(float)
 
-        some, some_words = np.maximum(size, 1), np.maximum(n_words, 1)
+        # Shares lean towards 0, and means towards a usual value, where a text is too short to tell.
+        some, some_words = size + 20, n_words + 4
         counts = [per_row(_CLASSES[i][data]) for i in range(8)]
         bar, mark, line = (per_row(data == c) for c in b"|!\n")
         length = (end - start).astype(float)
-        mean = per_row_float(length, first) / some_words
+        mean = (per_row_float(length, first) + 4 * 5) / some_words
         spread = np.sqrt(np.maximum(0, per_row_float(length**2, first) / some_words - mean**2))
         odd = np.concatenate([[0], np.cumsum(_CLASSES[7][data] | (data == 33), dtype=np.int64)])
         caps = np.concatenate([[0], np.cumsum(_CLASSES[1][data], dtype=np.int64)])
         odd_words = per_row(odd[end] > odd[start], first) if len(start) else np.zeros(len(size))
         cap_words = per_row(caps[end] - caps[start] > 1, first) if len(start) else np.zeros(len(size))
+        again = []
+        for back in (1, 2):
+            same = np.zeros(len(word), bool)
+            same[back:] = word[back:] == word[:-back]
+            edge = (first[:-1, None] + np.arange(back)).ravel()
+            same[edge[edge < len(word)]] = False  # the first words of a row have none before them
+            again.append(per_row(same, first) if len(word) else np.zeros(len(size)))
         out[a:b] = np.stack([
             np.log1p(size) / 4, np.log1p(n_words) / 4, *(c / some for c in counts[:5]), counts[5] / some_words, counts[6] / some_words,
             counts[7] / some_words, bar / some_words, mark / some_words, line / some_words, mean / 10, spread / 10,
-            per_row(length > 20, first) / some_words, odd_words / some_words, cap_words / some_words,
+            per_row(length > 20, first) / some_words, odd_words / some_words, cap_words / some_words, *(x / some_words for x in again),
         ], axis=1)
     return out
 
@@ -99,8 +107,8 @@ class Model:
 
 def features(x: np.ndarray, directions: np.ndarray, phases: np.ndarray) -> np.ndarray:
     """Random cosines (their products approximate a Gaussian kernel), a constant, and x itself, all on a fixed grid."""
-    waves = np.cos(np.clip(x, -8, 8) @ directions + phases)
-    return np.round(np.concatenate([waves, np.ones((len(x), 1)), np.clip(x, -8, 8) / 8], axis=1) * _GRID) / _GRID
+    waves = np.cos(np.clip(x, -4, 4) @ directions + phases)
+    return np.round(np.concatenate([waves, np.ones((len(x), 1)), np.clip(x, -4, 4) / 4], axis=1) * _GRID) / _GRID
 
 
 def isotonic(x: np.ndarray, positives: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
