@@ -16,6 +16,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,9 @@ BUCKETS, ROWS, BANDS = 256, 6, 42
 _ZERO_BITS, _MANTISSA = 6, 10
 _EMPTY = np.uint16(0xFFFF)
 _U = np.uint64
-_SMALL = 12  # a band group of so many rows is compared in full when links leave it in parts
+_SMALL = 12  # a band group of so many rows is compared in full by a join when links leave it in parts
+_BLOCK = 2048  # sketches of a larger group that one task compares with as many others
+_TEXTS = 512  # texts of a component that one task compares with as many others
 
 
 def _orders() -> np.ndarray:
@@ -161,11 +164,91 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, slack: flo
     return both.mapInArrow(work, "a long, b long")
 
 
+def _block_pairs(apart: DataFrame, sketches: DataFrame, percent: int, floor: float) -> DataFrame:
+    """(a, b) of the pairs in apart(key, id, comp, size) whose components differ and whose registers leave them a chance.
+
+    A group is compared block by block on its registers, and only what may be similar comes out: each pair once, from the
+    first band that both share.
+    """
+    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(5)), blocks).cast("int")
+    rows = apart.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", "id", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sketches, "id")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        regs = np.frombuffer(b"".join(pdf["regs"]), dtype=np.uint16).reshape(len(pdf), BUCKETS)
+        ids, comp, n, side = (pdf[c].to_numpy() for c in ("id", "comp", "n", "own"))
+        i, j, key = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), np.int64(pdf["key"].iloc[0])
+        names, counts = np.unique(comp, return_counts=True)
+        main = comp == names[np.argmax(counts)]
+        index = np.arange(len(ids))
+        found = []
+        # Rows of the main component meet only rows outside it, so the work is the rest times the group.
+        for x in np.flatnonzero(~main):
+            others = (comp != comp[x]) & ((side != side[x]) if i != j else True) & (main | (index > x))
+            others &= percent * np.maximum(n, n[x]) <= 100 * np.minimum(n, n[x])
+            y = np.flatnonzero(others)
+            y = y[estimate(regs[y], regs[x][None]) >= floor]
+            if len(y):
+                found.append(np.stack([np.full(len(y), x), y]))
+        if not found:
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        x, y = np.concatenate(found, axis=1)
+        keys = band_keys(regs).view(np.int64)
+        first = np.concatenate([np.take_along_axis(keys[p], (keys[p] == keys[q]).argmax(axis=1)[:, None], 1)[:, 0] == key for p, q in ((x[c : c + 4096], y[c : c + 4096]) for c in range(0, len(x), 4096))])
+        a, b = ids[x[first]], ids[y[first]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _main_links(rest: DataFrame, comp: DataFrame, texts: DataFrame, k: int, percent: int, floor: float) -> DataFrame:
+    """(a, b): a link, if there is one, between each row of rest(id, main) and the members of component main.
+
+    A component meets the rows around it once, however many bands they share, in blocks of bounded size; what comes out is
+    at most one verified link for each row and block.
+    """
+    outside = saved(rest.distinct(), "outside")
+    inside = saved(comp.select("id", F.col("comp").alias("main")).distinct().join(outside.select("main").distinct(), "main", "left_semi").select("id", "main"), "inside")
+    count = lambda df, name: df.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / _TEXTS).cast("int").alias(name))
+    sizes = count(inside, "bi").join(count(outside, "bo"), "main")
+    place = lambda n: F.pmod(F.xxhash64("id", F.lit(6)), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = inside.join(sizes, "main").select("id", "main", F.lit(True).alias("member"), place("bi").alias("i"), spread("bo").alias("j"))
+    right = outside.join(sizes, "main").select("id", "main", F.lit(False).alias("member"), spread("bi").alias("i"), place("bo").alias("j"))
+    rows = left.unionByName(right).join(texts, "id").select("id", "main", "member", "i", "j", "n", "regs", "text")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        regs = np.frombuffer(b"".join(pdf["regs"]), dtype=np.uint16).reshape(len(pdf), BUCKETS)
+        ids, n, member, texts_ = pdf["id"].to_numpy(), pdf["n"].to_numpy(), pdf["member"].to_numpy(bool), pdf["text"].tolist()
+        known: dict[int, np.ndarray] = {}
+
+        def own(i: int) -> np.ndarray:
+            if i not in known:
+                data = np.frombuffer((texts_[i] or "").encode(), np.uint8)
+                _, _, h, first = W.scan(data, np.array([0, len(data)]), W.BLANKS)
+                known[i] = next(W.shingles(h, first, k))
+            return known[i]
+
+        inner, out = np.flatnonzero(member), []
+        for x in np.flatnonzero(~member):
+            y = inner[percent * np.maximum(n[inner], n[x]) <= 100 * np.minimum(n[inner], n[x])]
+            guess = estimate(regs[y], regs[x][None])
+            for z in y[np.argsort(-guess, kind="stable")[: int((guess >= floor).sum())]]:  # the likeliest first, all in the end
+                common = len(np.intersect1d(own(x), own(z), assume_unique=True))
+                if 100 * common >= percent * (n[x] + n[z] - common):
+                    out.append(sorted((ids[x], ids[z])))
+                    break
+        return pd.DataFrame(np.array(out, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return rows.groupBy("main", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def _pairs(left, right) -> list:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, slack: float = 0.15, rounds: int = 2) -> DataFrame:
+def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, slack: float = 0.12, rounds: int = 1) -> DataFrame:
     """(key, n_shingles, component_id, kept): groups of documents tied by links of at least percent similarity.
 
     A document's set is its distinct k-word shingles (blank-separated words, A-Z folded); with fewer words the whole
@@ -189,7 +272,7 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     banded = saved(bands.join(groups, "key"), "bands")
     wanted = banded.select("id").distinct()
     own_text = rows.filter("id IS NOT NULL").join(wanted, "id", "left_semi")
-    texts = saved(own_text.join(leaders.select("id", "regs"), "id"), "candidate-texts")
+    texts = saved(own_text.join(leaders.select("id", "n", "regs"), "id"), "candidate-texts")
 
     tested = saved(banded.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "tested")
     links = saved(_verify(tested, texts, k, percent, slack).distinct(), "links")
@@ -200,16 +283,21 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         comp = saved(banded.join(labels, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp")), "band-components")
         apart = comp.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
         apart = comp.join(apart, "key", "left_semi")
-        # Small groups in full; large ones against a pivot that each group draws anew, until the last round takes the rest.
-        small = apart if last else apart.filter(F.col("size") <= _SMALL)
+        # Small groups in full; large ones against a pivot that each group draws, in the last round block by block.
+        small, large = apart.filter(F.col("size") <= _SMALL), apart.filter(F.col("size") > _SMALL)
         pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp"))).select(*_pairs(F.col("x.id"), F.col("y.id")))
-        if not last:
-            large = apart.filter(F.col("size") > _SMALL)
+        if last:
+            mains = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+            rest = saved(large.join(mains, "key").filter("comp <> main"), "band-rest")
+            every.append(saved(_main_links(rest.select("id", "main"), comp, texts, k, percent, percent / 100 - slack), "links"))
+            sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+            pairs = pairs.unionByName(_block_pairs(rest.drop("size", "main").join(sizes, "key"), texts.select("id", "n", "regs"), percent, percent / 100 - slack))
+        else:
             drawn = large.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("key", "id", F.lit(turn))).alias("p"))
             pairs = pairs.unionByName(large.join(drawn, "key").filter("comp <> p.comp").select(*_pairs(F.col("id"), F.col("p.id"))))
         new = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "tested")
         discard(comp)
-        if not new.isEmpty():
+        if last or not new.isEmpty():
             every.append(saved(_verify(new, texts, k, percent, slack).distinct(), "links"))
             tested = tested.unionByName(new)
             labels = saved(connected_components(reduce(DataFrame.unionByName, every)), "components")
