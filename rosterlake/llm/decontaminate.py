@@ -69,7 +69,7 @@ class WindowSet:
 
 
 def _scan_block(docs: DataFrame, text_at: int, names: list[str], schema: T.StructType, found) -> DataFrame:
-    """docs with the number of words, the spans hit (first and last word, first and last byte) and the items found."""
+    """docs without its text, with the number of words, the spans hit (first and last word, first and last byte) and the items found."""
 
     def search(batches):
         windows = found.value
@@ -85,10 +85,9 @@ def _scan_block(docs: DataFrame, text_at: int, names: list[str], schema: T.Struc
                     spans[a + row].append({"word": i - int(first[row]), "words": k, "byte": int(start[i] - at[row]), "end": int(end[i + k - 1] - at[row])})
             for own in spans:
                 own.sort(key=lambda s: (s["word"], s["words"]))
-            yield pa.RecordBatch.from_arrays(
-                [*(c for i, c in enumerate(batch.columns) if i != text_at or "_text" not in names), pa.array(n_words), pa.array(spans, _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                names=[*(c for i, c in enumerate(batch.schema.names) if i != text_at or "_text" not in names), *names[-3:]],
-            )
+            kept = [i for i in range(batch.num_columns) if i != text_at]
+            added = [pa.array(n_words), pa.array(spans, _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *added], names=[*(batch.schema.names[i] for i in kept), *names])
 
     return docs.mapInArrow(search, schema)
 
@@ -132,24 +131,25 @@ def find_contamination(
     size = windows.agg(F.coalesce(F.sum(F.octet_length("window") * 2 + F.octet_length("item") + 400), F.lit(0)).alias("b")).first()["b"]
     blocks = max(1, -(-size // max_set_bytes))
     names = [fresh(c, keep) for c in ("n_words", "spans", "items")]
-    slim = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("_text"))
-    schema = slim.drop("_text").schema.add(names[0], "long").add(names[1], T.ArrayType(T.StructType([T.StructField(x, T.LongType()) for x in ("word", "words", "byte", "end")]))).add(names[2], T.ArrayType(T.StringType()))
+    own_text, row, all_spans, all_items = (fresh(c, [*keep, *names]) for c in ("_text", "_row", "_s", "_i"))
+    slim = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias(own_text))
+    schema = slim.drop(own_text).schema.add(names[0], "long").add(names[1], T.ArrayType(T.StructType([T.StructField(x, T.LongType()) for x in ("word", "words", "byte", "end")]))).add(names[2], T.ArrayType(T.StringType()))
     out = None
     if blocks > 1:  # rows need a name under which the blocks' hits meet again
-        slim = saved(slim.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keep, "_text"), "decontaminate-rows")
-        schema = T.StructType([T.StructField("_row", T.LongType()), *schema.fields])
+        slim = saved(slim.withColumn(row, F.monotonically_increasing_id()).select(row, *keep, own_text), "decontaminate-rows")
+        schema = T.StructType([T.StructField(row, T.LongType()), *schema.fields])
     parts = []
     for b in range(blocks):
         own = windows if blocks == 1 else windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
         sent = spark.sparkContext.broadcast(WindowSet([(r["item"], r["window"]) for r in own.collect()]))  # at most max_set_bytes
-        parts.append(_scan_block(slim, len(slim.columns) - 1, ["_text", *names], schema, sent))
+        parts.append(_scan_block(slim, len(slim.columns) - 1, names, schema, sent))
     if blocks == 1:
         out = parts[0]
     else:
-        hits = reduce(DataFrame.unionByName, [p.filter(F.size(names[1]) > 0).select("_row", names[1], names[2]) for p in parts])
-        merged = hits.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list(names[1]))).alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(names[2])))).alias("_i"))
-        out = parts[0].drop(names[1], names[2]).join(merged, "_row", "left")
-        out = out.withColumns({names[1]: F.coalesce("_s", F.array().cast(_SPAN_TYPE)), names[2]: F.coalesce("_i", F.array().cast("array<string>"))}).drop("_row", "_s", "_i")
+        hits = reduce(DataFrame.unionByName, [p.filter(F.size(names[1]) > 0).select(row, names[1], names[2]) for p in parts])
+        merged = hits.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list(names[1]))).alias(all_spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list(names[2])))).alias(all_items))
+        out = parts[0].drop(names[1], names[2]).join(merged, row, "left")
+        out = out.withColumns({names[1]: F.coalesce(all_spans, F.array().cast(_SPAN_TYPE)), names[2]: F.coalesce(all_items, F.array().cast("array<string>"))}).drop(row, all_spans, all_items)
     hit = fresh("n_hit", keep)
     return out.withColumn(hit, _covered(F.col(names[1]))).withColumn(fresh("contaminated", keep), F.size(names[1]) > 0)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import discard, saved
+from .common import discard, fresh, saved
 from .components import connected_components
 
 BUCKETS, ROWS, BANDS = 256, 6, 42
@@ -313,7 +313,7 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with one document of each group: the one with the smallest key (of rows that share it, one). Columns as in docs."""
-    gone = similar_groups(docs, key=key, text=text, **options).filter("NOT kept").select(F.col(key).cast("long").alias("_gone")).distinct()
-    left = docs.join(gone, F.col(key).cast("long") == F.col("_gone"), "left_anti")
+    gone = similar_groups(docs, key=key, text=text, **options).filter("NOT kept").select(F.col(key).cast("long").alias(fresh("_gone", docs.columns))).distinct()
+    left = docs.join(gone, F.col(key).cast("long") == gone[gone.columns[0]], "left_anti")
     with_key = left.filter(F.col(key).isNotNull()).dropDuplicates([key])
     return with_key.unionByName(left.filter(F.col(key).isNull()))

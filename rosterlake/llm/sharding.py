@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import discard, fresh, saved
 
 LAW = "bytes"
+MOST_BINS = 1 << 16
 _TEXT_BITS = ~((1 << 20) - 1)
 
 
@@ -67,12 +68,14 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float, bin_rows: int
         total = int(below[-1])
         wanted = [total * s / shards for s in range(1, shards)]
         slack = tolerance * total / shards
-        heavy = set(np.flatnonzero(rows > bin_rows).tolist())
+        # The number of bins, which the driver holds and every task knows, stays bounded whatever the number of rows.
+        heavy = set(np.flatnonzero(rows > max(bin_rows, int(rows.sum()) // MOST_BINS)).tolist())
+        open_ = set()
         for w in wanted:
             i = int(np.clip(np.searchsorted(below, w, side="right") - 1, 0, len(rows) - 1))
             if min(w - below[i], below[i + 1] - w) > slack:
-                heavy.add(i)
-        finer = _cut(edges, heavy, ways)
+                open_.add(i)
+        finer = np.union1d(_cut(edges, heavy, 8), _cut(edges, open_, ways))
         if len(finer) == len(edges):
             break
         edges = finer
@@ -107,7 +110,7 @@ def shard_documents(
     matter to any column. An empty table gives an empty result; clashing names take a leading underscore.
     """
     keep = docs.columns if keep is None else keep
-    size, shard, slot, law, place, place_bin = (fresh(c, [*keep, *docs.columns]) for c in ("size", "shard", "slot", "law", "_key", "_bin"))
+    size, shard, slot, law, place, place_bin, b, s, f = (fresh(c, [*keep, *docs.columns]) for c in ("size", "shard", "slot", "law", "_key", "_bin", "_b", "_s", "_f"))
     rows = docs.select(
         *[F.col(c) for c in keep],
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1).cast("long").alias(size),
@@ -116,17 +119,17 @@ def shard_documents(
     keys = saved(rows.select(F.col(place).alias("key"), F.col(size).alias("size")), "shard-keys")
     edges, owner, first = find_splitters(keys, shards, tolerance, bin_rows)
     discard(keys)
-    by_bin = pd.DataFrame({"b": np.arange(len(owner)), "s": owner.astype(np.int32), "f": first})
+    by_bin = pd.DataFrame({b: np.arange(len(owner)), s: owner.astype(np.int32), f: first})
 
     @F.pandas_udf("long")
     def bin_of(k: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edges, k.to_numpy(), side="right") - 1)
 
     placed = rows.withColumn(place_bin, bin_of(F.col(place)))
-    known = F.broadcast(docs.sparkSession.createDataFrame(by_bin, "b long, s int, f long"))  # one row a bin; bins hold at least bin_rows / 64 rows or stem from the splitters
+    known = F.broadcast(docs.sparkSession.createDataFrame(by_bin, f"{b} long, {s} int, {f} long"))  # one row a bin, see MOST_BINS
     numbered = placed.withColumn(slot, F.row_number().over(Window.partitionBy(place_bin).orderBy(place, key, size)))
-    out = numbered.join(known, F.col(place_bin) == F.col("b"), "left")
-    return out.select(*[F.col(c) for c in keep], F.col(size), F.col("s").alias(shard), (F.col("f") + F.col(slot) - 1).alias(slot), F.lit(LAW).alias(law))
+    out = numbered.join(known, F.col(place_bin) == F.col(b), "left")
+    return out.select(*[F.col(c) for c in keep], F.col(size), F.col(s).alias(shard), (F.col(f) + F.col(slot) - 1).alias(slot), F.lit(LAW).alias(law))
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
