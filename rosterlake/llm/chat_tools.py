@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, running_totals, saved
+from .common import discard, running_totals, saved, text_batches
 
 
 def _is(value, kind: str) -> bool:
@@ -105,6 +105,7 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     Unknown dependencies, unknown tools, and arguments that are null, no JSON or against their schema are listed in errors;
     json then holds them as text. Empty tables are fine; further columns are ignored.
     """
+    text_batches(calls.sparkSession)
     call = F.struct(F.col("turn").cast("long").alias("turn"), F.col("name").cast("string").alias("name"), F.col("arguments").cast("string").alias("arguments"), F.array_sort(F.filter(F.coalesce("after", F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("after"))
     c = calls.filter("call_id IS NOT NULL").groupBy(F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("conv"), F.col("call_id").cast("string").alias("call_id"))
     c = saved(c.agg(F.min(call).alias("c"), F.count(F.lit(1)).alias("n_calls")).select("conv", "call_id", "c.*", "n_calls"), "chat-calls")

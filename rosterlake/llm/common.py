@@ -32,6 +32,16 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/rosterlake/{label}-{uuid.uuid4().hex}"
 
 
+def text_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Let Arrow batches of whole texts hold at most so many rows, so that tasks need little memory beside the JVM's.
+
+    The setting is the session's own and only ever made smaller.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet work table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

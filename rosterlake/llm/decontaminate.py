@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import fold_ascii, fresh, saved
+from .common import fold_ascii, fresh, saved, text_batches
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -127,6 +127,7 @@ def find_contamination(
     """
     keep = docs.columns if keep is None else keep
     spark = docs.sparkSession
+    text_batches(spark)
     windows = saved(item_windows(items, item, item_text, n), "windows")
     size = windows.agg(F.coalesce(F.sum(F.octet_length("window") * 2 + F.octet_length("item") + 400), F.lit(0)).alias("b")).first()["b"]
     blocks = max(1, -(-size // max_set_bytes))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import discard, fresh, saved
+from .common import discard, fresh, saved, text_batches
 from .components import connected_components
 
 BUCKETS, ROWS, BANDS = 256, 6, 42
@@ -106,7 +106,7 @@ def _sketch(docs: DataFrame, k: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             texts = batch.column(1)
-            for a, b in W.slices(texts, 1 << 20):
+            for a, b in W.slices(texts):
                 data, at = W.text_bytes(texts.slice(a, b - a))
                 _, _, h, first = W.scan(data, at, W.BLANKS)
                 sets = list(W.shingles(h, first, k))
@@ -150,7 +150,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, slack: flo
                 for c in (4, 5):
                     texts_ = batch.column(c).take(pa.array(rows))
                     sets = []
-                    for a, b in W.slices(texts_, 1 << 20):
+                    for a, b in W.slices(texts_):
                         data, at = W.text_bytes(texts_.slice(a, b - a))
                         _, _, h, first = W.scan(data, at, W.BLANKS)
                         sets += W.shingles(h, first, k)
@@ -257,6 +257,7 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     group, each with its own n_shingles, and all those with the smallest key are kept. Rows without a key link with nothing and have no
     component; they are kept. Equal sets link by definition. An empty table gives an empty result; other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     sketches = saved(_sketch(rows, k), "sketches")
     # Equal sets are one class, named by its smallest key; a class of very many rows is one row from here on.

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import fresh, saved
+from .common import fresh, saved, text_batches
 
 STATISTICS = (
     "log_bytes", "log_words", "letters", "capitals", "digits", "blanks", "other_bytes", "sentence_marks", "quotes",
@@ -174,6 +174,7 @@ def fit(train: DataFrame, *, waves: int = 192, gamma: float = 0.08, ridge: float
 
 def text_statistics(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The columns kept and stats, one pass over the texts."""
+    text_batches(docs.sparkSession)
     slim = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("_text"))
     schema = slim.drop("_text").schema.add("stats", T.ArrayType(T.DoubleType()))
     at = len(keep)
@@ -247,8 +248,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
 
     def judge(batches):
         for batch in batches:
-            stats = statistics(batch.column(at).cast(pa.string()))
-            good = np.round(model.score(stats), 9) >= threshold if model is not None else np.full(len(stats), mean >= threshold)
-            yield batch.filter(pa.array(good))
+            for a, b in W.slices(batch.column(at).cast(pa.string())):
+                part = batch.slice(a, b - a)
+                stats = statistics(part.column(at).cast(pa.string()))
+                good = np.round(model.score(stats), 9) >= threshold if model is not None else np.full(len(stats), mean >= threshold)
+                yield part.filter(pa.array(good))
 
     return docs.mapInArrow(judge, docs.schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, saved, work_path
+from .common import saved, text_batches, work_path
 
 #: The vocabulary's own split pattern and end-of-document id (fixed values of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -50,6 +50,7 @@ def write_token_files(docs: DataFrame, path: str, *, text: str = "text", ranks_p
     The writer puts bytes down as they are and ends each row with the line separator; that is the last byte of the
     end-of-document id, whose other byte ends the row. So the id's last byte must be ASCII. Null texts count as empty.
     """
+    text_batches(docs.sparkSession)
     head, tail = end_id.to_bytes(_WIDTH, "big")[:-1], end_id & 0xFF
     if not 0 < tail < 128:
         raise ValueError("the last byte of the end-of-document id must be ASCII and not 0")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, saved
+from .common import discard, saved, text_batches
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -162,6 +162,7 @@ def read_warc(spark: SparkSession, path: str, magic: str = MAGIC) -> DataFrame:
     Magic inside a payload, even a whole record, is no record of its own. Bytes that no record covers are passed over;
     what follows a broken record is lost to the chain, as it is to any reader that trusts Content-Length.
     """
+    text_batches(spark)
     raw = saved(pieces(spark, path, magic).mapInArrow(_candidates(magic.encode()), _CANDIDATE), "warc-candidates")
     order = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     bases = raw.groupBy("file", "split").agg(F.sum("size").alias("_s")).withColumn("base", F.coalesce(F.sum("_s").over(order), F.lit(0))).drop("_s")

@@ -64,7 +64,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return got, ends - ends[0]
 
 
-def slices(column: pa.Array, limit: int = 2 << 20):
+def slices(column: pa.Array, limit: int = 1 << 19):
     """Row ranges of at most so many bytes each, or one row."""
     _, ends = text_bytes(column)
     a, n = 0, len(ends) - 1
