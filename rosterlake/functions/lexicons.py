@@ -132,3 +132,30 @@ REMOTE = ["remote", "work from home", "wfh", "distributed", "anywhere"]
 ON_SITE = ["on-site", "on site", "office", "onsite"]
 LEADERSHIP = ["lead", "manager", "director", "head", "principal", "chief", "vp"]
 EDUCATION_PLACES = ["UNIVERSITY", "COLLEGE", "INSTITUTE", "SCHOOL"]
+
+COMPLETENESS = {"experience": (0.5, 3.0), "education": (0.5, 1.0), "skills": (0.1, 2.0), "projects": (0.3, 1.0)}
+EXPLANATIONS = {
+    "required": "Has %s out of %s required skills",
+    "nice": "Matches %s nice-to-have skills",
+    "matched": "Key matched skills: %s",
+    "missing": "Missing %s required skills: %s",
+    "fewer_years": "Has %s fewer years of experience than required",
+    "more_years": "Has %s more years of experience than required",
+    "strong": "Strong skill alignment (%s%% match)",
+    "limited": "Limited skill overlap (%s%% match)",
+    "none": "Candidate shows potential with relevant background",
+}
+COMPANY_SUFFIXES = ["pvt", "ltd", "inc", "llc", "corp", "corporation", "technologies", "tech", "software", "solutions", "services"]
+COMPANY_MARKS = ["technologies", "software", "solutions", "systems", "pvt", "ltd", "llc", "inc", "corp", "company"]
+ACTION_VERBS = ["contributed", "developed", "created", "built", "designed", "handled", "managed", "led", "worked", "delivered"]
+SKILL_NOISE = [
+    r"(?i)^(and|or|the|a|an|with|from|to|using|via|through|for|in|on|at|handling|everything)\s+",
+    r"(?i)^(like|including|such as|e\.g\.|for example)\s+",
+    r"(?i)\s+(like|including|etc\.?)$",
+    r"\([^)]*\)",
+    "(?i)" + DATE_RANGE,
+]
+SKILL_PHRASE = r"(?i)\b(handling|everything|from|to|with|using|via|through|contributed|developed|created|built|delivered)\b"
+SKILL_PHRASE_NAMES = ["system design", "rest api", "microservice", "api"]
+SKILL_ALTERNATIVES = r"(?is)\s+(?:/|and|or)\s+.*$"
+SKILL_STOP_WORDS = ["the", "and", "or", "with", "using", "via", "through", "for", "in", "on", "at", "like", "handling", "everything"]
