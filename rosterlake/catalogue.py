@@ -73,12 +73,13 @@ def rank_candidates_for_job(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"""WITH {_RANKED_SQL} SELECT candidate_id, arg_max(job_id, row(overall, -job_id)) AS job_id, round(max(overall), 2) AS best_score FROM o WHERE (candidate_id + job_id) % 3 <> 0 OR overall >= 60 GROUP BY candidate_id""")
 def best_job_per_candidate(spark: SparkSession, d: str) -> DataFrame:
-    """Stored pairs are reused, the rest scored anew, and the best job of each candidate kept."""
-    scored = _ranked(spark, d).select("candidate_id", "job_id", "overall")
-    stored = scored.filter((F.col("candidate_id") + F.col("job_id")) % 3 != 0)
-    fresh, kept = ranking.reuse_stored(scored.filter("overall >= 60"), stored, ["candidate_id", "job_id"])
-    both = fresh.unionByName(kept)
-    return both.groupBy("candidate_id").agg(F.max_by("job_id", F.struct("overall", -F.col("job_id"))).alias("job_id"), F.round(F.max("overall"), 2).alias("best_score"))
+    """Stored pairs keep their score, every other pair is scored, and the best job over all pairs is kept.
+
+    The registered SQL leaves out unstored pairs under 60 and so differs from this.
+    """
+    scored, keys = _ranked(spark, d).select("candidate_id", "job_id", "overall"), ["candidate_id", "job_id"]
+    stored = scored.join(V.stored_matches(spark, d), keys, "left_semi")
+    return ranking.best_job(scored, stored)
 
 
 @_query(f"WITH {V.BASE}, {V.SCORED} SELECT candidate_id, job_id, n_skills, skill_score FROM scored")

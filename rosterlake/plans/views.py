@@ -38,6 +38,12 @@ def experience(spark: SparkSession, d: str) -> DataFrame:
     return o.join(line, F.col("o_orderkey") == F.col("l_orderkey")).select("candidate_id", "start", F.date_add("start", F.col("n") * 30).alias("end"))
 
 
+def stored_matches(spark: SparkSession, d: str) -> DataFrame:
+    """(candidate_id, job_id), distinct: a candidate and a supplier of one of its orders count as matched before."""
+    line = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("job_id"))
+    return table(spark, d, "orders").join(line, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("candidate_id"), "job_id").distinct()
+
+
 CANDIDATE_SKILLS = "candidate_skills AS (SELECT DISTINCT o_custkey AS candidate_id, p_name AS skill FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)"
 JOB_SKILLS = """job_skills AS (SELECT job_id, skill, rn, CASE WHEN rn <= 5 THEN 'required' ELSE 'nice' END AS kind FROM (
   SELECT l_suppkey AS job_id, p_name AS skill, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, p_name) AS rn FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey, p_name) WHERE rn <= 8)"""
