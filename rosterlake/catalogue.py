@@ -45,13 +45,22 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return ranking.skill_scores(candidates, V.jobs(spark, d), ranking.matched_counts(own, V.job_skills(spark, d)))
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs with experience score and weighted overall; projects and domain take their neutral values."""
+def _experienced(spark: SparkSession, d: str) -> DataFrame:
     years = intervals.tenure(V.experience(spark, d), "candidate_id", "start", "end").select("candidate_id", F.col("years").alias("have"))
     pairs = _scored(spark, d).join(years, "candidate_id", "left")
-    pairs = pairs.withColumn("experience_score", C.experience_score(F.col("have"), F.col("years")))
-    total = C.overall(F.col("skill_score"), F.col("experience_score"), F.lit(30.0), F.lit(50.0))
-    return pairs.withColumn("overall", total)
+    return pairs.withColumn("experience_score", C.experience_score(F.col("have"), F.col("years")))
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with all four scores and their weighted overall; 30 where a candidate has no project, 50 where a side has no vector.
+
+    The registered SQL takes 30 and 50 for every pair and so differs from this.
+    """
+    n_projects, relevant = ranking.relevant_projects(V.projects(spark, d), V.job_skills(spark, d))
+    domain = ranking.domain_scores(V.vectors(spark, d, "candidate_id"), V.vectors(spark, d, "job_id"))
+    pairs = _experienced(spark, d).join(n_projects, "candidate_id", "left").join(relevant, ["candidate_id", "job_id"], "left").join(domain, ["candidate_id", "job_id"], "left")
+    pairs = pairs.withColumn("project_score", C.project_score(F.col("relevant"), F.col("n_projects"))).withColumn("domain_score", F.coalesce("domain_score", F.lit(50.0))).drop("relevant", "n_projects")
+    return pairs.withColumn("overall", C.overall(F.col("skill_score"), F.col("experience_score"), F.col("project_score"), F.col("domain_score")))
 
 
 _RANKED_SQL = f"""{V.BASE}, {V.EXPERIENCE}, {V.TENURE}, {V.SCORED},
@@ -105,7 +114,7 @@ def score_override(spark: SparkSession, d: str) -> DataFrame:
     """Scores that a JSON reply gives replace the computed ones, column by column."""
     text = table(spark, d, "events").filter("event_type = 'purchase'").groupBy("user_id").agg(F.max("props").alias("reply"))
     reply = text.select(F.col("user_id").alias("candidate_id"), F.from_json(C.json_in_text(F.concat(F.lit("Reply: "), F.col("reply"))), "k double")["k"].alias("experience_score"))
-    return ranking.override(_ranked(spark, d).select("candidate_id", "job_id", "skill_score", "experience_score"), reply, ["candidate_id"], ["experience_score"])
+    return ranking.override(_experienced(spark, d).select("candidate_id", "job_id", "skill_score", "experience_score"), reply, ["candidate_id"], ["experience_score"])
 
 
 @_query(f"""WITH {_RANKED_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY overall DESC, candidate_id) AS rank_position FROM o)

@@ -233,6 +233,11 @@ def overall(skill: Column, experience: Column, project: Column, domain: Column)
     return skill * w["skill"] + experience * w["experience"] + project * w["project"] + domain * w["domain"]
 
 
+def project_score(relevant: Column, projects: Column) -> Column:
+    """Share of relevant projects in percent; 30 without projects."""
+    return F.when(F.coalesce(projects, F.lit(0)) == 0, 30.0).otherwise(F.round(F.coalesce(relevant, F.lit(0)) * 100.0 / projects, 2))
+
+
 def confidence_tier(unrounded: Column) -> Column:
     return F.when(unrounded >= 80, "high").when(unrounded >= 60, "medium").otherwise("low")
 
@@ -258,11 +263,12 @@ def seniority(years: Column, leads: Column) -> tuple[Column, Column]:
     return raised, F.when(leads, F.least(F.lit(0.95), sure + 0.1)).otherwise(sure)
 
 
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two numeric arrays in double precision; 0 where a norm is 0."""
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
 

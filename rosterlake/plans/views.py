@@ -38,6 +38,19 @@ def experience(spark: SparkSession, d: str) -> DataFrame:
     return o.join(line, F.col("o_orderkey") == F.col("l_orderkey")).select("candidate_id", "start", F.date_add("start", F.col("n") * 30).alias("end"))
 
 
+def projects(spark: SparkSession, d: str) -> DataFrame:
+    """(candidate_id, project, text): a candidate's last five orders with the part names of their lines."""
+    o = table(spark, d, "orders").withColumn("rn", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))).filter("rn <= 5")
+    named = o.join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))), lambda x: x["p_name"]), " ")
+    return named.groupBy(F.col("o_custkey").alias("candidate_id"), F.col("o_orderkey").alias("project")).agg(text.alias("text"))
+
+
+def vectors(spark: SparkSession, d: str, key: str) -> DataFrame:
+    """(key, vector): the vector whose vec_id is the candidate's or job's id stands for its text."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias(key), F.col("embedding").alias("vector"))
+
+
 def stored_matches(spark: SparkSession, d: str) -> DataFrame:
     """(candidate_id, job_id), distinct: a candidate and a supplier of one of its orders count as matched before."""
     line = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("job_id"))

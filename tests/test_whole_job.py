@@ -16,3 +16,42 @@ def test_best_job_query_misses_no_pair(spark, sf):
     got = {r.candidate_id: (r.best_score, -r.job_id) for r in catalogue.best_job_per_candidate(spark, sf).collect()}
     assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in best.items()}
     assert all(abs(got[k][0] - best[k][0]) <= 0.005 + 1e-9 for k in best)
+
+
+def test_ranking_has_projects_and_domain(spark, sf):
+    import duckdb
+
+    from rosterlake import catalogue
+
+    db = duckdb.connect()
+    for name in ("orders", "lineitem", "part", "embeddings"):
+        db.execute(f"CREATE VIEW {name} AS FROM '{sf}/{name}.parquet'")
+    neutral = catalogue._RANKED_SQL[: catalogue._RANKED_SQL.rindex(",\no AS")]
+    want = db.execute(f"""WITH {neutral},
+    five AS (SELECT * FROM (SELECT o_custkey AS candidate_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn <= 5),
+    texts AS (SELECT candidate_id, o_orderkey, lower(string_agg(p_name, ' ' ORDER BY l_linenumber, p_name)) AS text FROM five JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+    words AS (SELECT job_id, list(DISTINCT lower(skill)) AS words FROM job_skills GROUP BY job_id),
+    p AS (SELECT candidate_id, job_id, round(count(*) FILTER (len(list_filter(words, lambda w: contains(text, w))) >= 2) * 100.0::DOUBLE / count(*), 2) AS project FROM texts CROSS JOIN words GROUP BY ALL),
+    d AS (SELECT a.vec_id AS candidate_id, b.vec_id AS job_id, round((list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) * 50, 2) AS domain FROM embeddings AS a CROSS JOIN embeddings AS b)
+    SELECT candidate_id, job_id, coalesce(project, 30), coalesce(domain, 50), skill_score * 0.4 + experience_score * 0.25 + coalesce(project, 30) * 0.2 + coalesce(domain, 50) * 0.15 FROM r LEFT JOIN p USING (candidate_id, job_id) LEFT JOIN d USING (candidate_id, job_id)""").fetchall()
+    got = {(r.candidate_id, r.job_id): r for r in catalogue._ranked(spark, sf).collect()}
+    assert len(want) == len(got) and len({r.project_score for r in got.values()}) > 2 and len({r.domain_score for r in got.values()}) > 2
+    for c, j, project, domain, overall in want:
+        r = got[c, j]
+        assert r.project_score == project and abs(r.domain_score - domain) < 0.011 and abs(r.overall - overall) < 0.002
+
+
+def test_projects_and_domain_where_something_is_missing(spark):
+    from pyspark.sql import functions as F
+
+    from rosterlake.functions import columns as C
+
+    projects = spark.createDataFrame([(1, 1, "Rest API with Redis"), (1, 2, "redis alone"), (2, 3, "nothing")], "candidate_id long, project long, text string")
+    asked = spark.createDataFrame([(7, "REST API", "nice"), (7, "redis", "nice"), (7, "rest", "required"), (8, "api redis", "required")], "job_id long, skill string, kind string")
+    n, relevant = ranking.relevant_projects(projects, asked)
+    assert sorted(map(tuple, n.collect())) == [(1, 2), (2, 1)] and [tuple(r) for r in relevant.collect()] == [(1, 7, 1)]
+    scores = spark.createDataFrame([(1, 2), (None, 1), (None, None)], "relevant long, n long").select(C.project_score(F.col("relevant"), F.col("n")).alias("s"))
+    assert [r.s for r in scores.collect()] == [50.0, 0.0, 30.0]
+    a = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0])], "candidate_id long, vector array<double>")
+    b = spark.createDataFrame([(7, [-2.0, 0.0]), (8, [3.0, 0.0])], "job_id long, vector array<double>")
+    assert sorted(map(tuple, ranking.domain_scores(a, b).collect())) == [(1, 7, 0.0), (1, 8, 100.0), (2, 7, 50.0), (2, 8, 50.0)]
