@@ -1,8 +1,10 @@
 """Embedding near-dedup with randomised-rotation binary codes.
 
-A vector's code is the signs of its coordinates under random rotations. Sign bits meet for near vectors more often than for
-others, so bands of bits serve as meeting points: bits and bands follow from the number of vectors and from the miss rate
-allowed at the threshold, and the work grows with a power of about 1.2. For the pairs that meet, the stored correction
+A vector's code is the signs of its coordinates under random rotations. Signs along independent random directions agree for
+near vectors more often than for others, so bands of them serve as meeting points: bits and bands follow from the number of
+vectors and from the miss rate allowed at the threshold, and the work grows with a power of about 1.2. The directions of
+bands are not those of a rotation: signs under orthogonal directions agree all together less often than the plan takes them
+to. For the pairs that meet, the stored correction
 factor (the inner product of a vector with its own code) turns code and partner into an unbiased estimate of the inner
 product with a known error; only pairs whose upper confidence bound reaches the threshold are recomputed in double
 precision. A band that very many vectors share is compared in blocks that count links where they stand and hand on a
@@ -28,6 +30,8 @@ _U = np.uint64
 HOT = 64  # vectors that share a band beyond this are compared in blocks
 BLOCK = 1024
 LIFTS = 4  # rotations in the code that estimates use
+MISS = 1e-6  # probability that a pair right at the threshold meets in no band
+STRIDE = 64  # bands whose signs are taken at once
 
 
 @dataclass(frozen=True)
@@ -41,7 +45,7 @@ class Plan:
     seed: int = 41
 
     def rotations(self, dim: int) -> int:
-        return max(LIFTS, math.ceil(self.bands / max(1, dim // self.bits)))
+        return LIFTS
 
 
 def plan_for(n: int, threshold: float, miss: float) -> Plan:
@@ -62,6 +66,16 @@ def rotations(dim: int, count: int, seed: int) -> np.ndarray:
     return _spins[dim, count, seed]
 
 
+_ways: dict[tuple[int, int, int], np.ndarray] = {}
+
+
+def directions(dim: int, count: int, seed: int) -> np.ndarray:
+    """count independent random directions side by side, dim x count."""
+    if (dim, count, seed) not in _ways:
+        _ways[dim, count, seed] = np.random.default_rng([seed, dim]).normal(size=(dim, count))
+    return _ways[dim, count, seed]
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1, first by their largest entry so that squares neither overflow nor vanish."""
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
@@ -70,15 +84,14 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 def band_keys(units: np.ndarray, plan: Plan) -> np.ndarray:
     """One 64-bit key per band: hashes of the band's sign bits, its number and the dimension."""
-    dim = units.shape[1]
-    per = max(1, dim // plan.bits)
-    signs = (units @ rotations(dim, plan.rotations(dim), plan.seed)) >= 0
-    signs = signs.reshape(len(units), -1, dim)
+    dim, bits = units.shape[1], plan.bits
+    ways, weights = directions(dim, plan.bands * bits, plan.seed), 2.0 ** np.arange(bits)  # 40 bits at most, exact in a double
     out = np.empty((len(units), plan.bands), dtype=_U)
-    weights = _U(1) << np.arange(plan.bits, dtype=_U)
-    for band in range(plan.bands):
-        bits = signs[:, band // per, (band % per) * plan.bits : (band % per + 1) * plan.bits]
-        out[:, band] = W.mix((bits * weights[: bits.shape[1]]).sum(axis=1, dtype=_U) ^ W.mix(np.array([band * 4096 + dim + 1], dtype=_U)))
+    for start in range(0, plan.bands, STRIDE):
+        stop = min(start + STRIDE, plan.bands)
+        signs = (units @ ways[:, start * bits : stop * bits] >= 0).reshape(len(units), stop - start, bits)
+        out[:, start:stop] = (signs @ weights).astype(_U) ^ W.mix(np.arange(start, stop, dtype=_U) * _U(4096) + _U(dim + 1))
+        out[:, start:stop] = W.mix(out[:, start:stop])
     return out
 
 
@@ -248,7 +261,7 @@ def _cold_links(cold: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
     return exact.mapInArrow(confirm, "a long, b long")
 
 
-def similar_vectors(vectors: DataFrame, *, key: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, miss: float = 1e-3) -> DataFrame:
+def similar_vectors(vectors: DataFrame, *, key: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, miss: float = MISS) -> DataFrame:
     """(key, n_links, component_id, kept) for every row of vectors.
 
     n_links counts the other rows linked directly: cosine, in double precision, at least the threshold. A pair right at the

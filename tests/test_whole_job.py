@@ -1,3 +1,9 @@
+import inspect
+
+import numpy as np
+import pytest
+
+from rosterlake.llm import vector_dedup
 from rosterlake.operators import ranking
 
 
@@ -55,3 +61,35 @@ def test_projects_and_domain_where_something_is_missing(spark):
     a = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0])], "candidate_id long, vector array<double>")
     b = spark.createDataFrame([(7, [-2.0, 0.0]), (8, [3.0, 0.0])], "job_id long, vector array<double>")
     assert sorted(map(tuple, ranking.domain_scores(a, b).collect())) == [(1, 7, 0.0), (1, 8, 100.0), (2, 7, 50.0), (2, 8, 50.0)]
+
+
+# --- op9 ----------------------------------------------------------------------------------------------------------
+
+
+def planted(rng, n, dim, low, high):
+    """n pairs of unit vectors with cosines from low to high."""
+    a, b = (vector_dedup.unit(rng.normal(size=(n, dim))) for _ in range(2))
+    b = vector_dedup.unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    cosine = rng.uniform(low, high, size=(n, 1))
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b
+
+
+@pytest.mark.parametrize("n, dim", [(500, 64), (5000, 64), (100000, 64), (5000, 16)])
+def test_bands_miss_no_planted_pair(n, dim):
+    miss = inspect.signature(vector_dedup.similar_vectors).parameters["miss"].default
+    plan = vector_dedup.plan_for(n, 0.9, miss)
+    a, b = planted(np.random.default_rng(n), 20000, dim, 0.9, 0.9)
+    met, n_met = 0, 0.0
+    for c in range(0, len(a), 2000):
+        same = vector_dedup.band_keys(a[c : c + 2000], plan) == vector_dedup.band_keys(b[c : c + 2000], plan)
+        met, n_met = met + int(same.any(axis=1).sum()), n_met + same.sum()
+    assert met == len(a)
+    assert abs(n_met / len(a) / plan.bands / (1 - np.arccos(0.9) / np.pi) ** plan.bits - 1) < 0.03
+
+
+def test_planted_vectors_all_link(spark):
+    a, b = planted(np.random.default_rng(3), 4000, 64, 0.9, 0.905)
+    near = np.einsum("ij,ij->i", a, b) >= 0.9
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([a, b]))]
+    got = {r.vec_id: r for r in vector_dedup.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert near.sum() > 3900 and all(got[i].n_links >= 1 and got[i + 4000].component_id == got[i].component_id for i in np.flatnonzero(near))
