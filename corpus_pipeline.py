@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rosterlake.llm.common import saved, table
 from rosterlake.llm.decontaminate import remove_contamination
-from rosterlake.llm.minhash import drop_near_duplicates
+from rosterlake.llm.minhash import drop_near_texts
 from rosterlake.llm.mixing import mix_documents
 from rosterlake.llm.quality import keep_good
 from rosterlake.llm.sharding import shard_documents
@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity 0.8 or more."""
-    return drop_near_duplicates(docs, k=5, percent=80)
+    return drop_near_texts(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

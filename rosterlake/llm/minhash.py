@@ -318,3 +318,21 @@ def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "t
     left = docs.join(gone, F.col(key).cast("long") == gone[gone.columns[0]], "left_anti")
     with_key = left.filter(F.col(key).isNotNull()).dropDuplicates([key])
     return with_key.unionByName(left.filter(F.col(key).isNull()))
+
+
+def drop_near_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one document of each group of near texts, whatever keys they share: the one with the smallest key, then digest of its text.
+
+    Rows that agree in key and text are one. Rows without a key are kept. Columns as in docs.
+    """
+    row = fresh("_row", docs.columns)
+    named = saved(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    known = named.filter(F.col(key).isNotNull())
+    groups = similar_groups(known, key=row, text=text, **options).select(F.col(row).alias("r"), "n_shingles", "component_id")
+    places = known.select(F.col(row).alias("r"), F.col(key).cast("long").alias("k"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("d"))
+    # Texts without shingles are near to nothing; only their repeats under one key are one.
+    empty = F.col("n_shingles") == 0
+    group = [F.when(~empty, F.col("component_id")).alias("g"), F.when(empty, F.col("k")).alias("e"), F.when(empty, F.col("d")).alias("f")]
+    stay = groups.join(places, "r").groupBy(*group).agg(F.min(F.struct("k", "d", "r")).alias("first")).select(F.col("first.r").alias("r"))
+    gone = places.join(stay, "r", "left_anti").select(F.col("r").alias(row))
+    return named.join(gone, row, "left_anti").select(*docs.columns)

@@ -93,3 +93,18 @@ def test_planted_vectors_all_link(spark):
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([a, b]))]
     got = {r.vec_id: r for r in vector_dedup.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert near.sum() > 3900 and all(got[i].n_links >= 1 and got[i + 4000].component_id == got[i].component_id for i in np.flatnonzero(near))
+
+
+# --- pipeline: near_duplicates ------------------------------------------------------------------------------------
+
+
+def test_near_duplicate_stage_keeps_clean_texts_that_share_an_id(spark, sf):
+    import corpus_pipeline
+
+    a, b, c = ("%s alpha beta gamma delta epsilon zeta eta theta" % w for w in ("one two three four five", "red blue green white black", "cat dog cow pig hen"))
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, c), (0, c), (4, None), (4, None), (4, ""), (5, ""), (None, a)]
+    docs = spark.createDataFrame([(i, " ".join(w + x for x in "xyz" for w in t.split()) if t else t) for i, t in rows], "doc_id long, text string")
+    full = {t: " ".join(w + x for x in "xyz" for w in t.split()) for t in (a, b, c)}
+    for n in (1, 4):
+        left = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(n), sf).collect()]
+        assert sorted((str(i), t or "") for i, t in left) == sorted([("1", full[a]), ("1", full[b]), ("0", full[c]), ("4", ""), ("5", ""), ("None", full[a])])
