@@ -4,7 +4,8 @@ One 64-bit hash per shingle: its first 8 bits choose one of 256 buckets, and the
 of leading zeros and the 10 bits that follow. Empty buckets borrow from others, each by a fixed random order of its own, so
 small sets have independent registers too. 42 bands of 6 registers miss a pair at similarity 0.8 about three times in a
 million. Candidates meet on band keys; the share of equal registers, corrected for collisions by chance, drops those far
-below the threshold, and the full shingle sets decide the rest.
+below the threshold (with more room for small sets, whose estimates stray further, and never for tiny ones), and the full
+shingle sets decide the rest.
 
 Work stays linear in the group: within a band, rows are compared with one pivot, and only what the links found so far leave
 unconnected is compared further, until no two rows of a band that could be linked remain untested and apart. Rows with
@@ -31,6 +32,7 @@ _EMPTY = np.uint16(0xFFFF)
 _U = np.uint64
 _SMALL = 12  # a band group of so many rows is compared in full by a join when links leave it in parts
 _BLOCK = 2048  # sketches of a larger group that one task compares with as many others
+_TINY, _MORE = 16, 0.08  # sets of so few shingles are always compared; slack that sets of up to BUCKETS shingles have besides
 _TEXTS = 512  # texts of a component that one task compares with as many others
 
 
@@ -99,6 +101,12 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((agree - c) / (1 - c), 0.0, 1.0)
 
 
+def floors(n: np.ndarray, m: np.ndarray, percent: int, slack: float) -> np.ndarray:
+    """Estimates below these drop pairs of sets of n and m shingles: none where both are tiny, and more slack where buckets often hide a shingle."""
+    size = np.maximum(n, m)
+    return np.where(size <= _TINY, -np.inf, percent / 100 - slack - np.where(size <= BUCKETS, _MORE, 0.0))
+
+
 def _sketch(docs: DataFrame, k: int) -> DataFrame:
     """(id, n, s1, s2, regs) from docs(id, text): set size, a 128-bit digest of the set, registers."""
     shape = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("regs", pa.binary())])
@@ -133,16 +141,15 @@ def _band_rows(sketches: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, slack: float) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; texts(id, text, regs)."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("regs").alias("ra"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("regs").alias("rb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "ta", "tb")
-    floor = percent / 100 - slack
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; texts(id, text, n, regs)."""
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("regs").alias("ra"), F.col("n").alias("na"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("regs").alias("rb"), F.col("n").alias("nb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "ta", "tb", "na", "nb")
 
     def work(batches):
         for batch in batches:
             ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, BUCKETS) for i in (2, 3))
-            near = np.flatnonzero(estimate(ra, rb) >= floor)
+            near = np.flatnonzero(estimate(ra, rb) >= floors(batch.column(6).to_numpy(), batch.column(7).to_numpy(), percent, slack))
             kept = []
             for start in range(0, len(near), 128):
                 rows = near[start : start + 128]
@@ -164,7 +171,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, slack: flo
     return both.mapInArrow(work, "a long, b long")
 
 
-def _block_pairs(apart: DataFrame, sketches: DataFrame, percent: int, floor: float) -> DataFrame:
+def _block_pairs(apart: DataFrame, sketches: DataFrame, percent: int, slack: float) -> DataFrame:
     """(a, b) of the pairs in apart(key, id, comp, size) whose components differ and whose registers leave them a chance.
 
     A group is compared block by block on its registers, and only what may be similar comes out: each pair once, from the
@@ -188,7 +195,7 @@ def _block_pairs(apart: DataFrame, sketches: DataFrame, percent: int, floor: flo
             others = (comp != comp[x]) & ((side != side[x]) if i != j else True) & (main | (index > x))
             others &= percent * np.maximum(n, n[x]) <= 100 * np.minimum(n, n[x])
             y = np.flatnonzero(others)
-            y = y[estimate(regs[y], regs[x][None]) >= floor]
+            y = y[estimate(regs[y], regs[x][None]) >= floors(n[y], n[x], percent, slack)]
             if len(y):
                 found.append(np.stack([np.full(len(y), x), y]))
         if not found:
@@ -202,7 +209,7 @@ def _block_pairs(apart: DataFrame, sketches: DataFrame, percent: int, floor: flo
     return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def _main_links(rest: DataFrame, comp: DataFrame, texts: DataFrame, k: int, percent: int, floor: float) -> DataFrame:
+def _main_links(rest: DataFrame, comp: DataFrame, texts: DataFrame, k: int, percent: int, slack: float) -> DataFrame:
     """(a, b): a link, if there is one, between each row of rest(id, main) and the members of component main.
 
     A component meets the rows around it once, however many bands they share, in blocks of bounded size; what comes out is
@@ -234,7 +241,8 @@ def _main_links(rest: DataFrame, comp: DataFrame, texts: DataFrame, k: int, perc
         for x in np.flatnonzero(~member):
             y = inner[percent * np.maximum(n[inner], n[x]) <= 100 * np.minimum(n[inner], n[x])]
             guess = estimate(regs[y], regs[x][None])
-            for z in y[np.argsort(-guess, kind="stable")[: int((guess >= floor).sum())]]:  # the likeliest first, all in the end
+            y, guess = (v[guess >= floors(n[y], n[x], percent, slack)] for v in (y, guess))
+            for z in y[np.argsort(-guess, kind="stable")]:  # the likeliest first, all in the end
                 common = len(np.intersect1d(own(x), own(z), assume_unique=True))
                 if 100 * common >= percent * (n[x] + n[z] - common):
                     out.append(sorted((ids[x], ids[z])))
@@ -290,9 +298,9 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         if last:
             mains = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
             rest = saved(large.join(mains, "key").filter("comp <> main"), "band-rest")
-            every.append(saved(_main_links(rest.select("id", "main"), comp, texts, k, percent, percent / 100 - slack), "links"))
+            every.append(saved(_main_links(rest.select("id", "main"), comp, texts, k, percent, slack), "links"))
             sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-            pairs = pairs.unionByName(_block_pairs(rest.drop("size", "main").join(sizes, "key"), texts.select("id", "n", "regs"), percent, percent / 100 - slack))
+            pairs = pairs.unionByName(_block_pairs(rest.drop("size", "main").join(sizes, "key"), texts.select("id", "n", "regs"), percent, slack))
         else:
             drawn = large.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("key", "id", F.lit(turn))).alias("p"))
             pairs = pairs.unionByName(large.join(drawn, "key").filter("comp <> p.comp").select(*_pairs(F.col("id"), F.col("p.id"))))

@@ -3,7 +3,7 @@ import inspect
 import numpy as np
 import pytest
 
-from rosterlake.llm import vector_dedup
+from rosterlake.llm import minhash, vector_dedup
 from rosterlake.operators import ranking
 
 
@@ -108,3 +108,20 @@ def test_near_duplicate_stage_keeps_clean_texts_that_share_an_id(spark, sf):
     for n in (1, 4):
         left = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(n), sf).collect()]
         assert sorted((str(i), t or "") for i, t in left) == sorted([("1", full[a]), ("1", full[b]), ("0", full[c]), ("4", ""), ("5", ""), ("None", full[a])])
+
+
+# --- op10 ---------------------------------------------------------------------------------------------------------
+
+
+def test_short_texts_pass_the_estimate(spark):
+    rng = np.random.default_rng(8)
+    words = [[f"{i}w{j}{rng.integers(1 << 30)}" for j in range(6)] for i in range(12000)]
+    sets = lambda texts: [next(minhash.W.shingles(h, first, 1)) for _, _, h, first in (minhash.W.scan(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), minhash.W.BLANKS) for t in texts)]
+    short, long = [" ".join(w[:4]) for w in words], [" ".join(w[:5]) for w in words]  # similarity 0.8
+    low = np.flatnonzero(minhash.estimate(minhash.registers(sets(short)), minhash.registers(sets(long))) < 0.68)
+    assert len(low)
+    rows = [(2 * int(i) + s, t[int(i)]) for i in low for s, t in enumerate((short, long))]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    pairs = spark.createDataFrame([(2 * int(i), 2 * int(i) + 1) for i in low], "a long, b long")
+    texts = docs.join(minhash._sketch(docs, 1).select("id", "n", "regs"), "id")
+    assert minhash._verify(pairs, texts, 1, 80, 0.12).count() == len(low)
