@@ -30,7 +30,7 @@ _GRID = 4096.0  # features are rounded to multiples of 1/4096, so that their sum
 
 
 def _classes() -> np.ndarray:
-    out = np.zeros((8, 256), dtype=np.int32)
+    out = np.zeros((8, 256), dtype=np.uint8)
     out[0, [*range(65, 91), *range(97, 123)]] = 1
     out[1, range(65, 91)] = 1
     out[2, range(48, 58)] = 1
@@ -55,9 +55,15 @@ def statistics(column: pa.Array) -> np.ndarray:
         n_words = np.diff(first)
 
         def per_row(flags: np.ndarray, edges: np.ndarray = at) -> np.ndarray:
+            if len(edges) == 2:  # one long text: no running sums
+                return np.array([float(np.count_nonzero(flags[edges[0] : edges[1]]))])
             sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
             return np.diff(sums[edges]).astype(float)
 
+        def per_word(flags: np.ndarray, least: int) -> np.ndarray:
+            """Words with at least so many of the bytes flagged; bytes between words never are."""
+            return np.add.reduceat(flags, start, dtype=np.int32) >= least if len(start) else np.zeros(0, bool)
+
         # Shares lean towards 0, and means towards a usual value, where a text is too short to tell.
         some, some_words = size + 20, n_words + 4
         counts = [per_row(_CLASSES[i][data]) for i in range(8)]
@@ -65,10 +71,7 @@ def statistics(column: pa.Array) -> np.ndarray:
         length = (end - start).astype(float)
         mean = (per_row_float(length, first) + 4 * 5) / some_words
         spread = np.sqrt(np.maximum(0, per_row_float(length**2, first) / some_words - mean**2))
-        odd = np.concatenate([[0], np.cumsum(_CLASSES[7][data] | (data == 33), dtype=np.int64)])
-        caps = np.concatenate([[0], np.cumsum(_CLASSES[1][data], dtype=np.int64)])
-        odd_words = per_row(odd[end] > odd[start], first) if len(start) else np.zeros(len(size))
-        cap_words = per_row(caps[end] - caps[start] > 1, first) if len(start) else np.zeros(len(size))
+        odd_words, cap_words = per_row(per_word(_CLASSES[7][data] | (data == 33), 1), first), per_row(per_word(_CLASSES[1][data], 2), first)
         again = []
         for back in (1, 2):
             same = np.zeros(len(word), bool)
