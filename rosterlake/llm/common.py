@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where the session names none."""
+    """The folder named by spark.checkpoint.dir. A local session may go without one and gets its own; a cluster may not."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("rosterlake.work.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rosterlake-")
         spark.conf.set("rosterlake.work.dir", found)
     return found.rstrip("/")
@@ -69,6 +71,21 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, *, how: str = "inner", least: int = 256, most: int = 10_000) -> DataFrame:
+    """rows joined with groups (one row a key, count telling how many rows bear it) without one task for a key of very many rows.
+
+    Groups of more than total / most rows, and of more than least, are sent to the rows; of these there are at most most.
+    The others meet their rows in a shuffled join. total is the number of rows. how is inner or left; count is dropped.
+    """
+    limit = max(least, total // most)
+    mark = fresh("_hot", [*rows.columns, *groups.columns])
+    hot = groups.filter(F.col(count) > limit).drop(count)
+    met = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias(mark))), keys, "left").filter(F.col(mark).isNull()).drop(mark)
+    cold = rest.join(groups.filter(F.col(count) <= limit).drop(count), keys, how)
+    return met.unionByName(cold)
+
+
 def fold_ascii(column):
     return F.translate(column, UPPER, LOWER)
 

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved
+from .common import discard, join_hot, saved
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node's larger neighbours are tied to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("_n")).filter("_n > 0")
+    return join_hot(both.filter("b > a"), least, ["a"], "_n", n).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node and its smaller neighbours are tied to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    tied = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n"))
+    # A node with one smaller neighbour is tied to it already.
+    tied = join_hot(down, least.filter("_n > 1"), ["a"], "_n", n).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
     return tied.unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -27,7 +28,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id that a link of edges(a, b) ties to another; component is the smallest id reachable.
 
     Rounds grow with the logarithm of the graph's width. Each round is written to the shared folder, so a lost executor
-    costs one round at most. Repeated links are allowed; a link of an id to itself counts for nothing; an empty table gives an empty result.
+    costs one round at most; nodes of very many links do not meet them in one task. Repeated links are allowed; a link of an id to itself counts for nothing; an empty table gives an empty result.
     """
     state = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     mark = None
@@ -36,7 +37,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == (sums["n"], sums["h"]) or not sums["n"]:
             break
         mark = (sums["n"], sums["h"])
-        wider = saved(_small_star(_large_star(state).distinct()).distinct(), "edges")
+        wider = saved(_small_star(_large_star(state, sums["n"]).distinct(), sums["n"]).distinct(), "edges")
         discard(state)
         state = wider
     tied = state.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -5,11 +5,12 @@ of leading zeros and the 10 bits that follow. Empty buckets borrow from others,
 small sets have independent registers too. 42 bands of 6 registers miss a pair at similarity 0.8 about three times in a
 million. Candidates meet on band keys; the share of equal registers, corrected for collisions by chance, drops those far
 below the threshold (with more room for small sets, whose estimates stray further, and never for tiny ones), and the full
-shingle sets decide the rest.
+shingle sets decide the rest: first by their hashes, then, for what passes, by the words themselves.
 
 Work stays linear in the group: within a band, rows are compared with one pivot, and only what the links found so far leave
 unconnected is compared further, until no two rows of a band that could be linked remain untested and apart. Rows with
-equal sets are one class from the start.
+equal sets are one class from the start; sets are equal when their sizes and 192 bits of digests from two independent hashes
+of their words are.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import discard, fresh, saved, text_batches
+from .common import discard, fresh, join_hot, saved, text_batches
 from .components import connected_components
 
 BUCKETS, ROWS, BANDS = 256, 6, 42
@@ -107,9 +108,12 @@ def floors(n: np.ndarray, m: np.ndarray, percent: int, slack: float) -> np.ndarr
     return np.where(size <= _TINY, -np.inf, percent / 100 - slack - np.where(size <= BUCKETS, _MORE, 0.0))
 
 
+_SET = ["n", "s1", "s2", "s3"]  # what tells sets apart
+
+
 def _sketch(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, s1, s2, regs) from docs(id, text): set size, a 128-bit digest of the set, registers."""
-    shape = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("regs", pa.binary())])
+    """(id, n, s1, s2, s3, regs) from docs(id, text): set size, digests of the set (s3 from a second hash of the words), registers."""
+    shape = pa.schema([("id", pa.int64()), *((c, pa.int64()) for c in _SET), ("regs", pa.binary())])
 
     def work(batches):
         for batch in batches:
@@ -118,12 +122,13 @@ def _sketch(docs: DataFrame, k: int) -> DataFrame:
                 data, at = W.text_bytes(texts.slice(a, b - a))
                 _, _, h, first = W.scan(data, at, W.BLANKS)
                 sets = list(W.shingles(h, first, k))
+                again = W.shingles(W.scan(data, at, W.BLANKS, 1)[2], first, k)
+                digests = [[np.bitwise_xor.reduce(s), np.add.reduce(W.mix(s)), np.add.reduce(W.mix(t))] if len(s) else [0, 0, 0] for s, t in zip(sets, again)]
+                cols = np.array(digests, dtype=_U).reshape(-1, 3).T.view(np.int64)
                 regs = registers(sets)
-                s1 = np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], dtype=_U).view(np.int64)
-                s2 = np.array([np.add.reduce(W.mix(s)) if len(s) else 0 for s in sets], dtype=_U).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2), pa.array([r.tobytes() for r in regs], pa.binary())], schema=shape)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c) for c in cols), pa.array([r.tobytes() for r in regs], pa.binary())], schema=shape)
 
-    return docs.mapInArrow(work, "id long, n long, s1 long, s2 long, regs binary")
+    return docs.mapInArrow(work, "id long, n long, s1 long, s2 long, s3 long, regs binary")
 
 
 def _band_rows(sketches: DataFrame) -> DataFrame:
@@ -140,6 +145,13 @@ def _band_rows(sketches: DataFrame) -> DataFrame:
     return sketches.select("id", "regs").mapInArrow(work, "key long, id long")
 
 
+def _linked(x: str | None, y: str | None, k: int, percent: int) -> bool:
+    """Whether the sets of two texts are similar, by the words themselves."""
+    a, b = W.exact_shingles(x or "", k), W.exact_shingles(y or "", k)
+    common = len(a & b)
+    return bool(common) and 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, slack: float) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; texts(id, text, n, regs)."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("regs").alias("ra"), F.col("n").alias("na"))
@@ -164,7 +176,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, slack: flo
                     sides.append(sets)
                 for row, x, y in zip(rows, *sides):
                     common = len(np.intersect1d(x, y, assume_unique=True))
-                    if common and 100 * common >= percent * (len(x) + len(y) - common):
+                    if common and 100 * common >= percent * (len(x) + len(y) - common) and _linked(batch.column(4)[row].as_py(), batch.column(5)[row].as_py(), k, percent):
                         kept.append(row)
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
@@ -244,7 +256,7 @@ def _main_links(rest: DataFrame, comp: DataFrame, texts: DataFrame, k: int, perc
             y, guess = (v[guess >= floors(n[y], n[x], percent, slack)] for v in (y, guess))
             for z in y[np.argsort(-guess, kind="stable")]:  # the likeliest first, all in the end
                 common = len(np.intersect1d(own(x), own(z), assume_unique=True))
-                if 100 * common >= percent * (n[x] + n[z] - common):
+                if 100 * common >= percent * (n[x] + n[z] - common) and _linked(texts_[x], texts_[z], k, percent):
                     out.append(sorted((ids[x], ids[z])))
                     break
         return pd.DataFrame(np.array(out, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
@@ -269,13 +281,15 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     sketches = saved(_sketch(rows, k), "sketches")
     # Equal sets are one class, named by its smallest key; a class of very many rows is one row from here on.
-    classes = sketches.filter("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    members = saved(sketches.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("id", "n", "s1", "s2", F.coalesce("rep", "id").alias("rep")), "set-members")
+    classes = saved(sketches.filter("n > 0 AND id IS NOT NULL").groupBy(*_SET).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_n")), "set-classes")
+    total = sketches.count()
+    named = join_hot(sketches.select("id", *_SET), classes, _SET, "_n", total, how="left")
+    members = saved(named.select("id", "n", F.coalesce("rep", "id").alias("rep")), "set-members")
     repeated = members.filter("id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).filter("r0 <> r1")
     # A key with different texts ties their classes together.
     tied = members.join(repeated, "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
 
-    leaders = sketches.join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["n", "s1", "s2", "id"], "left_semi").dropDuplicates(["n", "s1", "s2"])
+    leaders = sketches.join(classes.select(*_SET, F.col("rep").alias("id")), [*_SET, "id"], "left_semi").dropDuplicates(_SET)
     bands = _band_rows(leaders)
     groups = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other"), F.count(F.lit(1)).alias("size")).filter("pivot < other").drop("other")
     banded = saved(bands.join(groups, "key"), "bands")
@@ -315,19 +329,13 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             turn = rounds
         if last:
             break
-    out = members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    sizes = classes.groupBy("rep").agg(F.sum("_n").alias("_n"))
+    labelled = labels.select(F.col("id").alias("rep"), "component").join(sizes, "rep", "left").fillna(1, "_n")
+    out = join_hot(members, labelled, ["rep"], "_n", total, how="left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id"))))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one document of each group: the one with the smallest key (of rows that share it, one). Columns as in docs."""
-    gone = similar_groups(docs, key=key, text=text, **options).filter("NOT kept").select(F.col(key).cast("long").alias(fresh("_gone", docs.columns))).distinct()
-    left = docs.join(gone, F.col(key).cast("long") == gone[gone.columns[0]], "left_anti")
-    with_key = left.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    return with_key.unionByName(left.filter(F.col(key).isNull()))
-
-
 def drop_near_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with one document of each group of near texts, whatever keys they share: the one with the smallest key, then digest of its text.
 
