@@ -271,15 +271,54 @@ def test_token_counts(spark, docs):
     assert token_counts.count_tokens(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
-def test_separator_scan(spark, tmp_path, block):
+@pytest.mark.parametrize("unit, n", [(" ", 1_000_000), ("\n", 1_000_000), ("\u2003", 300_000), ("a", 1_000_000), ("1", 1_000_000), ("!\n", 500_000), ("word ", 300_000)])
+def test_long_texts_are_encoded_whole(unit, n):
+    ids = lambda t: np.frombuffer(token_counts.encode_bytes(t, token_counts.RANKS), ">u2")
+    encoding = token_counts.load_encoding(token_counts.RANKS)
+    assert encoding.decode(ids(f"x{unit * n}y").tolist()) == f"x{unit * n}y"
+    if unit.strip():
+        assert ids(f"x{unit * n}y").tolist() == encoding.encode_ordinary(f"x{unit * n}y")
+    for text in (f"{unit * 20_000}", f"x{unit * 20_000}", f"{unit * 20_000}y z", f"a b {unit * 5000}\n{unit * 3000}'s 1{unit * 9000}"):
+        assert ids(text).tolist() == encoding.encode_ordinary(text)
+
+
+def test_parts_of_texts_encode_alike(monkeypatch):
+    encoding, rng = token_counts.load_encoding(token_counts.RANKS), random.Random(1)
+    monkeypatch.setattr(token_counts, "_PART", 40)
+    for _ in range(60):
+        text = "".join(rng.choice(["a", "é", "1", " ", "  ", "\n", "\u2003", "'s", "!", "Wort"]) for _ in range(2000))
+        assert np.frombuffer(token_counts.encode_bytes(text, token_counts.RANKS), ">u2").tolist() == encoding.encode_ordinary(text)
+
+
+def test_token_counts_of_rows_without_order(spark):
+    df = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("doc_id"), F.repeat(F.lit("x "), (F.col("id") % 17).cast("int")).alias("text")).orderBy(F.rand()).repartition(5)
+    got = token_counts.count_tokens(df).collect()
+    encoding = token_counts.load_encoding(token_counts.RANKS)
+    want = {f"k{i}": len(encoding.encode_ordinary("x " * (i % 17))) for i in range(3000)}
+    assert len(got) == 3000 and {r.doc_id: r.n_tokens for r in got} == want
+
+
+@pytest.mark.parametrize("block, split", [(1, "128m"), (2, "128m"), (7, "3b"), (1000, "5b"), (1 << 21, "128m")])
+def test_separator_scan(spark, tmp_path, block, split):
     end = token_counts.END_ID
     (tmp_path / "part-0.txt").write_bytes(np.array([end, 1, 2, end, end, 3, 4, 5], ">u2").tobytes())
     (tmp_path / "part-1.txt").write_bytes(np.array([9, end], ">u2").tobytes())
     (tmp_path / "part-2.txt").write_bytes(np.array([4, 4, 4], ">u2").tobytes())
     (tmp_path / "part-3.txt").write_bytes(b"")
-    got = sorted((r.file[-5], r.doc_no, r.start, r.n_tokens) for r in token_counts.scan_token_files(spark, str(tmp_path), block_tokens=block).collect())
-    assert got == [("0", 0, 0, 0), ("0", 1, 1, 2), ("0", 2, 4, 0), ("0", 3, 5, 3), ("1", 0, 0, 1), ("2", 0, 0, 3)]
+    across = [0x10C4, 0x5001, end, 0x50C4, 0x5050, 0x50, 0xC4, end]  # the separator's bytes across two tokens
+    (tmp_path / "part-4.txt").write_bytes(np.array(across, ">u2").tobytes())
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        got = sorted((r.file[-5], r.doc_no, r.start, r.n_tokens) for r in token_counts.scan_token_files(spark, str(tmp_path), block_bytes=block).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == [("0", 0, 0, 0), ("0", 1, 1, 2), ("0", 2, 4, 0), ("0", 3, 5, 3), ("1", 0, 0, 1), ("2", 0, 0, 3), ("4", 0, 0, 2), ("4", 1, 3, 4)]
+    (tmp_path / "part-5.txt").write_bytes(b"odd")
+    with pytest.raises(Exception, match="whole token ids"):
+        token_counts.scan_token_files(spark, str(tmp_path)).collect()
 
 
 # --- 9 ---------------------------------------------------------------------------------------------------------
