@@ -2,14 +2,19 @@
 
 Calls and results meet in a shuffled hash join on (conversation, call id), a key that spreads a conversation of any length.
 Order: calls whose dependencies all stand earlier keep their place, which already is a topological order; only calls that
-depend on a later one, and what depends on them, are ordered by rounds of Kahn's algorithm over joins. Positions are ranks
-from a range sort over the cluster, so no conversation has to fit into one task.
+depend on a later one, and what depends on them, are ordered by Kahn's algorithm: a conversation of up to GROUP_EDGES
+dependencies in one task, a larger one by rounds over joins. Positions are ranks from a range sort over the cluster, so no
+conversation has to fit into one task.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
+from collections import deque
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +23,14 @@ from pyspark.sql import types as T
 from .common import discard, running_totals, saved, text_batches
 
 
+GROUP_EDGES = 100_000  # dependencies of a conversation that one task orders
+
+
 def _is(value, kind: str) -> bool:
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
     return {
         "string": isinstance(value, str), "boolean": isinstance(value, bool), "null": value is None, "object": isinstance(value, dict),
-        "array": isinstance(value, list), "number": number, "integer": number and float(value).is_integer(),
+        "array": isinstance(value, list), "number": number, "integer": number and (isinstance(value, int) or value.is_integer()),
     }.get(kind, False)
 
 
@@ -50,24 +58,80 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def _storable(text: str) -> str:
+    """text with lone surrogates, which UTF-8 cannot hold, as the escapes that JSON has for them."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys, no blanks, and characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no blanks, and characters as they are, but for lone surrogates."""
+    return _storable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(f"{text} is out of range")
+    return value
+
+
+def parse_arguments(text: str | None):
+    """The JSON value of a call's arguments; ValueError or TypeError for what is none, for NaN, Infinity and floats beyond a double's range."""
+    return json.loads(text, parse_constant=_finite, parse_float=_finite)
+
+
+def _levels_of(edges: pd.DataFrame) -> pd.DataFrame:
+    """(conv, call_id, level) of the calls of one conversation that depend, at whatever distance, on a later one."""
+    users: dict[str, list[str]] = {}
+    for call, dep in zip(edges["call_id"], edges["dep"]):
+        users.setdefault(dep, []).append(call)
+    late = set(edges["call_id"][edges["late"]])
+    todo = list(late)
+    while todo:
+        more = [u for u in users.get(todo.pop(), ()) if u not in late]
+        late.update(more)
+        todo += more
+    open_deps = dict.fromkeys(late, 0)
+    for call, dep in zip(edges["call_id"], edges["dep"]):
+        if dep in late:
+            open_deps[call] += 1
+    level = {c: 1 for c, n in open_deps.items() if not n}
+    ready = deque(level)
+    while ready:
+        call = ready.popleft()
+        for user in users.get(call, ()):
+            open_deps[user] -= 1
+            if not open_deps[user]:
+                level[user] = level[call] + 1  # the last dependency to be placed is the deepest
+                ready.append(user)
+    return pd.DataFrame({"conv": edges["conv"].iloc[0], "call_id": list(late), "level": pd.array([level.get(c) for c in late], "Int32")})
 
 
 def dependency_levels(calls: DataFrame) -> DataFrame:
     """(conv, call_id, level) from calls(conv, call_id, turn, after): 0 where every dependency stands earlier, null in a cycle.
 
-    Rounds run only over calls with a dependency that stands later, and over what depends on those.
+    The level of a call that depends on a later one, or on such a call, is 1 more than that of the deepest of these it waits
+    for. Rounds run only over conversations with more than GROUP_EDGES dependencies.
     """
     edges = calls.select("conv", "call_id", F.explode("after").alias("dep")).distinct()
     own = calls.select("conv", F.col("call_id").alias("dep"), F.struct("turn", "call_id").alias("dep_place"))
-    edges = saved(edges.join(own, ["conv", "dep"]).join(calls.select("conv", "call_id", F.struct("turn", "call_id").alias("place")), ["conv", "call_id"]), "chat-edges")
-    late = saved(edges.filter("dep_place >= place").select("conv", "call_id").distinct(), "chat-late")
-    n = late.count()
-    if not n:
-        return calls.select("conv", "call_id", F.lit(0).alias("level"))
-    links = edges.select("conv", "call_id", "dep")
+    edges = edges.join(own, ["conv", "dep"]).join(calls.select("conv", "call_id", F.struct("turn", "call_id").alias("place")), ["conv", "call_id"])
+    edges = saved(edges.select("conv", "call_id", "dep", (F.col("dep_place") >= F.col("place")).alias("late")), "chat-edges")
+    convs = saved(edges.groupBy("conv").agg(F.count(F.lit(1)).alias("edges"), F.bool_or("late").alias("late")).filter("late").select("conv", "edges"), "chat-late")
+    few = edges.join(convs.filter(F.col("edges") <= GROUP_EDGES), "conv").select("conv", "call_id", "dep", "late")
+    marks = few.groupBy("conv").applyInPandas(_levels_of, "conv string, call_id string, level int")
+    large = convs.filter(F.col("edges") > GROUP_EDGES)
+    if not large.isEmpty():
+        marks = marks.unionByName(_levels_by_rounds(edges.join(large.select("conv"), "conv")))
+    marks = saved(marks, "chat-levels")
+    free = calls.select("conv", "call_id").join(marks, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0))
+    return free.unionByName(marks)
+
+
+def _levels_by_rounds(edges: DataFrame) -> DataFrame:
+    """(conv, call_id, level) as _levels_of, one round of joins for each level."""
+    late = saved(edges.filter("late").select("conv", "call_id").distinct(), "chat-late")
+    n, links = late.count(), edges.select("conv", "call_id", "dep")
     while True:
         more = links.join(late.withColumnRenamed("call_id", "dep"), ["conv", "dep"]).select("conv", "call_id")
         wider = saved(late.unionByName(more).distinct(), "chat-late")
@@ -85,11 +149,12 @@ def dependency_levels(calls: DataFrame) -> DataFrame:
         if ready.isEmpty():
             break
         placed = ready if placed is None else placed.unionByName(ready)
-        waiting = saved(waiting.join(ready, ["conv", "call_id"], "left_anti"), "chat-waiting")
+        rest = saved(waiting.join(ready, ["conv", "call_id"], "left_anti"), "chat-waiting")
+        if waiting is not late:
+            discard(waiting)
+        waiting = rest
     marks = waiting.withColumn("level", F.lit(None).cast("int"))
-    marks = marks if placed is None else marks.unionByName(placed)
-    free = calls.select("conv", "call_id").join(late, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    return free.unionByName(marks)
+    return marks if placed is None else marks.unionByName(placed)
 
 
 def link_tools(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -103,7 +168,8 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     Of repeated calls with one id the first by turn, name and arguments counts, of repeated results the first by turn and
     content. Rows without an id are left out, as nothing can be linked to them. A null conversation is one conversation.
     Unknown dependencies, unknown tools, and arguments that are null, no JSON or against their schema are listed in errors;
-    json then holds them as text. Empty tables are fine; further columns are ignored.
+    json then holds them as text. NaN, Infinity and floats beyond a double's range are no JSON, nor are numbers or nestings
+    too deep or long for the parser; lone surrogates stay escaped. Empty tables are fine; further columns are ignored.
     """
     text_batches(calls.sparkSession)
     call = F.struct(F.col("turn").cast("long").alias("turn"), F.col("name").cast("string").alias("name"), F.col("arguments").cast("string").alias("arguments"), F.array_sort(F.filter(F.coalesce("after", F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("after"))
@@ -130,20 +196,22 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
             for row in batch.to_pylist():
                 wrong = [f"dependency {x}: not known" for x in row["lost"] or []]
                 arguments = row["arguments"]
-                if row["n_calls"]:
-                    try:
-                        arguments = json.loads(arguments)
-                    except (TypeError, ValueError, RecursionError):
-                        wrong.append("$: no JSON")
-                    else:
-                        if row["name"] in schemas:
-                            wrong += violations(arguments, schemas[row["name"]])
-                        else:
-                            wrong.append("tool not known")
-                call = {"id": row["call_id"], "name": row["name"], "arguments": arguments, "position": row["position"]} if row["n_calls"] else None
                 result = {"content": row["content"], "turn": row["result_turn"]} if row["n_results"] else None
-                errors.append(wrong)
-                texts.append(canonical({"call": call, "result": result}))
+
+                def whole(value):
+                    call = {"id": row["call_id"], "name": row["name"], "arguments": value, "position": row["position"]} if row["n_calls"] else None
+                    return canonical({"call": call, "result": result})
+
+                try:
+                    found, text = [], None
+                    if row["n_calls"]:
+                        value = parse_arguments(arguments)
+                        found = violations(value, schemas[row["name"]]) if row["name"] in schemas else ["tool not known"]
+                        text = whole(value)
+                except (TypeError, ValueError, RecursionError):
+                    found, text = ["$: no JSON"], None
+                errors.append([_storable(x) for x in wrong + found])
+                texts.append(whole(arguments) if text is None else text)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(errors, pa.list_(pa.string())), pa.array(texts, pa.string())], names=[*batch.schema.names[:at], "errors", "json"])
 
     return flat.mapInArrow(serialise, schema)
@@ -158,11 +226,14 @@ TURN_SCHEMAS = {
 def turns_as_tools(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) from conversations(conv_id, turn, role, text): a user's turn calls, the assistant's next one answers.
 
-    Each call must come after the one two turns before.
+    Turns of other roles, system turns among them, and turns without a number are neither. Of each four calls two turns
+    apart the first waits for the second, which stands later, the third for the second, and the fourth for the first.
     """
     ident = lambda back: F.concat(F.lit("call-"), (F.col("turn") - back).cast("string"))
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     arguments = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"), words.alias("words")))
-    calls = turns.filter("role = 'user'").select(F.col("conv_id").alias("conv"), "turn", ident(0).alias("call_id"), F.lit("answer").alias("name"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, F.array(ident(2))).alias("after"))
-    results = turns.filter("role = 'assistant'").select(F.col("conv_id").alias("conv"), "turn", ident(1).alias("call_id"), F.col("text").alias("content"))
+    place = F.shiftright("turn", 1) % 4
+    back = F.when(place == 0, -2).when(place == 2, 2).when(place == 3, 6)
+    calls = turns.filter("role = 'user' AND turn IS NOT NULL").select(F.col("conv_id").alias("conv"), "turn", ident(0).alias("call_id"), F.lit("answer").alias("name"), arguments.alias("arguments"), F.when(back.isNotNull(), F.array(ident(back))).alias("after"))
+    results = turns.filter("role = 'assistant' AND turn IS NOT NULL").select(F.col("conv_id").alias("conv"), "turn", ident(1).alias("call_id"), F.col("text").alias("content"))
     return calls, results

@@ -89,14 +89,13 @@ FROM u"""
 
 OP3_SQL = r"""
 WITH c AS (SELECT coalesce(CAST(conv_id AS VARCHAR), '') AS conv, 'call-' || turn AS call_id, turn, min(coalesce(text, '')) AS text, count(*) AS n_calls,
-    CASE WHEN turn >= 2 THEN 'call-' || (turn - 2) END AS dep
+    CASE turn // 2 % 4 WHEN 0 THEN turn + 2 WHEN 2 THEN turn - 2 WHEN 3 THEN turn - 6 END AS dep_turn, 'call-' || dep_turn AS dep
   FROM conversations WHERE role = 'user' AND turn IS NOT NULL GROUP BY conv_id, turn),
 r AS (SELECT coalesce(CAST(conv_id AS VARCHAR), '') AS conv, 'call-' || (turn - 1) AS call_id, turn AS result_turn, min(text) AS content, count(*) AS n_results
   FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY conv_id, turn),
-p AS (SELECT c.*, row_number() OVER (PARTITION BY conv ORDER BY turn, call_id) - 1 AS position,
-    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
-    dep IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c AS d WHERE d.conv = c.conv AND d.call_id = c.dep) AS lost
-  FROM c),
+k AS (SELECT c.*, c.dep_turn IS NOT NULL AND d.turn IS NULL AS lost, CASE WHEN d.turn > c.turn THEN 1 WHEN e.turn > d.turn THEN 2 ELSE 0 END AS level
+  FROM c LEFT JOIN c AS d ON d.conv = c.conv AND d.turn = c.dep_turn LEFT JOIN c AS e ON e.conv = d.conv AND e.turn = d.dep_turn),
+p AS (SELECT k.*, row_number() OVER (PARTITION BY conv ORDER BY level, turn, call_id) - 1 AS position, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM k),
 j AS (SELECT coalesce(p.conv, r.conv) AS conv, coalesce(p.call_id, r.call_id) AS call_id, * EXCLUDE (conv, call_id) FROM p FULL JOIN r ON p.conv = r.conv AND p.call_id = r.call_id)
 SELECT conv, call_id, coalesce(turn, result_turn) AS turn, CASE WHEN n_calls IS NOT NULL THEN 'answer' END AS name,
   CASE WHEN n_calls IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status, position,
