@@ -1,5 +1,8 @@
 """Quality classifier: ridge regression on random Fourier features of document statistics, with isotonic calibration.
 
+Beside the cosines the fit has the standardised statistics themselves and a constant as features: a linear trend that the
+kernel part then need not spend its cosines on.
+
 Every whole text becomes a short vector of statistics (shares of byte classes, word and line shapes). Random cosines of the
 standardised vector approximate a Gaussian kernel, so a linear fit on them is a kernel fit whose work is one pass: each
 partition adds up its own normal equations, the small sums are added over partitions, and the driver solves one system of
@@ -10,6 +13,7 @@ into probabilities. Texts never leave their tasks; the driver sees sums whose si
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +30,10 @@ STATISTICS = (
     "log_bytes", "log_words", "letters", "capitals", "digits", "blanks", "other_bytes", "sentence_marks", "quotes",
     "symbols", "bars", "exclamations", "line_ends", "word_length", "word_spread", "long_words", "symbol_words", "capital_words", "repeated_words", "alternating_words",
 )
-_GRID = 4096.0  # features are rounded to multiples of 1/4096, so that their sums are exact in any order of adding up
+_GRID = 4096.0  # features are rounded to multiples of 1/4096, so that their sums are exact in any order of adding up (to 5e8 rows)
+TASK_ROWS = 20_000  # labelled rows that one task sums at least, where there are so many
+FAN_IN = 1024  # tasks whose sums one group adds up
+MOST_LABELS = 200_000  # labels that keep_good learns from, about
 
 
 def _classes() -> np.ndarray:
@@ -151,12 +158,19 @@ def fit(train: DataFrame, *, waves: int = 192, gamma: float = 0.08, ridge: float
         for pdf in frames:
             phi = features((_matrix(pdf["stats"]) - mean) / scale, directions, phases)
             total += phi.T @ np.concatenate([phi, pdf["label"].to_numpy(float)[:, None]], axis=1)
-        yield pd.DataFrame({"i": np.arange(width), "v": list(total)})
+        if total.any():
+            yield pd.DataFrame({"i": np.arange(width), "v": list(total), "part": zlib.crc32(total.tobytes())})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": pdf["i"].iloc[:1], "v": [np.sum(np.stack(pdf["v"].to_numpy()), axis=0)]})
 
-    sums = train.filter("part = 0").select("stats", "label").mapInPandas(equations, "i int, v array<double>").groupBy("i").applyInPandas(add, "i int, v array<double>")
+    # A task sums TASK_ROWS rows or more, far more than its sums take; sums of very many tasks are added up in two rounds.
+    fitted = train.filter("part = 0").select("stats", "label")
+    tasks = max(1, rows[0]["n"] // TASK_ROWS)
+    sums = fitted.coalesce(tasks).mapInPandas(equations, "i int, v array<double>, part long")
+    if tasks > FAN_IN:
+        sums = sums.groupBy("i", F.pmod("part", F.lit(math.isqrt(tasks)))).applyInPandas(lambda key, pdf: add(pdf), "i int, v array<double>")
+    sums = sums.select("i", "v").groupBy("i").applyInPandas(add, "i int, v array<double>")
     whole = np.stack([np.asarray(r["v"]) for r in sums.orderBy("i").collect()])  # width rows
     n = whole[waves, waves]
     weights = np.linalg.solve(whole[:, :width] + ridge * n * np.eye(width), whole[:, width])
@@ -245,8 +259,17 @@ def score_quality(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.7, **options) -> DataFrame:
-    """docs without the rows whose score is below threshold. Two passes over the texts, one to learn and one to judge; no text is shuffled."""
-    model, mean = fit_labelled(saved(text_statistics(docs, text, [key]), "quality-statistics"), labels, key, label, **options)
+    """docs without the rows whose score is below threshold.
+
+    The model learns from labelled documents alone; with more than MOST_LABELS labels from about so many of them, the same at
+    every run, chosen by a hash of their keys. Only these are measured before all documents are judged; no text is shuffled.
+    """
+    marks = labels.filter(F.col(key).isNotNull() & F.col(label).cast("int").isin(0, 1))
+    n = marks.count()
+    some = marks if n <= MOST_LABELS else marks.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(9)), F.lit(n)) < MOST_LABELS)
+    chosen = some.select(F.col(key).alias("_marked")).distinct()  # bounded as said, so it can be sent to all
+    learned = docs.join(F.broadcast(chosen), F.col(key) == F.col("_marked"), "left_semi")
+    model, mean = fit_labelled(saved(text_statistics(learned, text, [key]), "quality-statistics"), some, key, label, **options)
     at = docs.columns.index(text)
 
     def judge(batches):

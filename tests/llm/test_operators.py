@@ -99,6 +99,41 @@ def test_quality_learns_held_out(spark):
     assert quality.score_quality(docs.limit(0), labels).count() == 0
 
 
+def test_quality_equals_a_fit_in_one_place(spark, monkeypatch):
+    """Features, ridge solution, calibration and decisions, computed once more without Spark."""
+    monkeypatch.setattr(quality, "TASK_ROWS", 50)
+    monkeypatch.setattr(quality, "FAN_IN", 2)
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randint(1, 60)) + rng.choice(["", "!!", " $ % &", "."]), rng.randint(0, 1)) for i in range(900)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(a, c) for a, _, c in rows if a % 5], "doc_id long, quality int")
+    import pyarrow as pa
+
+    stats = quality.statistics(pa.array([r[1] for r in rows]))
+    part = np.array([zlib.crc32(str(r[0]).encode()) % 4 for r in rows])
+    marked, y = np.array([r[0] % 5 > 0 for r in rows]), np.array([float(r[2]) for r in rows])
+    fit, held = marked & (part < 2), marked & (part == 3)
+    mean, scale = np.round(stats[fit].mean(axis=0), 9), np.round(np.maximum(stats[fit].std(axis=0), 1e-3), 9)
+    draw = np.random.default_rng(17)
+    ways, phases = draw.normal(size=(stats.shape[1], 192)) * np.sqrt(2 * 0.08), draw.uniform(0, 2 * np.pi, 192)
+    x = np.clip((stats - mean) / scale, -4, 4)
+    phi = np.round(np.hstack([np.cos(x @ ways + phases), np.ones((len(x), 1)), x / 4]) * 4096) / 4096
+    weights = np.linalg.solve(phi[fit].T @ phi[fit] + 1e-3 * fit.sum() * np.eye(phi.shape[1]), phi[fit].T @ y[fit])
+    raw = phi @ weights
+    bins = np.minimum(511, ((np.clip(raw, -0.5, 1.5) + 0.5) / 2 * 512).astype(int))
+    at = sorted(set(bins[held].tolist()))
+    blocks = [[[b], y[held & (bins == b)].sum(), (held & (bins == b)).sum()] for b in at]
+    while any(p[1] / p[2] >= q[1] / q[2] for p, q in zip(blocks, blocks[1:])):
+        k = next(k for k, (p, q) in enumerate(zip(blocks, blocks[1:])) if p[1] / p[2] >= q[1] / q[2])
+        blocks[k : k + 2] = [[blocks[k][0] + blocks[k + 1][0], blocks[k][1] + blocks[k + 1][1], blocks[k][2] + blocks[k + 1][2]]]
+    count = {b: (held & (bins == b)).sum() for b in at}
+    knots = [sum(((b + 0.5) / 256 - 0.5) * count[b] for b in p[0]) / p[2] for p in blocks]
+    want = np.clip(np.interp(raw, knots, [p[1] / p[2] for p in blocks]), 0, 1)
+    got = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
+    assert len({round(v, 3) for v in want}) > 3 and np.allclose([got[r[0]].score for r in rows], want, atol=1e-6)
+    assert sorted(r.doc_id for r in quality.keep_good(docs, labels, threshold=0.5).collect()) == sorted(i for i, r in got.items() if r.score >= 0.5)
+
+
 def test_isotonic_is_monotone():
     knots, values = quality.isotonic(np.arange(6.0), np.array([1.0, 0, 3, 1, 4, 4]), np.array([4.0] * 6))
     assert (np.diff(values) > 0).all() and (np.diff(knots) > 0).all()
@@ -119,6 +154,42 @@ def test_chat_links(spark):
     assert chat_tools.link_tools(calls.limit(0), results.limit(0), {}).count() == 0
 
 
+def test_chat_arguments_that_no_parser_likes(spark):
+    odd = {"long": "9" * 400, "longer": "9" * 5000, "lone": '{"text":"\\ud800","words":1}', "nan": '{"text":"a","words":NaN}', "inf": "[Infinity]", "wide": "1e999", "deep": "[" * 100_000, "nest": "[" * 900 + "]" * 900, "key": '{"\\udfff":1}'}
+    calls = spark.createDataFrame([("a", i, k, "answer" if k != "long" else "any", v, None) for i, (k, v) in enumerate(odd.items())], "conv string, turn int, call_id string, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([], "conv string, turn int, call_id string, content string")
+    got = {r.call_id: r for r in chat_tools.link_tools(calls, results, {**chat_tools.TURN_SCHEMAS, "any": {"type": "integer", "minimum": 3}}).collect()}
+    assert got["long"].errors == [] and got["lone"].errors == [] and got["lone"].json.count("\\ud800") == 1
+    assert all(got[k].errors == ["$: no JSON"] for k in ("longer", "nan", "inf", "wide", "deep")) and "\\udfff: not known" in got["key"].errors[-1]
+    strict = lambda t: json.loads(t, parse_constant=lambda c: 1 / 0)
+    assert all(strict(r.json)["call"]["id"] == k for k, r in got.items())
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_late_dependencies(spark, monkeypatch, most):
+    monkeypatch.setattr(chat_tools, "GROUP_EDGES", most)
+    rng, n = random.Random(6), 12
+    rows = [(f"c{k}", i, f"t{i}", [f"t{rng.randrange(n)}" for _ in range(rng.choice([0, 0, 1, 2]))]) for k in range(8) for i in range(n)] + [("chain", i, f"t{i}", [f"t{i + 1}"]) for i in range(6 if most == 0 else 3000)]
+    calls = spark.createDataFrame(rows, "conv string, turn long, call_id string, after array<string>")
+    got = {(r.conv, r.call_id): r.level for r in chat_tools.dependency_levels(calls).collect()}
+    assert len(got) == len(rows)
+    for conv in {r[0] for r in rows}:
+        own = {r[2]: r for r in rows if r[0] == conv}
+        late = {c for c, r in own.items() if any(d in own and own[d][1] >= r[1] for d in r[3])}
+        while more := {c for c, r in own.items() if c not in late and any(d in late for d in r[3])}:
+            late |= more
+        level = {}
+        while fits := {c for c in late if c not in level and all(d in level for d in own[c][3] if d in late)}:
+            level |= {c: 1 + max([level[d] for d in own[c][3] if d in late], default=0) for c in fits}
+        assert {c: got[conv, c] for c in own} == {c: level.get(c) if c in late else 0 for c in own}
+
+
+def test_turns_of_other_roles_are_no_calls(spark):
+    turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, None, "user", "x"), (1, 3, None, "y"), (1, 4, "tool", "z")], "conv_id long, turn int, role string, text string")
+    calls, results = chat_tools.turns_as_tools(turns)
+    assert [r.call_id for r in calls.collect()] == ["call-1"] and [r.call_id for r in results.collect()] == ["call-1"]
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------
 
 
