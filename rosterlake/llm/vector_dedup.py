@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import discard, fresh, saved
+from .common import discard, fresh, join_hot, saved
 from .components import connected_components
 
 _U = np.uint64
@@ -126,18 +126,22 @@ def _classes(vectors: DataFrame, key: str, embedding: str) -> tuple[DataFrame, D
 
     def check(batches):
         for batch in batches:
-            flat = batch.column(1)
-            good = np.zeros(batch.num_rows, bool)
-            kept, h1, h2 = [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
-            for i in range(batch.num_rows):
-                if flat[i].is_valid and len(flat[i]) and not flat[i].values.null_count:
-                    v = np.asarray(flat[i].values)
-                    good[i] = bool(np.isfinite(v).all() and v.any())
-                    if good[i]:
-                        data = (v + 0.0).tobytes()
-                        _, _, h, _ = W.scan(np.frombuffer(data, np.uint8), np.array([0, len(data)]), np.ones(256, bool))
-                        kept[i], h1[i] = unit(v[None])[0].tobytes(), int(h[0].astype(np.int64))
-                        h2[i] = int(W.runs(np.frombuffer(data, _U), len(v))[0].astype(np.int64))
+            vectors = batch.column(1)
+            length = vectors.value_lengths().fill_null(0).to_numpy()
+            offsets = np.asarray(vectors.offsets)[:-1]
+            known = np.asarray(vectors.values.is_valid())
+            value = np.asarray(vectors.values.fill_null(0.0))
+            kept, h1, h2 = ([None] * batch.num_rows for _ in range(3))
+            for dim in np.unique(length[length > 0]):
+                at = np.flatnonzero(length == dim)
+                place = offsets[at, None] + np.arange(dim)
+                v = value[place]
+                good = known[place].all(axis=1) & np.isfinite(v).all(axis=1) & v.any(axis=1)
+                at, v = at[good], v[good] + 0.0  # one zero only
+                bits = W.mix(v.view(_U))
+                a, b = (W.mix((bits * W.mix(np.arange(1, dim + 1, dtype=_U) * _U(salt))).sum(axis=1) + _U(dim)).view(np.int64).tolist() for salt in (0xD1342543DE82EF95, 0xE7037ED1A0B428DB))
+                for i, u, x, y in zip(at.tolist(), unit(v) if len(v) else v, a, b):
+                    kept[i], h1[i], h2[i] = u.tobytes(), x, y
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(kept, pa.binary())], names=["id", "h1", "h2", "u"])
 
     rows = saved(slim.mapInArrow(check, "id long, h1 long, h2 long, u binary"), "vectors")
@@ -272,7 +276,7 @@ def similar_vectors(vectors: DataFrame, *, key: str = "vec_id", embedding: str =
     an empty result; other columns are ignored.
     """
     rows, reps = _classes(vectors, key, embedding)
-    plan = plan_for(reps.count(), threshold, miss)
+    n_rows, plan = rows.count(), plan_for(reps.count(), threshold, miss)
 
     def spread(batches):
         for batch in batches:
@@ -294,10 +298,13 @@ def similar_vectors(vectors: DataFrame, *, key: str = "vec_id", embedding: str =
     both = cold.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(cold.select(F.col("b").alias("rep"), F.col("a").alias("other")))
     counts = both.join(weight, "other").select("rep", F.col("w").alias("n")).unionByName(hot.filter("b IS NULL").select(F.col("a").alias("rep"), "n"))
     counts = counts.groupBy("rep").agg(F.sum("n").alias("links"))
-    members = rows.filter("id IS NOT NULL").join(reps.select("h1", "h2", "rep", "n"), ["h1", "h2"], "left").select("id", "rep", "n")
+    classes = reps.select("h1", "h2", "rep", "n", F.col("n").alias("_n"))
+    members = join_hot(rows.filter("id IS NOT NULL"), classes, ["h1", "h2"], "_n", n_rows, how="left").select("id", "rep", "n")
     tied = members.filter("rep IS NOT NULL AND rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     labels = connected_components(cold.unionByName(hot.filter("b IS NOT NULL").select("a", "b")).unionByName(tied))
-    out = members.join(counts, "rep", "left").join(labels, "id", "left")
+    out = members.join(labels, "id", "left")
+    sizes = reps.groupBy("rep").agg(F.sum("n").alias("_n"))
+    out = join_hot(out, counts.join(sizes, "rep"), ["rep"], "_n", n_rows, how="left")
     links = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))
     component = F.coalesce("component", "id")
     found = out.select(F.col("id").alias(key), links.cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
