@@ -39,61 +39,54 @@ def oracle_sql() -> dict[str, str]:
 # --- scoring and ranking ------------------------------------------------------------------------------------
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    own = V.candidate_skills(spark, d)
-    candidates = own.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n_skills"))
-    return ranking.skill_scores(candidates, V.jobs(spark, d), ranking.matched_counts(own, V.job_skills(spark, d)))
-
-
-def _experienced(spark: SparkSession, d: str) -> DataFrame:
+def _profiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(candidates, jobs), a row each with all that a pair's scores need."""
     years = intervals.tenure(V.experience(spark, d), "candidate_id", "start", "end").select("candidate_id", F.col("years").alias("have"))
-    pairs = _scored(spark, d).join(years, "candidate_id", "left")
-    return pairs.withColumn("experience_score", C.experience_score(F.col("have"), F.col("years")))
+    asked = V.job_skills(spark, d).persist()
+    candidates = ranking.candidate_profiles(V.candidate_skills(spark, d), years, V.projects(spark, d), asked, V.vectors(spark, d, "candidate_id"))
+    jobs = ranking.job_profiles(asked, V.jobs(spark, d).select("job_id", "years"), V.vectors(spark, d, "job_id"))
+    return candidates, jobs.persist()
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs with all four scores and their weighted overall; 30 where a candidate has no project, 50 where a side has no vector.
-
-    The registered SQL takes 30 and 50 for every pair and so differs from this.
-    """
-    n_projects, relevant = ranking.relevant_projects(V.projects(spark, d), V.job_skills(spark, d))
-    domain = ranking.domain_scores(V.vectors(spark, d, "candidate_id"), V.vectors(spark, d, "job_id"))
-    pairs = _experienced(spark, d).join(n_projects, "candidate_id", "left").join(relevant, ["candidate_id", "job_id"], "left").join(domain, ["candidate_id", "job_id"], "left")
-    pairs = pairs.withColumn("project_score", C.project_score(F.col("relevant"), F.col("n_projects"))).withColumn("domain_score", F.coalesce("domain_score", F.lit(50.0))).drop("relevant", "n_projects")
-    return pairs.withColumn("overall", C.overall(F.col("skill_score"), F.col("experience_score"), F.col("project_score"), F.col("domain_score")))
+    """Pairs with all four scores and their weighted overall; 30 where a candidate has no project, 50 where a side has no vector."""
+    return ranking.score_pairs(ranking.count_pairs(*_profiles(spark, d)))
 
 
-_RANKED_SQL = f"""{V.BASE}, {V.EXPERIENCE}, {V.TENURE}, {V.SCORED},
+_RANKED_SQL = f"""{V.BASE}, {V.EXPERIENCE}, {V.TENURE}, {V.SCORED}, {V.PROJECT_SCORES}, {V.DOMAIN_SCORES},
 x AS (SELECT candidate_id, job_id, skill_score, coalesce(t.years, 0) - scored.years AS gap, scored.years AS wanted FROM scored LEFT JOIN tenure AS t USING (candidate_id)),
 r AS (SELECT candidate_id, job_id, skill_score, CASE WHEN wanted = 0 THEN 70.0::DOUBLE WHEN gap = 0 THEN 100.0::DOUBLE WHEN gap BETWEEN 1 AND 2 THEN 95.0::DOUBLE WHEN gap BETWEEN 3 AND 5 THEN 90.0::DOUBLE WHEN gap > 5 THEN 85.0::DOUBLE
     WHEN gap >= -1 THEN 80.0::DOUBLE WHEN gap >= -2 THEN 60.0::DOUBLE WHEN gap >= -3 THEN 40.0::DOUBLE ELSE 20.0::DOUBLE END AS experience_score FROM x),
-o AS (SELECT *, skill_score * 0.4::DOUBLE + experience_score * 0.25::DOUBLE + 30.0::DOUBLE * 0.2::DOUBLE + 50.0::DOUBLE * 0.15::DOUBLE AS overall FROM r)"""
+o AS (SELECT *, skill_score * 0.4::DOUBLE + experience_score * 0.25::DOUBLE + coalesce(project_score, 30.0::DOUBLE) * 0.2::DOUBLE + coalesce(domain_score, 50.0::DOUBLE) * 0.15::DOUBLE AS overall
+  FROM r LEFT JOIN project_scores USING (candidate_id, job_id) LEFT JOIN domain_scores USING (candidate_id, job_id))"""
 
 
 @_query(f"""WITH {_RANKED_SQL},
 p AS (SELECT *, round((rank() OVER (PARTITION BY job_id ORDER BY overall) - 1) * 100.0::DOUBLE / count(*) OVER (PARTITION BY job_id), 2) AS percentile_rank, row_number() OVER (PARTITION BY job_id ORDER BY overall DESC, candidate_id) AS rank_position FROM o)
-SELECT job_id, candidate_id, skill_score, experience_score, round(overall, 2) AS overall_score, CASE WHEN overall >= 80 THEN 'high' WHEN overall >= 60 THEN 'medium' ELSE 'low' END AS confidence_level, percentile_rank, rank_position FROM p WHERE rank_position <= 20""")
+SELECT job_id, candidate_id, skill_score, experience_score, floor(overall * 100 + 0.50000001::DOUBLE) / 100 AS overall_score, CASE WHEN overall >= 80 THEN 'high' WHEN overall >= 60 THEN 'medium' ELSE 'low' END AS confidence_level, percentile_rank, rank_position FROM p WHERE rank_position <= 20""")
 def rank_candidates_for_job(spark: SparkSession, d: str) -> DataFrame:
     """The 20 best candidates of every job, with percentile over all its candidates."""
-    p = _ranked(spark, d).withColumn("percentile_rank", ranking.percentile("overall", "job_id"))
-    top = ranking.top_per(p, "job_id", "overall", "candidate_id", 20)
-    return top.select("job_id", "candidate_id", "skill_score", "experience_score", F.round("overall", 2).alias("overall_score"), C.confidence_tier(F.col("overall")).alias("confidence_level"), "percentile_rank", "rank_position")
+    candidates, jobs = _profiles(spark, d)
+    total = V.candidate_skills(spark, d).agg(F.count_distinct("candidate_id").alias("n")).first()["n"]
+    top = ranking.top_with_percentile(ranking.score_pairs(ranking.count_pairs(candidates, jobs)), "job_id", "overall", "candidate_id", 20, total)
+    return top.select("job_id", "candidate_id", "skill_score", "experience_score", C.cents(F.col("overall")).alias("overall_score"), C.confidence_tier(F.col("overall")).alias("confidence_level"), "percentile_rank", "rank_position")
 
 
-@_query(f"""WITH {_RANKED_SQL} SELECT candidate_id, arg_max(job_id, row(overall, -job_id)) AS job_id, round(max(overall), 2) AS best_score FROM o WHERE (candidate_id + job_id) % 3 <> 0 OR overall >= 60 GROUP BY candidate_id""")
+@_query(f"""WITH {_RANKED_SQL} SELECT candidate_id, arg_max(job_id, row(overall, -job_id)) AS job_id, floor(max(overall) * 100 + 0.50000001::DOUBLE) / 100 AS best_score FROM o GROUP BY candidate_id""")
 def best_job_per_candidate(spark: SparkSession, d: str) -> DataFrame:
     """Stored pairs keep their score, every other pair is scored, and the best job over all pairs is kept.
 
-    The registered SQL leaves out unstored pairs under 60 and so differs from this.
+    No table holds stored scores, so pairs of a candidate and a supplier of its orders are scored beforehand.
     """
-    scored, keys = _ranked(spark, d).select("candidate_id", "job_id", "overall"), ["candidate_id", "job_id"]
-    stored = scored.join(V.stored_matches(spark, d), keys, "left_semi")
-    return ranking.best_job(scored, stored)
+    candidates, jobs = _profiles(spark, d)
+    known = V.stored_matches(spark, d).groupBy("candidate_id").agg(F.collect_list("job_id").alias("wanted"))
+    stored = ranking.score_pairs(ranking.count_pairs(candidates.join(known, "candidate_id"), jobs)).select("candidate_id", "job_id", "overall")
+    return ranking.best_with_stored(candidates, jobs, stored)
 
 
 @_query(f"WITH {V.BASE}, {V.SCORED} SELECT candidate_id, job_id, n_skills, skill_score FROM scored")
 def all_pairs_skill_score(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("candidate_id", "job_id", "n_skills", "skill_score")
+    return ranking.count_pairs(*_profiles(spark, d)).select("candidate_id", "job_id", F.col("n_skills").cast("long").alias("n_skills"), ranking.skill_column().alias("skill_score"))
 
 
 @_query(f"""WITH {V.CANDIDATE_SKILLS}, {V.JOB_SKILLS}, c AS (SELECT DISTINCT candidate_id FROM candidate_skills),
@@ -102,10 +95,10 @@ SELECT candidate_id, job_id, matched, coalesce(missing, []) AS missing, CASE WHE
 def missing_skills(spark: SparkSession, d: str) -> DataFrame:
     """What each candidate lacks of each job's required skills, in the job's order."""
     own = V.candidate_skills(spark, d).groupBy("candidate_id").agg(F.collect_set("skill").alias("own"))
-    need = V.job_skills(spark, d).filter("kind = 'required'").groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "skill"))), lambda x: x["skill"]).alias("need"))
+    need = V.job_skills(spark, d).filter("kind = 'required'").groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "skill"))), lambda x: x["skill"]).alias("need")).persist()
     lacking = F.array_except("need", "own")
     matched = F.size("need") - F.size(lacking)
-    return own.crossJoin(need).select("candidate_id", "job_id", matched.cast("long").alias("matched"), lacking.alias("missing"), F.when(matched >= 4, "strong").when(matched < 2, "limited").otherwise("partial").alias("fit"))
+    return ranking.pair_up(own, need).select("candidate_id", "job_id", matched.cast("long").alias("matched"), lacking.alias("missing"), F.when(matched >= 4, "strong").when(matched < 2, "limited").otherwise("partial").alias("fit"))
 
 
 @_query(f"""WITH {_RANKED_SQL}, reply AS (SELECT user_id AS candidate_id, CAST(json_extract(max(props), '$.k') AS DOUBLE) AS experience_score FROM events WHERE event_type = 'purchase' GROUP BY user_id)
@@ -114,7 +107,9 @@ def score_override(spark: SparkSession, d: str) -> DataFrame:
     """Scores that a JSON reply gives replace the computed ones, column by column."""
     text = table(spark, d, "events").filter("event_type = 'purchase'").groupBy("user_id").agg(F.max("props").alias("reply"))
     reply = text.select(F.col("user_id").alias("candidate_id"), F.from_json(C.json_in_text(F.concat(F.lit("Reply: "), F.col("reply"))), "k double")["k"].alias("experience_score"))
-    return ranking.override(_experienced(spark, d).select("candidate_id", "job_id", "skill_score", "experience_score"), reply, ["candidate_id"], ["experience_score"])
+    candidates, jobs = _profiles(spark, d)
+    scored = ranking.score_pairs(ranking.count_pairs(candidates, jobs)).select("candidate_id", "job_id", "skill_score", "experience_score")
+    return ranking.override(scored, reply, ["candidate_id"], ["experience_score"])
 
 
 @_query(f"""WITH {_RANKED_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY overall DESC, candidate_id) AS rank_position FROM o)
@@ -129,18 +124,11 @@ def ranking_payload(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("job_id", "rank_position", C.display_name(F.col("c_name"), F.lit("")).alias("name"), F.col("n_name").alias("nation"), F.col("s_name").alias("company"), payload.alias("payload"))
 
 
-@_query(f"""WITH {V.JOB_SKILLS}, j AS (SELECT job_id, list(DISTINCT w) AS words FROM (SELECT job_id, unnest(string_split(skill, ' ')) AS w FROM job_skills WHERE kind = 'required') GROUP BY job_id),
-p AS (SELECT * FROM (SELECT o_custkey AS candidate_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn <= 5),
-t AS (SELECT candidate_id, o_orderkey, string_agg(p_name, ' ' ORDER BY l_linenumber, p_name) AS text FROM p JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY candidate_id, o_orderkey)
-SELECT candidate_id, job_id, round(count(*) FILTER (WHERE len(list_filter(words, lambda w: contains(text, w))) >= 2) * 100.0::DOUBLE / count(*), 2) AS project_score FROM t CROSS JOIN j GROUP BY candidate_id, job_id""")
+@_query(f"WITH {V.JOB_SKILLS}, {V.PROJECT_SCORES} SELECT candidate_id, job_id, project_score FROM project_scores")
 def project_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Share of a candidate's last five projects that name at least two of a job's words."""
-    words = V.job_skills(spark, d).filter("kind = 'required'").groupBy("job_id").agg(F.array_distinct(F.flatten(F.collect_list(F.split("skill", " ")))).alias("words"))
-    o = table(spark, d, "orders").withColumn("rn", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))).filter("rn <= 5")
-    named = o.join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    texts = named.groupBy(F.col("o_custkey").alias("candidate_id"), "o_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))), lambda x: x["p_name"]), " ").alias("text"))
-    found = texts.crossJoin(words).withColumn("hit", F.size(F.filter("words", lambda w: F.contains(F.col("text"), w))) >= 2)
-    return found.groupBy("candidate_id", "job_id").agg(F.round(F.count(F.when(F.col("hit"), 1)) * 100.0 / F.count(F.lit(1)), 2).alias("project_score"))
+    """Share of a candidate's last five projects that name at least two of a job's required or nice skills."""
+    candidates, jobs = _profiles(spark, d)
+    return ranking.score_pairs(ranking.count_pairs(candidates.filter("n_projects > 0"), jobs)).select("candidate_id", "job_id", "project_score")
 
 
 @_query("""WITH q AS (SELECT vec_id AS q, embedding AS a FROM embeddings WHERE vec_id % 50 = 0),
@@ -149,9 +137,7 @@ SELECT q AS query_id, vec_id, score, rn FROM (SELECT *, row_number() OVER (PARTI
 def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest vectors of each query vector (ids divisible by 50) by cosine, scaled to 0-100."""
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"))
-    scored = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round((C.cosine(F.col("a"), F.col("embedding")) + 1) * 50, 6).alias("score"))
-    return ranking.top_per(scored, "query_id", "score", "vec_id", 10).withColumnRenamed("rank_position", "rn")
+    return ranking.nearest(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10)
 
 
 # --- skill joins --------------------------------------------------------------------------------------------

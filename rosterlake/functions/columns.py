@@ -233,6 +233,11 @@ def overall(skill: Column, experience: Column, project: Column, domain: Column)
     return skill * w["skill"] + experience * w["experience"] + project * w["project"] + domain * w["domain"]
 
 
+def cents(score: Column) -> Column:
+    """score to two decimals, halves up whatever the last bit of the sum."""
+    return F.floor(score * 100 + 0.50000001) / 100
+
+
 def project_score(relevant: Column, projects: Column) -> Column:
     """Share of relevant projects in percent; 30 without projects."""
     return F.when(F.coalesce(projects, F.lit(0)) == 0, 30.0).otherwise(F.round(F.coalesce(relevant, F.lit(0)) * 100.0 / projects, 2))

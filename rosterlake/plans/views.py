@@ -71,4 +71,9 @@ counts AS (SELECT candidate_id, job_id, count(*) FILTER (WHERE kind = 'required'
 scored AS (SELECT candidate_id, job_id, n_skills, n_required, years, CASE WHEN n_required = 0 THEN 50.0::DOUBLE ELSE least(100.0::DOUBLE,
     coalesce(required, 0)::DOUBLE / n_required * 70.0::DOUBLE + CASE WHEN n_nice > 0 THEN coalesce(nice, 0)::DOUBLE / n_nice * 30.0::DOUBLE ELSE 0.0::DOUBLE END + greatest(0, least(10, (n_skills - n_required) * 2))) END AS skill_score
   FROM n CROSS JOIN jobs LEFT JOIN counts USING (candidate_id, job_id))"""
+PROJECT_SCORES = """last_five AS (SELECT * FROM (SELECT o_custkey AS candidate_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn <= 5),
+project_texts AS (SELECT candidate_id, o_orderkey, lower(string_agg(p_name, ' ' ORDER BY l_linenumber, p_name)) AS text FROM last_five JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY candidate_id, o_orderkey),
+job_words AS (SELECT job_id, list(DISTINCT lower(skill)) AS words FROM job_skills GROUP BY job_id),
+project_scores AS (SELECT candidate_id, job_id, round(count(*) FILTER (WHERE len(list_filter(words, lambda w: contains(text, w))) >= 2) * 100.0::DOUBLE / count(*), 2) AS project_score FROM project_texts CROSS JOIN job_words GROUP BY candidate_id, job_id)"""
+DOMAIN_SCORES = """domain_scores AS (SELECT a.vec_id AS candidate_id, job_id, round((list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) + 1) * 50, 2) AS domain_score FROM embeddings AS a CROSS JOIN jobs JOIN embeddings AS b ON b.vec_id = job_id)"""
 BASE = ", ".join([CANDIDATE_SKILLS, JOB_SKILLS, JOBS])
