@@ -331,8 +331,12 @@ def _first_years_sql() -> str:
     return "coalesce(" + ", ".join(f"list_filter(list_transform(regexp_extract_all(text, '(?i){p}', 1), lambda x: TRY_CAST(x AS INTEGER)), lambda x: x BETWEEN 1 AND 20)[1]" for p in L.YEARS_PATTERNS) + ")"
 
 
+def _any_of_sql(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
 def _contains_any(words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
+    return _any_of_sql("low", words)
 
 
 @_query(f"""{_POST}, p AS (SELECT *, lower(text) AS low, {_first_years_sql()} AS years FROM t),

@@ -130,8 +130,6 @@ EDUCATION_PATTERNS = {
 LOCATION_PATTERNS = [r"location[:\s]+([^\n]+)", r"based\s+in\s+([^\n,]+)", r"office\s+location[:\s]+([^\n]+)"]
 REMOTE = ["remote", "work from home", "wfh", "distributed", "anywhere"]
 ON_SITE = ["on-site", "on site", "office", "onsite"]
-LEADERSHIP = ["lead", "manager", "director", "head", "principal", "chief", "vp"]
-EDUCATION_PLACES = ["UNIVERSITY", "COLLEGE", "INSTITUTE", "SCHOOL"]
 
 COMPLETENESS = {"experience": (0.5, 3.0), "education": (0.5, 1.0), "skills": (0.1, 2.0), "projects": (0.3, 1.0)}
 EXPLANATIONS = {
@@ -159,3 +157,57 @@ SKILL_PHRASE = r"(?i)\b(handling|everything|from|to|with|using|via|through|contr
 SKILL_PHRASE_NAMES = ["system design", "rest api", "microservice", "api"]
 SKILL_ALTERNATIVES = r"(?is)\s+(?:/|and|or)\s+.*$"
 SKILL_STOP_WORDS = ["the", "and", "or", "with", "using", "via", "through", "for", "in", "on", "at", "like", "handling", "everything"]
+
+#: Résumé sections: words that head them, as patterns.
+SECTION_HEADS = {
+    "skills": "technical skills|skills|technologies",
+    "experience": "work experience|professional experience|experience|employment",
+    "education": "education|academic|qualifications",
+    "projects": "projects|project|portfolio",
+    "certifications": "certifications|certification|certificates",
+    "languages": "languages|language",
+}
+ENTRY_RANGE = r"(\d{4}(?:-\d{2})?)\s*[-–—]\s*(\d{4}(?:-\d{2})?|PRESENT|CURRENT|NOW|Present|Current|Now|present|current|now)"
+ENTRY_COMPANY = r"^[A-Z][A-Za-z0-9\s&]+(?:Pvt|Ltd|LLC|Inc|Corp|Corporation|Technologies|Solutions|Services|Systems|Group|Company|Co|Progress)\.?$"
+ENTRY_TITLE = r"\b(?:(?:Senior|Junior|Lead|Principal|Staff|Associate|Full Stack|Backend|Frontend|DevOps|Data|Cloud|Product|Project|Business|Technical)\s+[A-Z][a-z]+|[A-Z][a-z]+\s+(?:Developer|Engineer|Manager|Designer|Analyst|Specialist|Architect|Consultant|Director))\b"
+TITLE_AT_COMPANY = r"^(.+?)(?:\s+at\s+|\s+-\s+|\s+@\s+)([^\d].*)$"
+EDUCATION_WORDS = ["UNIVERSITY", "COLLEGE", "INSTITUTE", "SCHOOL", "BACHELOR", "MASTER", "MCA", "BSC", "MSC", "DEGREE", "ACADEMIC", "COURSEWORK"]
+WORK_WORDS = ["PVT", "LTD", "LLC", "INC", "CORP", "COMPANY", "TECHNOLOGIES", "SOFTWARE", "SOLUTIONS", "DEVELOPER", "ENGINEER", "MANAGER", "LEAD", "SENIOR", "JUNIOR", "ARCHITECT", "CONSULTANT", "ANALYST"]
+JOB_WORDS = ["DEVELOPER", "ENGINEER", "MANAGER", "LEAD", "SENIOR", "JUNIOR", "ARCHITECT", "CONSULTANT", "ANALYST", "SPECIALIST", "DESIGNER"]
+SENTENCE_TITLE = r"^(?:Developers, Testers|Collaborated|Designed|Led and|Completed|Contributed)|[Ee]nsure|[Ss]eamless|[Cc]oordination|,.*,|and.*and"
+DEGREES = [r"(?i)(?:bachelor|\bb\.?s\.?\b|\bb\.?tech)", r"(?i)(?:master|\bm\.?s\.?\b|\bm\.?tech|\bmba\b)", r"(?i)(?:phd|ph\.d|doctorate)", r"(?i)(?:diploma|certificate)"]
+INSTITUTION = r"[A-Z][A-Za-z ]+(?:University|College|Institute|School|Academy)"
+PROJECT_TECHNOLOGIES = [
+    "Python", "Java", "JavaScript", "React", "Node", "Django", "Flask", "AWS", "Docker", "Kubernetes", "MongoDB", "PostgreSQL", "MySQL",
+    "TensorFlow", "PyTorch", "Machine Learning", "AI", "Deep Learning", "Angular", "Vue", "Next.js", "TypeScript", "FastAPI", "NestJS",
+]
+SUMMARY_WORDS = r"(?i)\b(?:versatile|senior|developer|experience|years|proven|leader|projects)\b"
+SUMMARY_NAMES = ["profile summary", "summary", "objective", "about"]
+CATEGORY_BARRED = r"(?i)\b(?:and|with|to|for|the|a|an|is|are|was|were|contributed|developed|created|maintaining|enhance|solving|approaches|scalability|leader|complete)\b"
+CATEGORY_STOP = r"(?is)\b(?:contributed|developed|created|built|designed|handled|managed|led|worked|delivered|ensured|improved|optimized|implemented|architected|maintained|supported|collaborated|participated|achieved|reduced|increased|scaled|deployed|configured|monitored|tested|wrote|documented)\b.*$"
+NAME_BARRED = [
+    "email", "phone", "address", "linkedin", "github", "experience", "education", "skills", "objective", "summary", "profile", "@", "http", "www",
+    "developer", "engineer", "manager", "designer", "analyst", "specialist", "architect", "consultant", "lead", "senior", "junior", "full", "stack", "programmer", "coder",
+    "projects", "certifications", "languages", "contact", "work", "resume", "curriculum",
+]
+URL = r"(?:https?://)?(?:www\.)?[a-zA-Z0-9-]+\.[a-zA-Z]{2,}(?:\.[a-zA-Z]{2,})*(?:/[a-zA-Z0-9_/.-]*)?"
+MAIL_HOSTS = ["gmail", "yahoo", "hotmail", "outlook", "icloud", "aol", "mail"]
+OTHER_SITES = ["behance.net", "dribbble.com", "medium.com", "dev.to", "hashnode.com", "kaggle.com", "stackoverflow.com", "twitter.com", "x.com"]
+CONTENT_TITLES = r"(?i)\b(?:senior|junior|lead|principal|staff|associate|software|full stack|frontend|backend|devops|data|cloud|product|project|business|technical)\s+[a-z]+"
+CONTENT_COMPANIES = r"(?i)\b(?:pvt|ltd|llc|inc|corp|corporation|technologies|solutions|services|systems|group|company|co)\b"
+CONTENT_WORK = ["led", "developed", "designed", "implemented", "managed", "created", "built", "delivered", "improved", "optimized", "collaborated", "worked", "responsibilities", "achievements"]
+CONTENT_SCHOOL = ["bachelor", "master", "phd", "ph.d", "doctorate", "mba", "mca", "bsc", "msc", "btech", "mtech", "degree", "diploma", "certificate", "university", "college", "institute", "school", "academy"]
+CONTENT_TECH = ["react", "angular", "vue", "python", "java", "javascript", "node", "django", "flask", "sql", "mongodb", "postgresql", "docker", "kubernetes", "aws", "azure"]
+CONTENT_TECH_LIST = r"(?i)(?:frontend|backend|database|devops|tools|technologies|languages|frameworks|platforms|software)[:\s]+"
+CONTENT_PROJECT = ["project", "portfolio", "github", "gitlab", "demo", "application", "website", "app", "system"]
+CONTENT_ENDS = {
+    "experience": ["EDUCATION", "PROJECTS", "SKILLS", "CERTIFICATIONS"],
+    "education": ["PROJECTS", "SKILLS", "CERTIFICATIONS", "CONTACT", "PROFILE"],
+    "skills": ["CONTACT", "PROFILE", "PROJECTS", "REFERENCES"],
+    "projects": [],
+}
+POST_REQUIRED = r"(?is)(?:required\s+skills?|must\s+have|requirements?|qualifications?)[:\s]+(.*?)(?:\n\n|\n(?:nice|preferred|bonus)|\z)"
+POST_NICE = r"(?is)(?:nice\s+to\s+have|preferred|bonus|plus|advantage)[:\s]+(.*?)(?:\n\n|\z)"
+POST_MUST = r"\b(?:must|required|essential|need)"
+POST_MAY = r"\b(?:preferred|nice|bonus|plus|advantage)"
+LEADERSHIP_INFERRED = ["lead", "principal", "staff", "manager", "director", "vp", "chief"]

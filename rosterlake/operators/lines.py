@@ -74,7 +74,7 @@ def priority_pick(candidates: DataFrame, doc: str, priority: str, place: str) ->
 
 def vertical_groups(blocks: DataFrame, doc: str, gap: int = 20) -> DataFrame:
     """(doc, page, group, text): tokens in reading order, a new group where y moves by at least gap."""
-    order = Window.partitionBy(doc, "page").orderBy("top", "left")
+    order = Window.partitionBy(doc, "page").orderBy("top", "left", "text")
     new = (F.abs(F.col("top") - F.lag("top").over(order)) >= gap).cast("int")
     grouped = blocks.withColumn("group", F.sum(F.coalesce(new, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return grouped.groupBy(doc, "page", "group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "left", "text"))), lambda x: x["text"]), " ").alias("text"))
