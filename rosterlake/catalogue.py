@@ -371,7 +371,8 @@ def version_next(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT c_custkey AS resume_id, o.o_orderkey, o.v AS version_number FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS back FROM orders) AS o ON o.o_custkey = c_custkey AND back = 1")
 def version_current(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "orders").withColumn("version_number", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
+    o = table(spark, d, "orders")
+    v = upserts.number_versions(o, o.filter("false").select("o_custkey", F.lit(0).alias("version_number")), "o_custkey", "version_number", ["o_orderdate", "o_orderkey"])
     now = upserts.flag_current(v, "o_custkey", "version_number").filter("is_current")
     return table(spark, d, "customer").join(now, F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("c_custkey").alias("resume_id"), "o_orderkey", "version_number")
 
@@ -428,15 +429,15 @@ def merge_entries(spark: SparkSession, d: str) -> DataFrame:
     return upserts.merge_entries(o, ["o_custkey", "o_orderstatus"], ["price", "priority"], "o_orderkey")
 
 
-@_query("""WITH a AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority)) AS s FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), b AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority)) AS s, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
-SELECT coalesce(a.k, b.k) AS candidate_id, list_sort(list_distinct(list_concat(coalesce(a.s, []), coalesce(b.s, [])))) AS skills, CASE WHEN a.s IS NULL THEN b.n ELSE len(a.s) END AS entries FROM a FULL JOIN b ON a.k = b.k""")
+@_query("""WITH a AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority)) AS s, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), b AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority)) AS s, count(*) AS n FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS candidate_id, list_sort(list_distinct(list_concat(coalesce(a.s, []), coalesce(b.s, [])))) AS skills, coalesce(a.n, b.n) AS entries FROM a FULL JOIN b ON a.k = b.k""")
 def merge_parses(spark: SparkSession, d: str) -> DataFrame:
-    """Skills of two parses united; entries from the second only where the first has none."""
+    """Open orders as one parse and all others as another: skills united, entries from the second only where the first has none."""
+    def parsed(orders: DataFrame) -> DataFrame:
+        return orders.groupBy(F.col("o_custkey").alias("candidate_id")).agg(F.collect_set("o_orderpriority").alias("skills"), F.count(F.lit(1)).alias("entries"))
+
     o = table(spark, d, "orders")
-    a = o.filter("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("candidate_id")).agg(F.collect_set("o_orderpriority").alias("s"))
-    b = o.filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("candidate_id")).agg(F.collect_set("o_orderpriority").alias("t"), F.count(F.lit(1)).alias("n"))
-    none = F.array().cast("array<string>")
-    return a.join(b, "candidate_id", "full").select("candidate_id", F.array_sort(F.array_union(F.coalesce("s", none), F.coalesce("t", none))).alias("skills"), F.when(F.col("s").isNull(), F.col("n")).otherwise(F.size("s")).cast("long").alias("entries"))
+    return upserts.merge_parses(parsed(o.filter("o_orderstatus = 'O'")), parsed(o.filter("o_orderstatus <> 'O'")), "candidate_id", "skills", "entries")
 
 
 # --- lines --------------------------------------------------------------------------------------------------
@@ -512,7 +513,7 @@ def request_rate_violations(spark: SparkSession, d: str) -> DataFrame:
 def event_dedup(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "ts")
     again = table(spark, d, "events").filter("value > 50").select("event_id", "ts")
-    return e.unionByName(again).groupBy("event_id").agg(F.min("ts").alias("ts"))
+    return ingest.drop_repeats_of_table(e.unionByName(again), "event_id", "ts")
 
 
 @_query("SELECT user_id, arg_max(event_type, row(ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .columns import any_of, hits
-from .records import clean_skill, valid_skill
+from .records import clean_skill, filled, valid_skill  # noqa: F401
 
 
 def some(text: Column) -> Column:

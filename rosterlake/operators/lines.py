@@ -88,3 +88,13 @@ def column_split(blocks: DataFrame, doc: str) -> DataFrame:
     best = gaps.groupBy(doc, "page").agg(F.max_by((F.col("left") + F.col("_p")) / 2, F.struct("_g", -F.col("left"))).alias("split"))
     sides = blocks.join(best, [doc, "page"]).groupBy(doc, "page", "split").agg(F.sum(F.when(F.col("left") < F.col("split"), F.length("text"))).alias("_l"), F.sum(F.when(F.col("left") >= F.col("split"), F.length("text"))).alias("_r"))
     return sides.filter("_l > 100 AND _r > 100").select(doc, "page", "split")
+
+
+def listed_after(lines: DataFrame, doc: str, keyword: str, most: int) -> DataFrame:
+    """(doc, items): the first lines after one that holds the keyword, bullets stripped; blank lines and further keyword lines do not count."""
+    hit = F.contains(F.lower("line"), F.lit(keyword.lower()))
+    begun = F.min(F.when(hit, F.col("line_no"))).over(Window.partitionBy(doc))
+    after = lines.withColumn("_k", begun).withColumn("_hit", hit).filter("line_no > _k AND NOT _hit AND trim(line) <> ''")
+    ranked = after.withColumn("_n", F.row_number().over(_order(doc))).filter(F.col("_n") <= most)
+    item = F.trim(F.regexp_replace(F.trim("line"), "^[-•]+", ""))
+    return ranked.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", item.alias("i")))), lambda x: x["i"]).alias("items"))

@@ -108,3 +108,19 @@ def block_labels(marked: DataFrame, doc: str, near_top: float = 100) -> DataFram
     order = Window.partitionBy(doc).orderBy("page", "top", "left", "text").rowsBetween(Window.unboundedPreceding, 0)
     none = F.when(F.col("top") < near_top, "header").otherwise("other")
     return marked.withColumn("label", F.coalesce(F.last("section", True).over(order), none))
+
+
+def simple_entries(lines: DataFrame, doc: str, kinds: dict[str, Column]) -> DataFrame:
+    """(doc, entry_no, one column a kind): lines between blank ones, the first of each kind; entries with none are left out."""
+    numbered = lines.withColumn("entry_no", F.sum((F.trim("line") == "").cast("int")).over(_down(doc)))
+    first = [F.min_by(F.trim("line"), F.when(c, F.col("line_no"))).alias(n) for n, c in kinds.items()]
+    return numbered.groupBy(doc, "entry_no").agg(*first).filter(F.coalesce(*kinds).isNotNull())
+
+
+def segment_entries(blocks: DataFrame, doc: str, title: Column, gap: float) -> DataFrame:
+    """(doc, page, entry_no, title, n_blocks): blocks in reading order; a title, or one over gap below the last, opens an entry."""
+    order = Window.partitionBy(doc, "page").orderBy("top", "left", "text")
+    opens = title | F.coalesce(F.col("top") - F.lag("top").over(order) > gap, F.lit(False))
+    marked = blocks.withColumn("_t", title).withColumn("_o", opens.cast("int"))
+    numbered = marked.withColumn("entry_no", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(doc, "page", "entry_no").agg(F.min(F.when(F.col("_t"), F.col("text"))).alias("title"), F.count_if(~F.col("_t")).alias("n_blocks"))

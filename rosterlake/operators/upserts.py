@@ -36,6 +36,12 @@ def flag_current(versions: DataFrame, key: str, version: str) -> DataFrame:
     return versions.withColumn("is_current", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version))) == 1)
 
 
+def append_versions(old: DataFrame, new: DataFrame, key: str, version: str, order: list[str]) -> DataFrame:
+    """old and new rows together, the new ones numbered on, is_current on each key's last. Nothing stored has to change but this flag."""
+    numbered = number_versions(new, old, key, version, order)
+    return flag_current(old.unionByName(numbered), key, version)
+
+
 def soft_delete(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     marks = keys.select(key).distinct().withColumn("_gone", F.lit(True))
     return df.join(marks, key, "left").withColumn("is_archived", F.coalesce("_gone", F.lit(False))).withColumn("is_active", F.col("_gone").isNull()).drop("_gone")
@@ -58,6 +64,16 @@ def merge_entries(entries: DataFrame, keys: list[str], values: list[str], order:
     return entries.groupBy(*keys).agg(*first)
 
 
+def merge_parses(first: DataFrame, second: DataFrame, key: str, united: str, entries: str) -> DataFrame:
+    """(key, united, entries): lists of two parses united and sorted; the second's count of entries only where the first has none."""
+    none = F.array().cast("array<string>")
+    a = first.select(key, F.col(united).alias("_u1"), F.col(entries).alias("_e1"))
+    b = second.select(key, F.col(united).alias("_u2"), F.col(entries).alias("_e2"))
+    both = F.array_sort(F.array_union(F.coalesce("_u1", none), F.coalesce("_u2", none)))
+    kept = F.when(F.coalesce("_e1", F.lit(0)) == 0, F.col("_e2")).otherwise(F.col("_e1"))
+    return a.join(b, key, "full").select(key, both.alias(united), kept.cast("long").alias(entries))
+
+
 def fold_terms(terms: DataFrame, doc: str, term: str) -> DataFrame:
     """Terms of a document that contain no other term of it: of a term and a longer form the shorter stays. Order does not matter."""
     every = terms.select(F.col(doc).alias("_d"), F.col(term).alias("_t")).distinct()

@@ -26,16 +26,13 @@ def page(df: DataFrame, order: list[Column], skip: int = 0, limit: int = 100, **
 
 
 def landing_zone(spark: SparkSession, path: str, *, kinds: str = "*.{txt,json}", largest: int = 10 << 20) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) files of a folder: rejected are those above the size cap. Other kinds are not read at all."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", kinds).load(path)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("file_size"), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("file_type"), "content")
-    good = named.filter(F.col("file_size") <= largest).select("file_name", "file_size", "file_type", F.decode("content", "UTF-8").alias("raw_text"), F.lit("pending").alias("processing_status"))
-    return good, named.filter(F.col("file_size") > largest).select("file_name", "file_size", "file_type", F.lit("too large").alias("reason"))
-
-
-def append_versions(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("is_current").parquet(path)
-
-
-def write_payload(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """(accepted, rejected) files of a folder. Rejected are other kinds, whose content is never read, and files above the size cap."""
+    def named(files: DataFrame, *more: str) -> DataFrame:
+        return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("file_size"), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("file_type"), *more)
+
+    read = spark.read.format("binaryFile")
+    every, fit = named(read.load(path)), named(read.option("pathGlobFilter", kinds).load(path), "content")
+    good = fit.filter(F.col("file_size") <= largest).select("file_name", "file_size", "file_type", F.decode("content", "UTF-8").alias("raw_text"), F.lit("pending").alias("processing_status"))
+    known = fit.select("file_name").distinct().withColumn("_fit", F.lit(True))
+    reason = F.when(F.col("_fit").isNull(), "kind").when(F.col("file_size") > largest, "too large")
+    return good, every.join(known, "file_name", "left").withColumn("reason", reason).filter("reason IS NOT NULL").drop("_fit")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -34,6 +34,17 @@ def drop_repeats(stream: DataFrame, key: str, ts: str, delay: str = "10 minutes"
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+def drop_repeats_of_table(events: DataFrame, key: str, ts: str) -> DataFrame:
+    """drop_repeats for a table: each key once, at its first time."""
+    return events.groupBy(key).agg(F.min(ts).alias(ts))
+
+
+def unexpired(entries: DataFrame, ts: str, minutes: Column, now) -> DataFrame:
+    """entries with expires_at, those that live beyond now; minutes is how long each lives."""
+    until = F.col(ts) + F.make_dt_interval(mins=minutes.cast("int"))
+    return entries.withColumn("expires_at", until).filter(F.col("expires_at") > F.lit(now)).drop(ts)
+
+
 def progress(events: DataFrame, ts: str, status: str, size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Count by window and status."""
     window = F.window(ts, size, slide) if slide else F.window(ts, size)

@@ -124,7 +124,7 @@ def test_landing_zone_and_pages(spark, tmp_path):
     (tmp_path / "b.txt").write_text("x" * 100)
     (tmp_path / "c.exe").write_text("no")
     good, bad = landing_zone(spark, str(tmp_path), largest=50)
-    assert [(r.file_name, r.raw_text) for r in good.collect()] == [("a.txt", "hello")] and [r.file_name for r in bad.collect()] == ["b.txt"]
+    assert [(r.file_name, r.raw_text) for r in good.collect()] == [("a.txt", "hello")] and sorted((r.file_name, r.reason) for r in bad.collect()) == [("b.txt", "too large"), ("c.exe", "kind")]
     df = spark.range(30)
     assert [r.id for r in page(df, [F.desc("id")], 5, 3).collect()] == [24, 23, 22] and by_key(df, "id", 7).count() == 1
     with pytest.raises(ValueError):
