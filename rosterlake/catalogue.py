@@ -196,14 +196,28 @@ def levenshtein_skill_join(spark: SparkSession, d: str) -> DataFrame:
     return skills.levenshtein_join(t, t).filter("l < r")
 
 
-@_query()
+#: Ratcliff-Obershelp: the longest common block, first in the left term, then in the right one; then both sides of it again.
+_RATIO_SQL = """pairs AS (SELECT a.term AS l, b.term AS r, a.norm AS ln, b.norm AS rn FROM terms AS a JOIN terms AS b ON a.term <> b.term AND least(length(a.norm), length(b.norm)) >= 4 AND 2 * least(length(a.norm), length(b.norm)) >= 0.85::DOUBLE * (length(a.norm) + length(b.norm))),
+blocks AS (SELECT l, r, ln AS x, rn AS y, 0 AS m FROM pairs UNION ALL
+  SELECT l, r, s.x, s.y, s.m FROM (SELECT l, r, unnest([{'x': substr(x, 1, i - 1), 'y': substr(y, 1, j - 1), 'm': n}, {'x': substr(x, i + n), 'y': substr(y, j + n), 'm': 0}]) AS s FROM (
+    SELECT *, strpos(y, substr(x, i, n)) AS j FROM (SELECT l, r, x, y, -best.i AS i, best.n AS n FROM (
+      SELECT l, r, x, y, list_max(flatten(list_transform(range(1, length(x) + 1), lambda p: list_transform(list_filter(range(1, length(x) - p + 2), lambda q: contains(y, substr(x, p, q))), lambda q: {'n': q, 'i': -p})))) AS best FROM blocks WHERE x <> '' AND y <> '') WHERE best IS NOT NULL)))),
+ratios AS (SELECT l, r, 2.0::DOUBLE * sum(m) / (length(l_norm) + length(r_norm)) AS ratio FROM (SELECT blocks.l, blocks.r, m, ln AS l_norm, rn AS r_norm FROM blocks JOIN pairs ON pairs.l = blocks.l AND pairs.r = blocks.r) GROUP BY l, r, l_norm, r_norm)"""
+
+
+@_query(f"WITH RECURSIVE {_TERMS_SQL}, {_RATIO_SQL} SELECT l, r, ratio FROM ratios WHERE ratio >= 0.85::DOUBLE")
 def fuzzy_skill_join(spark: SparkSession, d: str) -> DataFrame:
     """The ratio depends on the side that comes first, so both orders are kept."""
     t = _vocabulary(spark, d)
     return skills.fuzzy_join(t, t).filter("l <> r")
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_TERMS_SQL}, {_RATIO_SQL}, raw_alias AS (SELECT k AS raw_key, {_norm_sql('k')} AS k, {_norm_sql('v')} AS v FROM (VALUES {_ALIASES}) AS t(k, v)),
+alias AS (SELECT DISTINCT k AS norm, v AS variation FROM raw_alias WHERE k = raw_key UNION SELECT DISTINCT a.v, b.v FROM raw_alias AS a JOIN raw_alias AS b USING (raw_key) WHERE a.v <> a.k), s AS (SELECT term, norm AS variation FROM terms UNION SELECT term, variation FROM terms JOIN alias USING (norm)),
+p AS (SELECT term, CASE WHEN ends_with(norm, 's') AND length(norm) > 3 THEN regexp_replace(norm, 's+$', '') ELSE norm END AS k FROM terms)
+SELECT l, r FROM ratios WHERE ratio >= 0.85::DOUBLE UNION SELECT a.term, b.term FROM s AS a JOIN s AS b USING (variation) WHERE a.term <> b.term UNION SELECT a.term, b.term FROM p AS a JOIN p AS b USING (k) WHERE length(k) >= 3 AND a.term <> b.term
+UNION SELECT a.term, b.term FROM terms AS a JOIN terms AS b ON (contains(a.norm, b.norm) OR contains(b.norm, a.norm)) AND least(length(a.norm), length(b.norm)) >= 4 AND abs(length(a.norm) - length(b.norm)) <= 3
+  WHERE a.term <> b.term AND NOT list_contains(['java|javascript', 'javascript|js', 'internet|net', 'go|golang'], least(a.norm, b.norm) || '|' || greatest(a.norm, b.norm))""")
 def combined_skill_match(spark: SparkSession, d: str) -> DataFrame:
     t = _vocabulary(spark, d)
     return skills.combined_join(t, t, skills.alias_table(spark)).filter("l <> r")
