@@ -37,18 +37,22 @@ def work_path(spark: SparkSession, label: str) -> str:
 def text_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Let Arrow batches of whole texts hold at most so many rows, so that tasks need little memory beside the JVM's.
 
-    The setting is the session's own and only ever made smaller.
+    The setting is the session's own, read when a plan runs and so not restored here; it is only ever made smaller. Spark's
+    spark.sql.execution.arrow.maxBytesPerBatch bounds the bytes of a batch besides.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows:
         spark.conf.set(name, rows)
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet work table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def saved(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write df as a Parquet work table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    With by, a folder for each value of that column; a filter on it reads that folder alone.
+    """
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.work_path = path
     return out

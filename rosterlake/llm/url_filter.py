@@ -6,8 +6,8 @@ level that rejects it is odd. Because the cascade was built over every key of th
 the only thing a row meets is a few bit arrays: rows of the corpus are never joined or shuffled to be judged.
 
 All of it is DataFrame functions. A level's bits are a one-row table read by a scalar subquery. Its size is known before
-it is built; a list too long for max_level_bytes is cut by key hash into blocks, each with a cascade of its own, and the
-corpus is judged block after block.
+it is built; a list too long for max_level_bytes is cut by key hash into blocks, each with a cascade of its own. Rows and keys
+are then dealt to the blocks once, and each block reads its own.
 """
 
 from __future__ import annotations
@@ -139,9 +139,14 @@ def judge_urls(
     def block(k: Column) -> Column:
         return F.pmod(F.xxhash64(k, F.lit(-1)), F.lit(blocks))
 
+    mark = fresh("_block", [*own, h, p])
+    if blocks > 1:
+        rows = saved(rows.withColumn(mark, block(key)), "url-rows", by=mark)
+        dealt, keys = keys, saved(keys.withColumn(mark, block(F.col("key"))), "url-keys", by=mark)
+        discard(dealt)
     done = []
     for b in range(blocks):
-        part, own_keys = (rows, keys) if blocks == 1 else (rows.filter(block(key) == b), keys.filter(block(F.col("key")) == b))
+        part, own_keys = (rows, keys) if blocks == 1 else (rows.filter(F.col(mark) == b), keys.filter(F.col(mark) == b).drop(mark))
         cascade = build_cascade(own_keys, rate)
         out = part.select(
             *[F.col(c) for c in own], F.col(h).alias("host"), F.col(p).alias("path"), rule.alias("rule"),
@@ -151,6 +156,7 @@ def judge_urls(
     if blocks == 1:
         return done[0]
     discard(keys)
+    discard(rows)
     return reduce(DataFrame.unionByName, done)
 
 
