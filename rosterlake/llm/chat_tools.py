@@ -14,7 +14,6 @@ import math
 import re
 from collections import deque
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,23 +79,24 @@ def parse_arguments(text: str | None):
     return json.loads(text, parse_constant=_finite, parse_float=_finite)
 
 
-def _levels_of(edges: pd.DataFrame) -> pd.DataFrame:
-    """(conv, call_id, level) of the calls of one conversation that depend, at whatever distance, on a later one."""
+def _levels_of(edges: list[tuple[str, str, bool]]) -> dict[str, int | None]:
+    """Levels of the calls of one conversation that depend, at whatever distance, on a later one; edges are (call, dependency, late)."""
     users: dict[str, list[str]] = {}
-    for call, dep in zip(edges["call_id"], edges["dep"]):
+    for call, dep, _ in edges:
         users.setdefault(dep, []).append(call)
-    late = set(edges["call_id"][edges["late"]])
+    late = {call for call, _, is_late in edges if is_late}
     todo = list(late)
     while todo:
         more = [u for u in users.get(todo.pop(), ()) if u not in late]
         late.update(more)
         todo += more
     open_deps = dict.fromkeys(late, 0)
-    for call, dep in zip(edges["call_id"], edges["dep"]):
+    for call, dep, _ in edges:
         if dep in late:
             open_deps[call] += 1
-    level = {c: 1 for c, n in open_deps.items() if not n}
-    ready = deque(level)
+    level: dict[str, int | None] = dict.fromkeys(late)
+    ready = deque(c for c, n in open_deps.items() if not n)
+    level.update(dict.fromkeys(ready, 1))
     while ready:
         call = ready.popleft()
         for user in users.get(call, ()):
@@ -104,7 +104,28 @@ def _levels_of(edges: pd.DataFrame) -> pd.DataFrame:
             if not open_deps[user]:
                 level[user] = level[call] + 1  # the last dependency to be placed is the deepest
                 ready.append(user)
-    return pd.DataFrame({"conv": edges["conv"].iloc[0], "call_id": list(late), "level": pd.array([level.get(c) for c in late], "Int32")})
+    return level
+
+
+def _order_conversations(batches):
+    """Levels for rows (conv, call_id, dep, late) that come sorted by conv; a conversation may reach over batches."""
+    def done(conv: str, edges: list) -> pa.RecordBatch:
+        level = _levels_of(edges)
+        return pa.RecordBatch.from_arrays([pa.array([conv] * len(level)), pa.array(list(level), pa.string()), pa.array(list(level.values()), pa.int32())], names=["conv", "call_id", "level"])
+
+    conv, edges = None, []
+    for batch in batches:
+        ready = []
+        for own, *edge in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != conv and edges:
+                ready.append(done(conv, edges))
+                edges = []
+            conv = own
+            edges.append(tuple(edge))
+        if ready:
+            yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0]
+    if edges:
+        yield done(conv, edges)
 
 
 def dependency_levels(calls: DataFrame) -> DataFrame:
@@ -119,7 +140,8 @@ def dependency_levels(calls: DataFrame) -> DataFrame:
     edges = saved(edges.select("conv", "call_id", "dep", (F.col("dep_place") >= F.col("place")).alias("late")), "chat-edges")
     convs = saved(edges.groupBy("conv").agg(F.count(F.lit(1)).alias("edges"), F.bool_or("late").alias("late")).filter("late").select("conv", "edges"), "chat-late")
     few = edges.join(convs.filter(F.col("edges") <= GROUP_EDGES), "conv").select("conv", "call_id", "dep", "late")
-    marks = few.groupBy("conv").applyInPandas(_levels_of, "conv string, call_id string, level int")
+    sorted_few = few.repartition("conv").sortWithinPartitions("conv")
+    marks = sorted_few.mapInArrow(_order_conversations, "conv string, call_id string, level int")
     large = convs.filter(F.col("edges") > GROUP_EDGES)
     if not large.isEmpty():
         marks = marks.unionByName(_levels_by_rounds(edges.join(large.select("conv"), "conv")))
