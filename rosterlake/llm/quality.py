@@ -37,7 +37,7 @@ MOST_LABELS = 200_000  # labels that keep_good learns from, about
 
 
 def _classes() -> np.ndarray:
-    out = np.zeros((8, 256), dtype=np.uint8)
+    out = np.zeros((8, 256), dtype=np.int32)
     out[0, [*range(65, 91), *range(97, 123)]] = 1
     out[1, range(65, 91)] = 1
     out[2, range(48, 58)] = 1
@@ -50,6 +50,7 @@ def _classes() -> np.ndarray:
 
 
 _CLASSES = _classes()
+_SMALL = _CLASSES.astype(np.uint8)  # slower to look up, but a byte for each byte of a long text
 
 
 def statistics(column: pa.Array) -> np.ndarray:
@@ -64,21 +65,29 @@ def statistics(column: pa.Array) -> np.ndarray:
         def per_row(flags: np.ndarray, edges: np.ndarray = at) -> np.ndarray:
             if len(edges) == 2:  # one long text: no running sums
                 return np.array([float(np.count_nonzero(flags[edges[0] : edges[1]]))])
-            sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+            sums = np.zeros(len(flags) + 1, np.int32)  # a slice of several texts is small
+            np.cumsum(flags, dtype=np.int32, out=sums[1:])
             return np.diff(sums[edges]).astype(float)
 
         def per_word(flags: np.ndarray, least: int) -> np.ndarray:
             """Words with at least so many of the bytes flagged; bytes between words never are."""
-            return np.add.reduceat(flags, start, dtype=np.int32) >= least if len(start) else np.zeros(0, bool)
+            if not len(start):
+                return np.zeros(0, bool)
+            if len(at) == 2:
+                return np.add.reduceat(flags, start, dtype=np.int32) >= least
+            sums = np.zeros(len(flags) + 1, np.int32)
+            np.cumsum(flags, dtype=np.int32, out=sums[1:])
+            return sums[end] - sums[start] >= least
 
         # Shares lean towards 0, and means towards a usual value, where a text is too short to tell.
         some, some_words = size + 20, n_words + 4
-        counts = [per_row(_CLASSES[i][data]) for i in range(8)]
+        classes = _SMALL if len(at) == 2 else _CLASSES
+        counts = [per_row(classes[i][data]) for i in range(8)]
         bar, mark, line = (per_row(data == c) for c in b"|!\n")
         length = (end - start).astype(float)
         mean = (per_row_float(length, first) + 4 * 5) / some_words
         spread = np.sqrt(np.maximum(0, per_row_float(length**2, first) / some_words - mean**2))
-        odd_words, cap_words = per_row(per_word(_CLASSES[7][data] | (data == 33), 1), first), per_row(per_word(_CLASSES[1][data], 2), first)
+        odd_words, cap_words = per_row(per_word(classes[7][data] | (data == 33), 1), first), per_row(per_word(classes[1][data], 2), first)
         again = []
         for back in (1, 2):
             same = np.zeros(len(word), bool)
