@@ -94,9 +94,12 @@ def fold_ascii(column):
     return F.translate(column, UPPER, LOWER)
 
 
-def running_totals(df: DataFrame, group: str, order: list[str], amount: str, label: str) -> DataFrame:
+def running_totals(df: DataFrame, group: str, order: list[str], amount: str, label: str, *, split: list | None = None, count: str | None = None) -> DataFrame:
     """Add before (sum of amount over the group's earlier rows) and rank (from 0) in the order given.
 
+    split, columns that agree with the order, deals the rows to tasks in its place: for an order that ends in long texts, whose
+    beginnings are enough. count names a column for the group's number of rows.
+
     The rows are range-sorted over the cluster on (group, order), so that a group holding most rows spreads over many
     tasks; each task adds up its own rows, and the few totals per task and group are prefix-summed and joined back.
     group, order and amount may not be null, except group, where null is a group of its own.
@@ -104,7 +107,8 @@ def running_totals(df: DataFrame, group: str, order: list[str], amount: str, lab
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = [F.col(group).asc_nulls_last(), *[F.col(c).asc() for c in order]]
-    ordered = df.repartitionByRange(n, *key).sortWithinPartitions(*key).withColumn("_part", F.spark_partition_id())
+    deal = [key[0], *split] if split else key
+    ordered = df.repartitionByRange(n, *deal).sortWithinPartitions(*key).withColumn("_part", F.spark_partition_id())
     schema = T.StructType([*ordered.schema.fields, T.StructField("_in", T.LongType()), T.StructField("_at", T.LongType())])
     arrow_in, arrow_at = pa.field("_in", pa.int64()), pa.field("_at", pa.int64())
 
@@ -135,6 +139,7 @@ def running_totals(df: DataFrame, group: str, order: list[str], amount: str, lab
     from pyspark.sql import Window
 
     earlier = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("_g", "_p", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_c0"))
+    whole = [F.sum("_c").over(Window.partitionBy("_g")).alias(count)] if count else []
+    ends = ends.select("_g", "_p", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_c0"), *whole)
     joined = parts.join(ends, (F.col(group).eqNullSafe(F.col("_g"))) & (F.col("_part") == F.col("_p")), "left")
     return joined.withColumn("before", F.col("_in") + F.col("_s0")).withColumn("rank", F.col("_at") + F.col("_c0")).drop("_part", "_in", "_at", "_g", "_p", "_s0", "_c0")

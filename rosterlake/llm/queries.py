@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, op1 to op10, each over its whole tables, and their SQL where SQL can say it."""
+"""The registered queries of this subpackage, op1 to op13, each over its whole tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import RANKS, decode_ids, encode_texts
 from .chat_tools import TURN_SCHEMAS, link_tools, turns_as_tools
 from .common import table, work_path
+from .conversation_repair import repair_reports, with_planted_faults
 from .decontaminate import find_contamination, ids_digest
 from .minhash import similar_groups
 from .mixing import mix_sources
+from .periodic_runs import find_runs, longest_run, runs_digest, with_planted_runs
 from .quality import score_quality
 from .sharding import shard_documents
-from .token_counts import RANKS, count_tokens
+from .token_counts import count_tokens
 from .url_filter import judge_urls, referral_keys
 from .vector_dedup import similar_vectors
 from .warc import read_warc, write_warc
@@ -65,8 +68,30 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), k=2)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair_reports(with_planted_faults(turns), turns)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")), keep=["doc_id"])
+    best = longest_run(F.col("runs"))
+    found = found.withColumn("best", best).select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", "runs", "collapsed")
+    thousandths = F.floor(F.lit(1000).cast("long") * F.col("length") / F.col("period")).alias("exponent_milli")
+    return found.select("doc_id", "n_runs", "start", "length", "period", thousandths, runs_digest(F.col("runs")).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks_path=ranks, pattern=pattern)
+    ids = ids.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return decode_ids(ids, keep=["doc_id", "n_tokens", "ids_sha256"], ranks_path=ranks, pattern=pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_url_filters, op2_quality_classifier, op3_chat_tool_links, op4_decontamination, op5_sharding, op6_warc, op7_mixing, op8_token_counts, op9_embedding_near_dedup, op10_minhash_near_dedup)
+    every = (op1_url_filters, op2_quality_classifier, op3_chat_tool_links, op4_decontamination, op5_sharding, op6_warc, op7_mixing, op8_token_counts, op9_embedding_near_dedup, op10_minhash_near_dedup, op11_conversation_repair, op12_periodic_runs, op13_byte_bpe)
     return {f.__name__: f for f in every}
 
 
@@ -160,8 +185,45 @@ c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c ON c.a = doc_id"""
 
 
+#: A struct of (cost, edits, repaired text) for what comes from a row on, in each of four states: nothing written, a system turn, whole pairs, an open pair.
+_FAR = "{'c': 1000000, 'a': '~', 'r': ''}"
+
+
+def _edited(state: str, cost: str, letter: str, line: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {letter} || {state}.a, 'r': {line} || CASE WHEN {state}.r = '' THEN '' ELSE chr(10) || {state}.r END}}"
+
+
+def _turned(role: str, initial: str, state: str) -> str:
+    """The row kept or given another role, unless it must go."""
+    kept = f"initial = '{initial}'"
+    return f"""CASE WHEN fault IN ('blank', 'duplicate') THEN {_FAR} ELSE {_edited(state, f"CASE WHEN {kept} THEN 0 ELSE 1 END + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END", f"CASE WHEN {kept} THEN 'K' ELSE 'R' END", f"CASE WHEN {kept} THEN role ELSE '{role}' END || ':' || text")} END"""
+
+
+_DROPPED = {q: f"{{'c': w.{q}.c + 2, 'a': 'D' || w.{q}.a, 'r': w.{q}.r}}" for q in "nspo"}
+_SYSTEM_KEPT = f"""CASE WHEN initial = 's' AND fault NOT IN ('blank', 'duplicate') THEN {_edited('w.s', "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END", "'K'", "role || ':' || text")} ELSE {_FAR} END"""
+_INSERTED = lambda role, state: _edited(state, "5", "'I'", f"'{role}:'")
+
+OP11_SQL = rf"""
+WITH RECURSIVE bits AS (SELECT list(x ORDER BY i) AS t FROM (SELECT i, list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS x FROM range(256) AS r(i))),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT k.*, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(key[i]) AS UBIGINT))), lambda c, b: xor(c // 256, t[CAST(xor(c, b) % 256 AS BIGINT) + 1])), 4294967295) % 20 AS h FROM k, bits),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, right(rtrim(text, e' 	
+'), 1) AS tail, substr(role, 1, 1) AS initial FROM d),
+f AS (SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+  count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+b AS (SELECT conv_id, n + 1 AS i, {{'c': 0, 'a': '', 'r': ''}} AS n, {{'c': 10, 'a': 'II', 'r': 'user:' || chr(10) || 'assistant:'}} AS s, {{'c': 0, 'a': '', 'r': ''}} AS p, {{'c': 5, 'a': 'I', 'r': 'assistant:'}} AS o FROM c
+  UNION ALL SELECT conv_id, i, list_min([n, {_INSERTED('user', 'z')}]), list_min([s, {_INSERTED('user', 'z')}]), list_min([p, {_INSERTED('user', 'o')}]), z FROM (SELECT *, list_min([o, {_INSERTED('assistant', 'p')}]) AS z FROM (
+    SELECT w.conv_id, f.i, list_min([{_DROPPED['n']}, {_turned('user', 'u', 'w.o')}, {_SYSTEM_KEPT}]) AS n, list_min([{_DROPPED['s']}, {_turned('user', 'u', 'w.o')}]) AS s, list_min([{_DROPPED['p']}, {_turned('user', 'u', 'w.o')}]) AS p, list_min([{_DROPPED['o']}, {_turned('assistant', 'a', 'w.p')}]) AS o
+    FROM b AS w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i - 1)))
+SELECT e.conv_id AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(n.c, 0) AS BIGINT) AS cost, coalesce(n.a, '') AS audit, sha256(coalesce(n.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS e LEFT JOIN (SELECT c.* EXCLUDE (n), b.n AS n FROM c JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.i = 1) AS x ON x.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filters": OP1_SQL, "op3_chat_tool_links": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_warc": OP6_SQL,
-        "op7_mixing": OP7_SQL, "op9_embedding_near_dedup": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL,
+        "op7_mixing": OP7_SQL, "op9_embedding_near_dedup": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL, "op11_conversation_repair": OP11_SQL,
     }

@@ -9,78 +9,19 @@ two tokens; a prefix scan over the few numbers per block then joins what block a
 
 from __future__ import annotations
 
-import base64
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .byte_bpe import RANKS, send_codec
 from .common import saved, text_batches, work_path
 
-#: The vocabulary's own split pattern and end-of-document id (fixed values of the public tokenizer).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The vocabulary's end-of-document id (a fixed value of the public tokenizer).
 END_ID = 50256
-RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 _KIND = ">u2"
 _WIDTH = 2
-_PART = 1 << 18  # characters that are encoded at once, where the text allows a cut
-_RUN = 1 << 10  # white space from this length on is encoded apart
-
-_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_LONG_RUN = re.compile(rf"{_SPACE}{{{_RUN},}}")
-_CUT = re.compile(rf"(?<!{_SPACE})(?={_SPACE})")
-
-
-def load_encoding(ranks_path: str, pattern: str = PATTERN):
-    import tiktoken
-
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-_encodings: dict[tuple[str, str], object] = {}
-
-
-def _encoding(ranks_path: str, pattern: str = PATTERN):
-    if (ranks_path, pattern) not in _encodings:
-        _encodings[ranks_path, pattern] = load_encoding(ranks_path, pattern)
-    return _encodings[ranks_path, pattern]
-
-
-def _parts(text: str):
-    """text in parts, cut only where white space follows something else: no match of the pattern reaches across."""
-    a = 0
-    while len(text) - a > _PART:
-        cut = _CUT.search(text, a + _PART)
-        if cut is None:
-            break
-        yield text[a : cut.start()]
-        a = cut.start()
-    yield text[a:]
-
-
-def encode_bytes(text: str | None, ranks_path: str) -> bytes:
-    """Token ids of a text; strings of special tokens are ordinary text.
-
-    The pattern takes a run of white space whole at the end of a text, and else but for its last character, which goes with
-    what follows. Long runs are too deep for the pattern's own search, so they are cut out by this rule and encoded as the
-    one piece that they are. What stands between runs is encoded in parts; all of it equals the encoding of the whole.
-    """
-    text = text or ""
-    if len(text) < _RUN:
-        return np.asarray(_encoding(ranks_path).encode_ordinary(text), dtype=_KIND).tobytes()
-    whole, out, a = _encoding(ranks_path, "(?s:.+)"), [], 0
-    for run in _LONG_RUN.finditer(text):
-        stop = run.end() - (run.end() < len(text))
-        out += [np.asarray(_encoding(ranks_path).encode_ordinary(p), dtype=_KIND) for p in _parts(text[a : run.start()])]
-        out.append(np.asarray(whole.encode_ordinary(text[run.start() : stop]), dtype=_KIND))
-        a = stop
-    out += [np.asarray(_encoding(ranks_path).encode_ordinary(p), dtype=_KIND) for p in _parts(text[a:])]
-    return np.concatenate(out).astype(_KIND).tobytes()
 
 
 def write_token_files(docs: DataFrame, path: str, *, text: str = "text", key: str | None = None, ranks_path: str = RANKS, end_id: int = END_ID) -> None:
@@ -89,7 +30,7 @@ def write_token_files(docs: DataFrame, path: str, *, text: str = "text", key: st
     The writer puts bytes down as they are and ends each row with the line separator; that is the last byte of the
     end-of-document id, whose other byte ends the row. So the id's last byte must be ASCII. Null texts count as empty. With
     key, the same tasks write path/kind=keys: the keys as text, in hexadecimal, null as a hyphen, in the order of the
-    documents of the token file of that number. The file of ranks must stand at the same path on every executor.
+    documents of the token file of that number. The driver reads the file of ranks and sends it to the tasks.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -97,11 +38,13 @@ def write_token_files(docs: DataFrame, path: str, *, text: str = "text", key: st
     if not 0 < tail < 128 or chr(tail).lower() in "0123456789abcdef-":
         raise ValueError("the last byte of the end-of-document id must be ASCII, not 0, no hexadecimal digit and no hyphen")
 
+    codec = send_codec(spark, ranks_path)
+
     def encode(batches):
         for batch in batches:
             texts = batch.column(0)
             for a in range(0, len(texts), 256):
-                own = [encode_bytes(t, ranks_path) + head for t in texts.slice(a, 256).to_pylist()]
+                own = [codec.value.encode(t).astype(_KIND).tobytes() + head for t in texts.slice(a, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(["tokens"] * len(own)), pa.array(own, pa.binary())], names=["kind", "b"])
                 if batch.num_columns > 1:
                     keys = ["-" if k is None else k.encode().hex() for k in batch.column(1).slice(a, 256).to_pylist()]

@@ -10,12 +10,17 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlake.llm import chat_tools, decontaminate, minhash, mixing, quality, sharding, token_counts, url_filter, vector_dedup, warc
+from rosterlake.llm import byte_bpe, chat_tools, decontaminate, minhash, mixing, quality, sharding, token_counts, url_filter, vector_dedup, warc
 from rosterlake.llm.common import running_totals, work_path
 from rosterlake.llm.components import connected_components
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = [f"w{i}" for i in range(400)]
+CODEC = byte_bpe.Codec.read(byte_bpe.RANKS)
+
+
+def load_ranks():
+    return byte_bpe.load_encoding(CODEC.ranks)
 
 
 def prose(rng, n):
@@ -335,7 +340,7 @@ def test_running_totals(spark):
 
 
 def test_token_counts(spark, docs):
-    encoding = token_counts.load_encoding(token_counts.RANKS)
+    encoding = load_ranks()
     got = token_counts.count_tokens(clash(docs)).collect()
     want = sorted((r.doc_id or -1, len(encoding.encode_ordinary(r.text or ""))) for r in docs.collect())
     assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == want
@@ -344,8 +349,8 @@ def test_token_counts(spark, docs):
 
 @pytest.mark.parametrize("unit, n", [(" ", 1_000_000), ("\n", 1_000_000), ("\u2003", 300_000), ("a", 1_000_000), ("1", 1_000_000), ("!\n", 500_000), ("word ", 300_000)])
 def test_long_texts_are_encoded_whole(unit, n):
-    ids = lambda t: np.frombuffer(token_counts.encode_bytes(t, token_counts.RANKS), ">u2")
-    encoding = token_counts.load_encoding(token_counts.RANKS)
+    ids = lambda t: CODEC.encode(t)
+    encoding = load_ranks()
     assert encoding.decode(ids(f"x{unit * n}y").tolist()) == f"x{unit * n}y"
     if unit.strip():
         assert ids(f"x{unit * n}y").tolist() == encoding.encode_ordinary(f"x{unit * n}y")
@@ -354,17 +359,17 @@ def test_long_texts_are_encoded_whole(unit, n):
 
 
 def test_parts_of_texts_encode_alike(monkeypatch):
-    encoding, rng = token_counts.load_encoding(token_counts.RANKS), random.Random(1)
-    monkeypatch.setattr(token_counts, "_PART", 40)
+    encoding, rng = load_ranks(), random.Random(1)
+    monkeypatch.setattr(byte_bpe, "_PART", 40)
     for _ in range(60):
         text = "".join(rng.choice(["a", "é", "1", " ", "  ", "\n", "\u2003", "'s", "!", "Wort"]) for _ in range(2000))
-        assert np.frombuffer(token_counts.encode_bytes(text, token_counts.RANKS), ">u2").tolist() == encoding.encode_ordinary(text)
+        assert CODEC.encode(text).tolist() == encoding.encode_ordinary(text)
 
 
 def test_token_counts_of_rows_without_order(spark):
     df = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("doc_id"), F.repeat(F.lit("x "), (F.col("id") % 17).cast("int")).alias("text")).orderBy(F.rand()).repartition(5)
     got = token_counts.count_tokens(df).collect()
-    encoding = token_counts.load_encoding(token_counts.RANKS)
+    encoding = load_ranks()
     want = {f"k{i}": len(encoding.encode_ordinary("x " * (i % 17))) for i in range(3000)}
     assert len(got) == 3000 and {r.doc_id: r.n_tokens for r in got} == want
 

@@ -1,5 +1,6 @@
-"""The registered queries op1 to op10 themselves: columns and types, nulls, repeats, clashing columns, empty tables, long texts."""
+"""The registered queries op1 to op13 themselves: columns and types, nulls, repeats, clashing columns, empty tables, long texts."""
 
+import hashlib
 import random
 
 import pytest
@@ -18,6 +19,9 @@ WANT = {
     "op8_token_counts": "doc_id bigint, file_no int, doc_no bigint, start bigint, n_tokens bigint",
     "op9_embedding_near_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
     "op10_minhash_near_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op11_conversation_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
+    "op12_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op13_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
 }
 SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string",
@@ -57,7 +61,7 @@ def test_query(spark, tables, name):
     got = Q.queries()[name](spark, full)
     assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in got.schema) == WANT[name]
     found = got.collect()
-    table = {"1": "pages", "6": "pages", "3": None, "9": "embeddings"}.get(name[2 : name.index("_")], "documents")
+    table = {"1": "pages", "6": "pages", "3": None, "9": "embeddings", "11": None}.get(name[2 : name.index("_")], "documents")
     if table:
         assert sorted(str(r[0]) for r in found) == sorted(str(r[0]) for r in rows[table])
     by = {r[0]: r for r in found}
@@ -80,6 +84,12 @@ def test_query(spark, tables, name):
         assert by[3].n_links == 2 and by[24].component_id == 3 and not by[24].kept and by[22].n_links == 0
     if name.startswith("op10"):
         assert by[40].component_id == by[41].component_id == 40 and by[43].component_id == 42 and by[44].component_id == 44 and by[30].n_shingles == 0
+    if name.startswith("op11"):
+        assert sorted(str(r.conv_id) for r in found) == ["1", "2", "None"]
+    if name.startswith("op12"):
+        assert by[30].n_runs == by[42].n_runs == 0
+    if name.startswith("op13"):
+        assert by[30].n_tokens == 0 and by[42].n_tokens > 1000 and all(r.decoded_sha256 == hashlib.sha256((docs[r.doc_id] or "").encode()).hexdigest() for r in found)
     assert Q.queries()[name](spark, empty).collect() == []
 
 
