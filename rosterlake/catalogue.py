@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .functions import lexicons as L
 from .operators import intervals, lines, ranking, skills, upserts
+from .plans import skill_sql as Q
 from .plans import views as V
 from .sources.tables import page, table
+from .sources.work import work_table
 from .streaming import ingest
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,21 +41,25 @@ def oracle_sql() -> dict[str, str]:
 # --- scoring and ranking ------------------------------------------------------------------------------------
 
 
+def _met(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.met_skills(V.candidate_skills(spark, d), V.job_skills(spark, d), skills.alias_table(spark))
+
+
 def _profiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(candidates, jobs), a row each with all that a pair's scores need."""
+    """(candidates, jobs), a row each with all that a pair's scores need. What is read more than once is a work table."""
+    own, asked = work_table(V.candidate_skills(spark, d), "candidate-skills"), work_table(V.job_skills(spark, d), "job-skills")
     years = intervals.tenure(V.experience(spark, d), "candidate_id", "start", "end").select("candidate_id", F.col("years").alias("have"))
-    asked = V.job_skills(spark, d).persist()
-    candidates = ranking.candidate_profiles(V.candidate_skills(spark, d), years, V.projects(spark, d), asked, V.vectors(spark, d, "candidate_id"))
-    jobs = ranking.job_profiles(asked, V.jobs(spark, d).select("job_id", "years"), V.vectors(spark, d, "job_id"))
-    return candidates, jobs.persist()
+    met = ranking.met_skills(own, asked, skills.alias_table(spark))
+    candidates = ranking.candidate_profiles(own, met, years, V.projects(spark, d), asked, V.vectors(spark, d, "candidate_id"))
+    return candidates, work_table(ranking.job_profiles(asked, V.jobs_of(asked).select("job_id", "years"), V.vectors(spark, d, "job_id")), "jobs")
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs with all four scores and their weighted overall; 30 where a candidate has no project, 50 where a side has no vector."""
-    return ranking.score_pairs(ranking.count_pairs(*_profiles(spark, d)))
+def _ranked(spark: SparkSession, d: str, best: tuple[str, int] | None = None) -> DataFrame:
+    """Pairs with all four scores and their weighted overall; 30 where a candidate has no project, 50 where a side has no vector. With best, those that can be among the best."""
+    return ranking.score_pairs(ranking.count_pairs(*_profiles(spark, d), best=best))
 
 
-_RANKED_SQL = f"""{V.BASE}, {V.EXPERIENCE}, {V.TENURE}, {V.SCORED}, {V.PROJECT_SCORES}, {V.DOMAIN_SCORES},
+_RANKED_SQL = f"""RECURSIVE {V.BASE}, {V.EXPERIENCE}, {V.TENURE}, {Q.SCORED}, {V.PROJECT_SCORES}, {V.DOMAIN_SCORES},
 x AS (SELECT candidate_id, job_id, skill_score, coalesce(t.years, 0) - scored.years AS gap, scored.years AS wanted FROM scored LEFT JOIN tenure AS t USING (candidate_id)),
 r AS (SELECT candidate_id, job_id, skill_score, CASE WHEN wanted = 0 THEN 70.0::DOUBLE WHEN gap = 0 THEN 100.0::DOUBLE WHEN gap BETWEEN 1 AND 2 THEN 95.0::DOUBLE WHEN gap BETWEEN 3 AND 5 THEN 90.0::DOUBLE WHEN gap > 5 THEN 85.0::DOUBLE
     WHEN gap >= -1 THEN 80.0::DOUBLE WHEN gap >= -2 THEN 60.0::DOUBLE WHEN gap >= -3 THEN 40.0::DOUBLE ELSE 20.0::DOUBLE END AS experience_score FROM x),
@@ -68,7 +74,7 @@ def rank_candidates_for_job(spark: SparkSession, d: str) -> DataFrame:
     """The 20 best candidates of every job, with percentile over all its candidates."""
     candidates, jobs = _profiles(spark, d)
     total = V.candidate_skills(spark, d).agg(F.count_distinct("candidate_id").alias("n")).first()["n"]
-    top = ranking.top_with_percentile(ranking.score_pairs(ranking.count_pairs(candidates, jobs)), "job_id", "overall", "candidate_id", 20, total)
+    top = ranking.top_with_percentile(ranking.score_pairs(ranking.count_pairs(candidates, jobs, best=("job", 20))), "job_id", "overall", "candidate_id", 20, total)
     return top.select("job_id", "candidate_id", "skill_score", "experience_score", C.cents(F.col("overall")).alias("overall_score"), C.confidence_tier(F.col("overall")).alias("confidence_level"), "percentile_rank", "rank_position")
 
 
@@ -84,27 +90,32 @@ def best_job_per_candidate(spark: SparkSession, d: str) -> DataFrame:
     return ranking.best_with_stored(candidates, jobs, stored)
 
 
-@_query(f"WITH {V.BASE}, {V.SCORED} SELECT candidate_id, job_id, n_skills, skill_score FROM scored")
+@_query(f"WITH RECURSIVE {V.BASE}, {Q.SCORED} SELECT candidate_id, job_id, n_skills, skill_score FROM scored")
 def all_pairs_skill_score(spark: SparkSession, d: str) -> DataFrame:
+    """A row for every pair of candidate and job; rank_candidates_for_job and best_job_per_candidate give the best ones alone."""
     return ranking.count_pairs(*_profiles(spark, d)).select("candidate_id", "job_id", F.col("n_skills").cast("long").alias("n_skills"), ranking.skill_column().alias("skill_score"))
 
 
-@_query(f"""WITH {V.CANDIDATE_SKILLS}, {V.JOB_SKILLS}, c AS (SELECT DISTINCT candidate_id FROM candidate_skills),
-m AS (SELECT candidate_id, job_id, list(skill ORDER BY rn) FILTER (WHERE s.skill IS NULL) AS missing, count(s.skill) AS matched FROM c CROSS JOIN (SELECT job_id, skill, rn FROM job_skills WHERE kind = 'required') AS j LEFT JOIN candidate_skills AS s USING (candidate_id, skill) GROUP BY candidate_id, job_id)
-SELECT candidate_id, job_id, matched, coalesce(missing, []) AS missing, CASE WHEN matched >= 4 THEN 'strong' WHEN matched < 2 THEN 'limited' ELSE 'partial' END AS fit FROM m""".replace("list(skill ORDER BY rn)", "list(j.skill ORDER BY rn)"))
+@_query(f"""WITH RECURSIVE {V.CANDIDATE_SKILLS}, {V.JOB_SKILLS}, {Q.MET}, c AS (SELECT DISTINCT candidate_id FROM candidate_skills),
+m AS (SELECT candidate_id, job_id, list(j.skill ORDER BY rn) FILTER (WHERE s.skill IS NULL) AS missing, count(s.skill) AS matched FROM c CROSS JOIN (SELECT job_id, skill, rn FROM job_skills WHERE kind = 'required') AS j LEFT JOIN met_skills AS s USING (candidate_id, skill) GROUP BY candidate_id, job_id)
+SELECT candidate_id, job_id, matched, coalesce(missing, []) AS missing, CASE WHEN matched >= 4 THEN 'strong' WHEN matched < 2 THEN 'limited' ELSE 'partial' END AS fit FROM m""")
 def missing_skills(spark: SparkSession, d: str) -> DataFrame:
-    """What each candidate lacks of each job's required skills, in the job's order."""
-    own = V.candidate_skills(spark, d).groupBy("candidate_id").agg(F.collect_set("skill").alias("own"))
-    need = V.job_skills(spark, d).filter("kind = 'required'").groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "skill"))), lambda x: x["skill"]).alias("need")).persist()
-    lacking = F.array_except("need", "own")
-    matched = F.size("need") - F.size(lacking)
-    return ranking.pair_up(own, need).select("candidate_id", "job_id", matched.cast("long").alias("matched"), lacking.alias("missing"), F.when(matched >= 4, "strong").when(matched < 2, "limited").otherwise("partial").alias("fit"))
+    """Which of each job's required skills each candidate does not meet in any way, in the job's order: a row for every pair of candidate and job."""
+    pairs, matched = ranking.count_pairs(*_profiles(spark, d), lacking=True), F.col("required")
+    return pairs.select("candidate_id", "job_id", matched.cast("long").alias("matched"), "missing", F.when(matched >= 4, "strong").when(matched < 2, "limited").otherwise("partial").alias("fit"))
+
+
+@_query(f"""WITH {_RANKED_SQL} SELECT job_id, candidate_id, skill_score, round((rank() OVER (PARTITION BY job_id ORDER BY overall) - 1) * 100.0::DOUBLE / count(*) OVER (PARTITION BY job_id), 2) AS percentile_rank FROM o""")
+def pair_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """The percentile of every candidate among all candidates of each job: a row for every pair."""
+    scored = _ranked(spark, d).filter("error IS NULL").select("job_id", "candidate_id", "skill_score", "overall")
+    return ranking.group_percentiles(scored, "job_id", "overall", "candidate_id").drop("overall")
 
 
 @_query(f"""WITH {_RANKED_SQL}, reply AS (SELECT user_id AS candidate_id, CAST(json_extract(max(props), '$.k') AS DOUBLE) AS experience_score FROM events WHERE event_type = 'purchase' GROUP BY user_id)
 SELECT candidate_id, job_id, skill_score, coalesce(reply.experience_score, o.experience_score) AS experience_score FROM o LEFT JOIN reply USING (candidate_id)""")
 def score_override(spark: SparkSession, d: str) -> DataFrame:
-    """Scores that a JSON reply gives replace the computed ones, column by column."""
+    """Scores that a JSON reply gives replace the computed ones, column by column; a row for every pair of candidate and job."""
     text = table(spark, d, "events").filter("event_type = 'purchase'").groupBy("user_id").agg(F.max("props").alias("reply"))
     reply = text.select(F.col("user_id").alias("candidate_id"), F.from_json(C.json_in_text(F.concat(F.lit("Reply: "), F.col("reply"))), "k double")["k"].alias("experience_score"))
     candidates, jobs = _profiles(spark, d)
@@ -117,7 +128,7 @@ SELECT t.job_id, rank_position, c_name AS name, n_name AS nation, s_name AS comp
 FROM t JOIN customer ON c_custkey = candidate_id LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN supplier ON s_suppkey = job_id WHERE rank_position <= 5""")
 def ranking_payload(spark: SparkSession, d: str) -> DataFrame:
     """Ranked pairs enriched with names and nested as JSON."""
-    top = ranking.top_per(_ranked(spark, d), "job_id", "overall", "candidate_id", 5)
+    top = ranking.top_per(_ranked(spark, d, ("job", 5)), "job_id", "overall", "candidate_id", 5)
     c, n, s = table(spark, d, "customer"), table(spark, d, "nation"), table(spark, d, "supplier")
     joined = top.join(c, F.col("c_custkey") == F.col("candidate_id")).join(n, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(s, F.col("s_suppkey") == F.col("job_id"), "left")
     payload = F.to_json(F.struct("candidate_id", C.confidence_tier(F.col("overall")).alias("confidence"), C.recommendation(F.col("overall")).alias("recommendation")))
@@ -126,7 +137,7 @@ def ranking_payload(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {V.JOB_SKILLS}, {V.PROJECT_SCORES} SELECT candidate_id, job_id, project_score FROM project_scores")
 def project_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Share of a candidate's last five projects that name at least two of a job's required or nice skills."""
+    """Share of a candidate's last five projects that name at least two of a job's required or nice skills; a row for every pair of candidate and job."""
     candidates, jobs = _profiles(spark, d)
     return ranking.score_pairs(ranking.count_pairs(candidates.filter("n_projects > 0"), jobs)).select("candidate_id", "job_id", "project_score")
 
@@ -142,20 +153,10 @@ def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 # --- skill joins --------------------------------------------------------------------------------------------
 
-_ALIASES = ", ".join(f"('{a}', '{b}')" for a in L.SKILL_ALIASES for b in [a, *L.SKILL_ALIASES[a]])
-_NORM = r"trim(regexp_replace(regexp_replace(trim(lower({})), '[^\w\s-]', '', 'g'), '[\s-]+', ' ', 'g'))"
-
-
-def _norm_sql(x: str) -> str:
-    n = _NORM.format(x)
-    two = "CASE string_split({n}, ' ')[2] " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in L.PLURALS.items()) + " ELSE string_split({n}, ' ')[2] END"
-    return f"CASE WHEN len(string_split({n}, ' ')) = 2 THEN string_split({n}, ' ')[1] || ' ' || {two.format(n=n)} ELSE {n} END"
-
-
 #: Vocabulary from the tables: words of part names and of event JSON, with variants that the joins should find.
 _VOCABULARY = """raw AS (SELECT DISTINCT w AS term FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part UNION ALL SELECT unnest(string_split(p_name, ' ')) || 's' FROM part
   UNION ALL SELECT upper(p_name) || '!' FROM part UNION ALL SELECT event_type FROM events UNION ALL SELECT event_type || 'ing' FROM events UNION ALL SELECT lower(n_name) FROM nation))"""
-_TERMS_SQL = f"{_VOCABULARY}, terms AS (SELECT term, {_norm_sql('term')} AS norm FROM raw WHERE term <> '')"
+_TERMS_SQL = f"{_VOCABULARY}, terms AS (SELECT term, {Q.norm_sql('term')} AS norm FROM raw WHERE term <> '')"
 
 
 def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +166,7 @@ def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return skills.terms(every, "w")
 
 
-@_query(f"""WITH {_TERMS_SQL}, raw_alias AS (SELECT k AS raw_key, {_norm_sql('k')} AS k, {_norm_sql('v')} AS v FROM (VALUES {_ALIASES}) AS t(k, v)),
+@_query(f"""WITH {_TERMS_SQL}, raw_alias AS (SELECT k AS raw_key, {Q.norm_sql('k')} AS k, {Q.norm_sql('v')} AS v FROM (VALUES {Q.ALIASES}) AS t(k, v)),
 alias AS (SELECT DISTINCT k AS norm, v AS variation FROM raw_alias WHERE k = raw_key UNION SELECT DISTINCT a.v, b.v FROM raw_alias AS a JOIN raw_alias AS b USING (raw_key) WHERE a.v <> a.k),
 every AS (SELECT term, norm FROM terms UNION SELECT k, k FROM raw_alias), s AS (SELECT term, norm AS variation FROM every UNION SELECT term, variation FROM every JOIN alias USING (norm))
 SELECT DISTINCT a.term AS l, b.term AS r FROM s AS a JOIN s AS b USING (variation) WHERE a.term < b.term""")
@@ -196,23 +197,14 @@ def levenshtein_skill_join(spark: SparkSession, d: str) -> DataFrame:
     return skills.levenshtein_join(t, t).filter("l < r")
 
 
-#: Ratcliff-Obershelp: the longest common block, first in the left term, then in the right one; then both sides of it again.
-_RATIO_SQL = """pairs AS (SELECT a.term AS l, b.term AS r, a.norm AS ln, b.norm AS rn FROM terms AS a JOIN terms AS b ON a.term <> b.term AND least(length(a.norm), length(b.norm)) >= 4 AND 2 * least(length(a.norm), length(b.norm)) >= 0.85::DOUBLE * (length(a.norm) + length(b.norm))),
-blocks AS (SELECT l, r, ln AS x, rn AS y, 0 AS m FROM pairs UNION ALL
-  SELECT l, r, s.x, s.y, s.m FROM (SELECT l, r, unnest([{'x': substr(x, 1, i - 1), 'y': substr(y, 1, j - 1), 'm': n}, {'x': substr(x, i + n), 'y': substr(y, j + n), 'm': 0}]) AS s FROM (
-    SELECT *, strpos(y, substr(x, i, n)) AS j FROM (SELECT l, r, x, y, -best.i AS i, best.n AS n FROM (
-      SELECT l, r, x, y, list_max(flatten(list_transform(range(1, length(x) + 1), lambda p: list_transform(list_filter(range(1, length(x) - p + 2), lambda q: contains(y, substr(x, p, q))), lambda q: {'n': q, 'i': -p})))) AS best FROM blocks WHERE x <> '' AND y <> '') WHERE best IS NOT NULL)))),
-ratios AS (SELECT l, r, 2.0::DOUBLE * sum(m) / (length(l_norm) + length(r_norm)) AS ratio FROM (SELECT blocks.l, blocks.r, m, ln AS l_norm, rn AS r_norm FROM blocks JOIN pairs ON pairs.l = blocks.l AND pairs.r = blocks.r) GROUP BY l, r, l_norm, r_norm)"""
-
-
-@_query(f"WITH RECURSIVE {_TERMS_SQL}, {_RATIO_SQL} SELECT l, r, ratio FROM ratios WHERE ratio >= 0.85::DOUBLE")
+@_query(f"WITH RECURSIVE {_TERMS_SQL}, {Q.RATIOS} SELECT l, r, ratio FROM ratios WHERE ratio >= 0.85::DOUBLE")
 def fuzzy_skill_join(spark: SparkSession, d: str) -> DataFrame:
     """The ratio depends on the side that comes first, so both orders are kept."""
     t = _vocabulary(spark, d)
     return skills.fuzzy_join(t, t).filter("l <> r")
 
 
-@_query(f"""WITH RECURSIVE {_TERMS_SQL}, {_RATIO_SQL}, raw_alias AS (SELECT k AS raw_key, {_norm_sql('k')} AS k, {_norm_sql('v')} AS v FROM (VALUES {_ALIASES}) AS t(k, v)),
+@_query(f"""WITH RECURSIVE {_TERMS_SQL}, {Q.RATIOS}, raw_alias AS (SELECT k AS raw_key, {Q.norm_sql('k')} AS k, {Q.norm_sql('v')} AS v FROM (VALUES {Q.ALIASES}) AS t(k, v)),
 alias AS (SELECT DISTINCT k AS norm, v AS variation FROM raw_alias WHERE k = raw_key UNION SELECT DISTINCT a.v, b.v FROM raw_alias AS a JOIN raw_alias AS b USING (raw_key) WHERE a.v <> a.k), s AS (SELECT term, norm AS variation FROM terms UNION SELECT term, variation FROM terms JOIN alias USING (norm)),
 p AS (SELECT term, CASE WHEN ends_with(norm, 's') AND length(norm) > 3 THEN regexp_replace(norm, 's+$', '') ELSE norm END AS k FROM terms)
 SELECT l, r FROM ratios WHERE ratio >= 0.85::DOUBLE UNION SELECT a.term, b.term FROM s AS a JOIN s AS b USING (variation) WHERE a.term <> b.term UNION SELECT a.term, b.term FROM p AS a JOIN p AS b USING (k) WHERE length(k) >= 3 AND a.term <> b.term

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import _MARKED, _QUALITY_SQL, _RANKED_SQL, _marked, _quality, _query, _ranked
+from .catalogue import _MARKED, _QUALITY_SQL, _RANKED_SQL, _marked, _met, _quality, _query, _ranked
 from .functions import lexicons as L
 from .functions import records as R
 from .operators import ranking, records
@@ -57,16 +57,16 @@ _SAY = L.EXPLANATIONS
 
 @_query(f"""WITH {_RANKED_SQL}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY overall DESC, candidate_id) AS rank_position FROM o) WHERE rank_position <= 20),
 m AS (SELECT t.candidate_id, t.job_id, coalesce(list(j.skill ORDER BY j.rn) FILTER (WHERE s.skill IS NOT NULL AND kind = 'required'), []) AS yes, coalesce(list(j.skill ORDER BY j.rn) FILTER (WHERE s.skill IS NULL AND kind = 'required'), []) AS miss,
-  count(*) FILTER (WHERE kind = 'required') AS n_required, count(*) FILTER (WHERE kind = 'nice') AS n_nice, count(s.skill) FILTER (WHERE kind = 'nice') AS nice FROM t JOIN job_skills AS j USING (job_id) LEFT JOIN candidate_skills AS s ON s.candidate_id = t.candidate_id AND s.skill = j.skill GROUP BY t.candidate_id, t.job_id),
+  count(*) FILTER (WHERE kind = 'required') AS n_required, count(*) FILTER (WHERE kind = 'nice') AS n_nice, count(s.skill) FILTER (WHERE kind = 'nice') AS nice FROM t JOIN job_skills AS j USING (job_id) LEFT JOIN met_skills AS s ON s.candidate_id = t.candidate_id AND s.skill = j.skill GROUP BY t.candidate_id, t.job_id),
 g AS (SELECT m.*, t.skill_score, coalesce(tenure.years, 0) - jobs.years AS gap FROM m JOIN t USING (candidate_id, job_id) JOIN jobs USING (job_id) LEFT JOIN tenure USING (candidate_id))
 SELECT candidate_id, job_id, list_filter([CASE WHEN n_required > 0 THEN printf('{_SAY["required"]}', len(yes)::VARCHAR, n_required::VARCHAR) END, CASE WHEN n_nice > 0 THEN printf('{_SAY["nice"]}', nice::VARCHAR) END, CASE WHEN len(yes) > 0 THEN printf('{_SAY["matched"]}', array_to_string(yes[1:5], ', ')) END,
     CASE WHEN gap > 0 THEN printf('{_SAY["more_years"]}', gap::VARCHAR) END, CASE WHEN skill_score >= 70 THEN printf('{_SAY["strong"]}', round(skill_score)::BIGINT::VARCHAR) END], lambda x: x IS NOT NULL) AS strengths,
   list_filter([CASE WHEN len(miss) > 0 THEN printf('{_SAY["missing"]}', len(miss)::VARCHAR, array_to_string(miss[1:5], ', ')) END, CASE WHEN gap < 0 THEN printf('{_SAY["fewer_years"]}', (-gap)::VARCHAR) END, CASE WHEN skill_score < 50 THEN printf('{_SAY["limited"]}', round(skill_score)::BIGINT::VARCHAR) END], lambda x: x IS NOT NULL) AS weaknesses FROM g""")
 def explanation_facts(spark: SparkSession, d: str) -> DataFrame:
     """Strengths and weaknesses of the 20 best candidates of every job."""
-    top = ranking.top_per(_ranked(spark, d), "job_id", "overall", "candidate_id", 20).select("candidate_id", "job_id", "skill_score", (F.coalesce("have", F.lit(0)) - F.col("years")).alias("gap"))
+    top = ranking.top_per(_ranked(spark, d, ("job", 20)), "job_id", "overall", "candidate_id", 20).select("candidate_id", "job_id", "skill_score", (F.coalesce("have", F.lit(0)) - F.col("years")).alias("gap"))
     asked = V.job_skills(spark, d)
-    own = V.candidate_skills(spark, d).withColumn("_own", F.lit(True)).join(top.select("candidate_id").distinct(), "candidate_id")
+    own = _met(spark, d).withColumn("_own", F.lit(True)).join(top.select("candidate_id").distinct(), "candidate_id")
     each = top.join(asked, "job_id").join(own, ["candidate_id", "skill"], "left")
     required, has = F.col("kind") == "required", F.col("_own").isNotNull()
 

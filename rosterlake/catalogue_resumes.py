@@ -80,7 +80,7 @@ def education_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""WITH {V.RESUMES}, {_entries_sql("projects")}, ls AS (SELECT *, {_LINES_OF.format("entry")} AS ls FROM raw WHERE length(entry) >= 10)
-SELECT candidate_id, entry_no, ls[1] AS name, array_to_string(ls[2:1001], chr(10)) AS description, nullif(regexp_extract(entry, 'https?://[^\\s]+', 0), '') AS url, list_filter({_Q(L.PROJECT_TECHNOLOGIES)}, lambda t: contains(lower(entry), lower(t))) AS technologies FROM ls
+SELECT candidate_id, entry_no, ls[1] AS name, array_to_string(ls[2:], chr(10)) AS description, nullif(regexp_extract(entry, 'https?://[^\\s]+', 0), '') AS url, list_filter({_Q(L.PROJECT_TECHNOLOGIES)}, lambda t: contains(lower(entry), lower(t))) AS technologies FROM ls
 WHERE length(ls[1]) <= 60 AND lower(ls[1]) NOT IN ({', '.join(repr(w) for w in L.SUMMARY_NAMES)}) AND NOT (regexp_matches(entry, '{L.SUMMARY_WORDS}') AND length(entry) > 100)""")
 def project_entries(spark: SparkSession, d: str) -> DataFrame:
     raw = R.split_entries(V.resumes(spark, d).select("candidate_id", T.section_text(F.col("text"), "projects").alias("sec")), "candidate_id", "sec", "\n\n+")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import automaton
 from . import lexicons as L
 
 
@@ -134,10 +135,9 @@ def stated_years(text: Column) -> Column:
 def skills_in(text: Column, words: list[str] = L.JOB_SKILLS, *, whole_words: bool = False) -> Column:
     """Lexicon words that stand in text, in lexicon order; by substring unless whole_words."""
     low = F.lower(text)
-    every = F.array(*[F.lit(w) for w in words])
     if whole_words:
-        return F.filter(every, lambda w: F.regexp_like(low, F.concat(F.lit(r"(^|[^a-z0-9])\Q"), w, F.lit(r"\E([^a-z0-9]|$)"))))
-    return F.filter(every, lambda w: F.contains(low, w))
+        return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.regexp_like(low, F.concat(F.lit(r"(^|[^a-z0-9])\Q"), w, F.lit(r"\E([^a-z0-9]|$)"))))
+    return automaton.found(low, words)
 
 
 def post_seniority(text: Column) -> Column:
@@ -174,13 +174,15 @@ def employment_type(text: Column) -> Column:
 def with_validity(df: DataFrame, text: str) -> DataFrame:
     """df with score, is_valid and reasons of the check whether a text is a résumé; texts under 200 characters score 0.
 
-    The signs are columns of their own, so that each text is searched once for each.
+    All words are looked for in one pass over the text, whatever their number. The signs are columns of their own, so that each
+    text is searched once for each.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(t)
+    words = [w for _, _, ws in L.VALIDITY_FAMILIES.values() for w in ws] + L.OTHER_DOCUMENTS
+    df, found = df.withColumn("_found", automaton.found(F.lower(t), words)), F.col("_found")
     signs = {
         "long": F.length(F.trim(t)) >= L.SHORTEST_TEXT, "email": t.rlike(L.EMAIL), "phone": t.rlike(L.LOOSE_PHONE), "ranges": F.regexp_count(F.upper(t), F.lit(L.DATE_RANGE)),
-        **{k: hits(low, words) for k, (_, _, words) in L.VALIDITY_FAMILIES.items()}, "other": hits(low, L.OTHER_DOCUMENTS),
+        **{k: automaton.hits(found, ws) for k, (_, _, ws) in L.VALIDITY_FAMILIES.items()}, "other": automaton.hits(found, L.OTHER_DOCUMENTS),
     }
     s = {k: F.col("_signs")[k] for k in signs}
     points = reduce(lambda a, b: a + b, [F.least(s[k] * each, F.lit(most)) for k, (each, most, _) in L.VALIDITY_FAMILIES.items()])
@@ -194,7 +196,7 @@ def with_validity(df: DataFrame, text: str) -> DataFrame:
     ), lambda x: x.isNotNull())
     named = df.withColumn("_signs", F.struct(*[c.alias(k) for k, c in signs.items()]))
     scored = named.withColumn("score", F.when(s["long"], score).otherwise(0))
-    return scored.withColumn("is_valid", valid).withColumn("reasons", reasons).drop("_signs")
+    return scored.withColumn("is_valid", valid).withColumn("reasons", reasons).drop("_signs", "_found")
 
 
 def scanned(text: Column) -> Column:
@@ -222,10 +224,10 @@ def experience_score(have: Column, wanted: Column) -> Column:
 
 
 def skill_score(matched_required: Column, required: Column, matched_nice: Column, nice: Column, distinct_skills: Column) -> Column:
-    """70 points for required skills, 30 for nice ones, up to 10 for further skills, at most 100; 50 where none is required."""
+    """70 points for required skills, 30 for nice ones, up to 10 for further skills, at most 100, to two decimals; 50 where none is required."""
     base = matched_required / required * 70.0 + F.when(nice > 0, matched_nice / nice * 30.0).otherwise(0.0)
     bonus = F.greatest(F.lit(0), F.least(F.lit(10), (distinct_skills - required) * 2))
-    return F.when(required == 0, 50.0).otherwise(F.least(F.lit(100.0), base + bonus))
+    return F.when(required == 0, 50.0).otherwise(F.round(F.least(F.lit(100.0), base + bonus), 2))
 
 
 def overall(skill: Column, experience: Column, project: Column, domain: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import automaton
 from . import lexicons as L
 from .columns import any_of, hits
 from .records import clean_skill, filled, valid_skill  # noqa: F401
@@ -91,7 +92,7 @@ def project_entry(entry: Column) -> Column:
     name = F.get(lines, 0)
     bad = (F.length(name) > 60) | F.lower(name).isin(L.SUMMARY_NAMES) | entry.rlike(L.SUMMARY_WORDS) & (F.length(entry) > 100) | (F.length(entry) < 10)
     used = F.filter(F.array(*[F.when(F.contains(F.lower(entry), F.lit(t.lower())), t) for t in L.PROJECT_TECHNOLOGIES]), lambda x: x.isNotNull())
-    found = F.struct(name.alias("name"), F.array_join(F.slice(lines, 2, 1000), "\n").alias("description"), some(F.regexp_extract(entry, r"https?://[^\s]+", 0)).alias("url"), used.alias("technologies"))
+    found = F.struct(name.alias("name"), F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1)) - 1), "\n").alias("description"), some(F.regexp_extract(entry, r"https?://[^\s]+", 0)).alias("url"), used.alias("technologies"))
     return F.when(~bad & name.isNotNull(), found)
 
 
@@ -126,8 +127,7 @@ def category_skills(text: Column) -> Column:
 
 def rule_skills(text: Column, words: list[str]) -> Column:
     """Lexicon words in the text, and the items of its skills section of over 2 characters."""
-    low = F.lower(text)
-    known = F.filter(F.array(*[F.when(F.contains(low, F.lit(w)), w) for w in words]), lambda x: x.isNotNull())
+    known = automaton.found(F.lower(text), words)
     items = F.filter(F.transform(F.split(section_text(text, "skills"), r"[,;\n]"), lambda x: F.trim(x)), lambda x: F.length(x) > 2)
     return F.array_distinct(F.concat(known, F.coalesce(items, F.array().cast("array<string>"))))
 

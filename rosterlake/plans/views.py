@@ -27,7 +27,12 @@ def job_skills(spark: SparkSession, d: str) -> DataFrame:
 
 def jobs(spark: SparkSession, d: str) -> DataFrame:
     """(job_id, n_required, n_nice, years)."""
-    counts = job_skills(spark, d).groupBy("job_id").agg(F.count(F.when(F.col("kind") == "required", 1)).alias("n_required"), F.count(F.when(F.col("kind") == "nice", 1)).alias("n_nice"))
+    return jobs_of(job_skills(spark, d))
+
+
+def jobs_of(asked: DataFrame) -> DataFrame:
+    """jobs, of job_skills."""
+    counts = asked.groupBy("job_id").agg(F.count(F.when(F.col("kind") == "required", 1)).alias("n_required"), F.count(F.when(F.col("kind") == "nice", 1)).alias("n_nice"))
     return counts.withColumn("years", F.pmod("job_id", F.lit(8)).cast("int"))
 
 
@@ -66,11 +71,6 @@ TENURE = """ranked AS (SELECT *, max(e) OVER (PARTITION BY candidate_id ORDER BY
 islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY candidate_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM ranked),
 merged AS (SELECT candidate_id, i, min(s) AS s, max(e) AS e FROM islands GROUP BY candidate_id, i),
 tenure AS (SELECT candidate_id, CAST(sum(e - s) AS BIGINT) AS days, CAST(floor(sum(e - s) / 365.25::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS years FROM merged GROUP BY candidate_id)"""
-SCORED = """n AS (SELECT candidate_id, count(*) AS n_skills FROM candidate_skills GROUP BY candidate_id),
-counts AS (SELECT candidate_id, job_id, count(*) FILTER (WHERE kind = 'required') AS required, count(*) FILTER (WHERE kind = 'nice') AS nice FROM candidate_skills JOIN job_skills USING (skill) GROUP BY candidate_id, job_id),
-scored AS (SELECT candidate_id, job_id, n_skills, n_required, years, CASE WHEN n_required = 0 THEN 50.0::DOUBLE ELSE least(100.0::DOUBLE,
-    coalesce(required, 0)::DOUBLE / n_required * 70.0::DOUBLE + CASE WHEN n_nice > 0 THEN coalesce(nice, 0)::DOUBLE / n_nice * 30.0::DOUBLE ELSE 0.0::DOUBLE END + greatest(0, least(10, (n_skills - n_required) * 2))) END AS skill_score
-  FROM n CROSS JOIN jobs LEFT JOIN counts USING (candidate_id, job_id))"""
 PROJECT_SCORES = """last_five AS (SELECT * FROM (SELECT o_custkey AS candidate_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn <= 5),
 project_texts AS (SELECT candidate_id, o_orderkey, lower(string_agg(p_name, ' ' ORDER BY l_linenumber, p_name)) AS text FROM last_five JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY candidate_id, o_orderkey),
 job_words AS (SELECT job_id, list(DISTINCT lower(skill)) AS words FROM job_skills GROUP BY job_id),
