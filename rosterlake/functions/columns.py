@@ -174,14 +174,18 @@ def employment_type(text: Column) -> Column:
 def with_validity(df: DataFrame, text: str) -> DataFrame:
     """df with score, is_valid and reasons of the check whether a text is a résumé; texts under 200 characters score 0.
 
-    All words are looked for in one pass over the text, whatever their number. The signs are columns of their own, so that each
-    text is searched once for each.
+    All words are looked for in one pass over the text, whatever their number, and in the same pass what a match of each
+    pattern must hold; only texts that hold it are searched for the pattern. The signs are columns of their own, so that this
+    is done once.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    words = [w for _, _, ws in L.VALIDITY_FAMILIES.values() for w in ws] + L.OTHER_DOCUMENTS
+    dates = ["19", "20", "present", "pre\u017fent", "current"]  # small letters whose capitals a date range may have
+    words = [w for _, _, ws in L.VALIDITY_FAMILIES.values() for w in ws] + L.OTHER_DOCUMENTS + ["@", *"0123456789", *dates]
+    holds = lambda *signs: F.arrays_overlap(found, F.array(*[F.lit(x) for x in signs]))
     df, found = df.withColumn("_found", automaton.found(F.lower(t), words)), F.col("_found")
     signs = {
-        "long": F.length(F.trim(t)) >= L.SHORTEST_TEXT, "email": t.rlike(L.EMAIL), "phone": t.rlike(L.LOOSE_PHONE), "ranges": F.regexp_count(F.upper(t), F.lit(L.DATE_RANGE)),
+        "long": F.length(F.trim(t)) >= L.SHORTEST_TEXT, "email": F.when(holds("@"), t.rlike(L.EMAIL)).otherwise(False), "phone": F.when(holds(*"0123456789"), t.rlike(L.LOOSE_PHONE)).otherwise(False),
+        "ranges": F.when(holds(*dates), F.regexp_count(F.upper(t), F.lit(L.DATE_RANGE))).otherwise(0),
         **{k: automaton.hits(found, ws) for k, (_, _, ws) in L.VALIDITY_FAMILIES.items()}, "other": automaton.hits(found, L.OTHER_DOCUMENTS),
     }
     s = {k: F.col("_signs")[k] for k in signs}
