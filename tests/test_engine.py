@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +146,42 @@ def test_stream_equals_batch(spark, tmp_path):
     assert twin(got) == twin(df)
 
 
+def vocabulary(n, seed=1):
+    rng = random.Random(seed)
+    words = []
+    while len(words) < n:
+        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 16)))
+        words.append(word)
+        if rng.random() < 0.2:  # a near one
+            i = rng.randrange(len(word))
+            words.append(word[:i] + rng.choice(["", "x", word[i] + "y"]) + word[i + 1 :])
+    return sorted(set(words[:n]))
+
+
+def test_fuzzy_join_loses_no_pair(spark):
+    import difflib
+
+    words = vocabulary(2000)
+    t = skills.terms(spark.createDataFrame([(w,) for w in words], "w string"), "w")
+    want = set()
+    for b in words:
+        matcher = difflib.SequenceMatcher(None, "", b)
+        for a in words:
+            if a != b and min(len(a), len(b)) >= 4 and 2 * min(len(a), len(b)) >= 0.85 * (len(a) + len(b)):
+                matcher.set_seq1(a)
+                if matcher.quick_ratio() >= 0.85 and difflib.SequenceMatcher(None, a, b).ratio() >= 0.85:
+                    want.add((a, b))
+    assert {(r.l, r.r) for r in skills.fuzzy_join(t, t).filter("l <> r").collect()} == want and len(want) > 300
+
+
+def test_fuzzy_join_verifies_about_as_many_pairs_as_there_are_terms(spark):
+    verified = {}
+    for n in (1000, 10_000):
+        t = skills.terms(spark.createDataFrame([(w,) for w in vocabulary(n)], "w string"), "w")
+        verified[n] = skills.fuzzy_candidates(t, t).filter("l <> r").count()
+    assert 0 < verified[10_000] < 20 * verified[1000]
+
+
 def test_queries_run_on_small_tables(spark, sf):
     import __spark_entry__ as entry
 
