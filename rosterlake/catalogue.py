@@ -484,7 +484,9 @@ def neighbourhood_runs(spark: SparkSession, d: str) -> DataFrame:
     return lines.longest_run(_lines(spark, d), "doc_id", F.contains(F.col("line"), F.lit(",")))
 
 
-@_query(f"WITH {_LINES} SELECT doc_id, line_no FROM (SELECT *, max(contains(line, '|')::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hit FROM lines) WHERE hit = 0")
+@_query(f"""WITH RECURSIVE {_LINES}, hits AS (SELECT doc_id, line_no FROM lines WHERE contains(line, '|')),
+tested AS (SELECT doc_id, min(line_no) AS line_no FROM hits GROUP BY doc_id UNION ALL SELECT t.doc_id, min(h.line_no) FROM tested AS t JOIN hits AS h ON h.doc_id = t.doc_id AND h.line_no > t.line_no + 2 GROUP BY t.doc_id, t.line_no)
+SELECT doc_id, line_no FROM lines AS l WHERE NOT EXISTS (SELECT 1 FROM tested AS t WHERE t.doc_id = l.doc_id AND l.line_no BETWEEN t.line_no AND t.line_no + 2)""")
 def suppress_forward(spark: SparkSession, d: str) -> DataFrame:
     return lines.suppress_forward(_lines(spark, d), "doc_id", F.contains(F.col("line"), F.lit("|"))).select("doc_id", "line_no")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from .catalogue import _query
 from .functions import columns as C
 from .functions import lexicons as L
+from .functions.embedding import hashed_vectors
+from .sources.memo import Memo
 from .sources.tables import table
 from .sources.work import session_dir
 from .streaming import status
@@ -51,3 +54,17 @@ def ingested_versions(spark: SparkSession, d: str) -> DataFrame:
         if batch == 1:
             store.gather()
     return store.read()
+
+
+@_query(r"""WITH d AS (SELECT DISTINCT sha256(coalesce(text, '')) AS text_hash, coalesce(text, '') AS text FROM documents),
+w AS (SELECT text_hash, md5(w) AS h FROM (SELECT text_hash, unnest(regexp_split_to_array(lower(text), '[ \t-\r]+')) AS w FROM d) WHERE w <> ''),
+p AS (SELECT text_hash, ('0x' || h[1:4])::INTEGER % 64 AS i, sum(CASE WHEN ('0x' || h[5:5])::INTEGER % 2 = 0 THEN 1 ELSE -1 END) AS s FROM w GROUP BY ALL),
+n AS (SELECT text_hash, map_from_entries(list((i, s))) AS m, sqrt(CAST(sum(s * s) AS DOUBLE)) AS n FROM p GROUP BY text_hash)
+SELECT doc_id, sha256(coalesce(text, '')) AS text_hash, list_transform(range(64), lambda i: CASE WHEN n > 0 THEN CAST(floor(coalesce(CAST(m[i] AS DOUBLE), 0) / n * 1000 + 0.5::DOUBLE) AS BIGINT) ELSE 0 END) AS thousandths
+FROM documents LEFT JOIN n ON n.text_hash = sha256(coalesce(text, ''))""")
+def text_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's vector, computed once for each distinct text and read through the store; components in thousandths."""
+    memo = Memo(spark, f"{session_dir(spark)}/memo-{uuid.uuid4().hex}", "vector array<double>", 60)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = memo.through(docs, "text", lambda t: hashed_vectors(t, "text_hash", "text"), datetime.datetime(2024, 1, 1))
+    return found.select("doc_id", "text_hash", F.transform("vector", lambda x: F.floor(x * 1000 + 0.5)).alias("thousandths"))

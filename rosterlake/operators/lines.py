@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import fold_rows
+
 
 def to_lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, line_no from 0, line)."""
@@ -46,9 +48,14 @@ def longest_run(lines: DataFrame, doc: str, flag: Column, reach: int = 3) -> Dat
 
 
 def suppress_forward(lines: DataFrame, doc: str, flag: Column, following: int = 2) -> DataFrame:
-    """Lines without those flagged and the next few after each. Every line is tested, suppressed or not."""
-    hit = F.max(flag.cast("int")).over(_order(doc).rowsBetween(-following, 0))
-    return lines.withColumn("_hit", hit).filter("_hit = 0").drop("_hit")
+    """Lines without those flagged and the next few after each. A suppressed line is not tested, so its own flag suppresses nothing."""
+    def step(left: int, row: dict):
+        if left:
+            return left - 1, (True,)
+        return (following, (True,)) if row["_flag"] else (0, (False,))
+
+    marked = fold_rows(lines.withColumn("_flag", flag), [doc], [F.col("line_no")], int, step, "_gone boolean")
+    return marked.filter("NOT _gone").drop("_flag", "_gone")
 
 
 def consistent_separator(lines: DataFrame, doc: str, flag: Column, reach: int = 3, others: int = 2) -> DataFrame:

@@ -109,3 +109,29 @@ def test_a_batch_that_comes_again_after_a_crash_stands_once(spark, tmp_path, mon
     broken.append(again, 4)
     assert [tuple(r) for r in broken.read().filter("doc = 'd0' AND is_current").select("at", "version_number").collect()] == [(99, 11)]
     assert {r.doc: r["at"] for r in broken.current().collect()}["d0"] == 99
+
+
+def test_memo_computes_what_it_lacks_and_what_has_expired(spark, tmp_path):
+    from rosterlake.functions.embedding import hashed_vectors
+    from rosterlake.sources.memo import Memo
+
+    memo = Memo(spark, str(tmp_path / "memo"), "vector array<double>", 60)
+    texts = spark.createDataFrame([(1, "one two two"), (2, "one two two"), (3, ""), (4, None), (5, "A b a")], "k long, text string")
+    vectors = lambda t: hashed_vectors(t, "text_hash", "text")
+    assert memo.fill(texts, "text", vectors, START) == 3
+    assert memo.fill(texts, "text", vectors, START + datetime.timedelta(minutes=59)) == 0
+    more = texts.unionByName(spark.createDataFrame([(6, "new")], "k long, text string"))
+    assert memo.fill(more, "text", vectors, START + datetime.timedelta(minutes=59)) == 1
+    assert memo.fill(more, "text", vectors, START + datetime.timedelta(minutes=61)) == 3
+    got = {r.k: r.vector for r in memo.through(more, "text", vectors, START + datetime.timedelta(minutes=62)).collect()}
+    assert len(got) == 6 and got[1] == got[2] and got[3] == got[4] == [0.0] * 64
+    assert all(abs(sum(x * x for x in got[k]) - 1) < 1e-12 for k in (1, 5, 6))
+
+
+def test_suppressed_lines_are_not_tested(spark):
+    from rosterlake.operators import lines
+
+    flags = [0, 1, 0, 1, 0, 0, 1, 0]  # the fourth is suppressed by the second
+    df = spark.createDataFrame([(d, i, "x" if f else "") for d in (1, 2, None) for i, f in enumerate(flags)], "doc long, line_no long, line string").repartition(3)
+    got = lines.suppress_forward(df, "doc", F.col("line") == "x").collect()
+    assert sorted((str(r.doc), r.line_no) for r in got) == sorted((str(d), i) for d in (1, 2, None) for i in (0, 4, 5))
