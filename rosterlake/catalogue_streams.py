@@ -43,14 +43,14 @@ _YEARS_SQL = ", ".join(f"list_filter(list_transform(regexp_extract_all(coalesce(
 
 
 @_query(f"""WITH v AS (SELECT conv_id, turn, nullif(regexp_extract(coalesce(text, ''), '{L.EMAIL}'), '') AS email, coalesce({_YEARS_SQL}) AS years, list_filter([{", ".join(repr(w) for w in L.JOB_SKILLS)}], lambda w: contains(lower(coalesce(text, '')), w)) AS skills, length(coalesce(text, '')) AS n_chars,
-  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn % 3, turn) AS INTEGER) AS version_number FROM conversations)
+  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY coalesce((turn % 3 + 3) % 3, 0), turn NULLS FIRST) AS INTEGER) AS version_number FROM conversations)
 SELECT *, version_number = max(version_number) OVER (PARTITION BY conv_id) AS is_current FROM v""")
 def ingested_versions(spark: SparkSession, d: str) -> DataFrame:
     """Texts that arrive in three batches, parsed inside each and appended as versions of their conversation through the committed store."""
     store = VersionStore(spark, f"{session_dir(spark)}/versions-{uuid.uuid4().hex}", "conv_id", ["turn"])
     arrivals = table(spark, d, "conversations")
     for batch in range(3):
-        store.append(parsed_arrivals(arrivals.filter(F.col("turn") % 3 == batch)), batch)
+        store.append(parsed_arrivals(arrivals.filter(F.coalesce(F.pmod("turn", F.lit(3)), F.lit(0)) == batch)), batch)
         if batch == 1:
             store.gather()
     return store.read()

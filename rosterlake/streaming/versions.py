@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import upserts
 
@@ -36,23 +39,30 @@ class VersionStore:
         base = max((int(m[2]) for m in marks if m and m[1] == "base"), default=None)
         return base, sorted(int(m[2]) for m in marks if m and m[1] == "batch" and (base is None or int(m[2]) > base))
 
-    def _commit(self, name: str) -> None:
+    def _commit(self, name: str, schema: StructType) -> None:
+        """The mark holds the schema, so that a batch without rows, and so perhaps without files, can be read."""
         fs, mark = self._fs(f"{self.path}/log/{name}")
         _, made = self._fs(f"{self.path}/ready/{name}")
         fs.mkdirs(mark.getParent())
         fs.mkdirs(made.getParent())
-        fs.create(made, True).close()
+        out = fs.create(made, True)
+        out.write(bytearray(schema.json().encode()))
+        out.close()
         if not fs.rename(made, mark):
             raise RuntimeError(f"{name} is committed already")
 
+    def _data(self, name: str) -> DataFrame:
+        """A committed batch or base."""
+        schema = StructType.fromJson(json.loads(self.spark.read.text(f"{self.path}/log/{name}", wholetext=True).first()[0]))
+        return self.spark.read.schema(schema).parquet(f"{self.path}/data/{name}")
+
     def stored(self) -> DataFrame | None:
         """All committed versions, without saying which are current; None before the first batch."""
         base, batches = self.committed()
-        parts = [f"{self.path}/data/batch-{b}" for b in batches]
-        tables = ([self.spark.read.parquet(f"{self.path}/data/base-{base}").drop("is_current")] if base is not None else []) + ([self.spark.read.parquet(*parts)] if parts else [])
-        if not tables:
-            return None
-        return tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+        tables = [self._data(f"batch-{b}") for b in batches]
+        if base is not None:
+            tables.insert(0, self._data(f"base-{base}").drop("is_current"))
+        return reduce(DataFrame.unionByName, tables) if tables else None
 
     def read(self) -> DataFrame:
         """All committed versions with is_current: the last one of each key."""
@@ -66,9 +76,7 @@ class VersionStore:
         base, batches = self.committed()
         if base is None:
             return self.read().filter("is_current").drop("is_current")
-        rows = self.spark.read.parquet(f"{self.path}/data/base-{base}").filter("is_current = 'true'").drop("is_current")
-        if batches:
-            rows = rows.unionByName(self.spark.read.parquet(*[f"{self.path}/data/batch-{b}" for b in batches]))
+        rows = reduce(DataFrame.unionByName, [self._data(f"batch-{b}") for b in batches], self._data(f"base-{base}").filter("is_current").drop("is_current"))
         return upserts.flag_current(rows, self.key, self.version).filter("is_current").drop("is_current")
 
     def append(self, batch: DataFrame, batch_id: int) -> None:
@@ -76,10 +84,9 @@ class VersionStore:
         base, batches = self.committed()
         if batch_id in batches or base is not None and batch_id <= base:
             return
-        self._write(batch, batch_id)
-        self._commit(f"batch-{batch_id}")
+        self._commit(f"batch-{batch_id}", self._write(batch, batch_id))
 
-    def _write(self, batch: DataFrame, batch_id: int) -> None:
+    def _write(self, batch: DataFrame, batch_id: int) -> StructType:
         old = self.stored()
         if old is None:
             place = F.row_number().over(Window.partitionBy(self.key).orderBy(*self.order))
@@ -87,6 +94,7 @@ class VersionStore:
         else:
             made = upserts.number_versions(batch, old, self.key, self.version, self.order)
         made.write.mode("overwrite").parquet(f"{self.path}/data/batch-{batch_id}")
+        return made.schema
 
     def gather(self) -> None:
         """Put all committed batches into one base, its rows by whether they are current, so that readers of current rows read no others."""
@@ -94,8 +102,9 @@ class VersionStore:
         if not batches:
             return
         name = f"base-{batches[-1]}"
-        self.read().write.mode("overwrite").partitionBy("is_current").parquet(f"{self.path}/data/{name}")
-        self._commit(name)
+        rows = self.read()
+        rows.write.mode("overwrite").partitionBy("is_current").parquet(f"{self.path}/data/{name}")
+        self._commit(name, rows.schema)
 
     def sink(self, parse: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
         """For foreachBatch: parse runs inside the batch, on its rows alone."""

@@ -82,11 +82,11 @@ def test_a_batch_that_comes_again_after_a_crash_stands_once(spark, tmp_path, mon
         store = VersionStore(spark, str(tmp_path / name), "doc", ["at"])
         real, tries = VersionStore._commit, []
 
-        def commit(self, mark):
+        def commit(self, mark, schema):
             if mark == crash_at and not tries:
                 tries.append(mark)
                 raise OSError("lost between write and commit")
-            real(self, mark)
+            real(self, mark, schema)
 
         monkeypatch.setattr(VersionStore, "_commit", commit)
         stream = lambda: ingest.ingest(ingest.read_files(spark, source, spark.createDataFrame([], schema).schema, 1), str(tmp_path / f"{name}-checkpoint"), store.sink(parse))
