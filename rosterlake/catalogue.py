@@ -306,7 +306,7 @@ def term_fold(spark: SparkSession, d: str) -> DataFrame:
 
 _QUALITY_SQL = """WITH c AS (SELECT doc_id, n_chars, len(list_distinct(string_split(coalesce(text, ''), ' '))) % 12 AS k, n_chars % 9 AS y, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents),
 q AS (SELECT doc_id, least(100, greatest(0, CASE WHEN k >= 10 THEN 20 WHEN k >= 5 THEN 15 WHEN k >= 3 THEN 10 WHEN k >= 1 THEN 5 ELSE 0 END + CASE WHEN y >= 1 THEN 20 ELSE 0 END + CASE WHEN n >= 3 THEN 20 WHEN n >= 2 THEN 15 WHEN n >= 1 THEN 10 ELSE 0 END
-  + CASE WHEN y >= 2 THEN 15 WHEN y >= 1 THEN 10 ELSE 0 END + CASE WHEN k >= 2 THEN 10 WHEN k >= 1 THEN 5 ELSE 0 END + CASE WHEN n_chars >= 2000 THEN 10 WHEN n_chars >= 500 THEN 5 ELSE 0 END + CASE WHEN k >= 3 THEN 5 ELSE 0 END + CASE WHEN y >= 4 THEN 15 ELSE 8 END - CASE WHEN y = 0 THEN 20 ELSE 0 END)) AS score FROM c)"""
+  + CASE WHEN y >= 2 THEN 15 WHEN y >= 1 THEN 10 ELSE 0 END + CASE WHEN k >= 2 THEN 10 WHEN k >= 1 THEN 5 ELSE 0 END + CASE WHEN n_chars > 500 THEN 10 WHEN n_chars > 200 THEN 5 ELSE 0 END + CASE WHEN k >= 3 THEN 5 ELSE 0 END + CASE WHEN y >= 4 THEN 15 ELSE 8 END - CASE WHEN y = 0 THEN 20 ELSE 0 END)) AS score FROM c)"""
 
 
 def _quality(spark: SparkSession, d: str) -> DataFrame:

@@ -209,12 +209,14 @@ def scanned(text: Column) -> Column:
     return (F.length(t) < 100) | (F.regexp_count(t, F.lit(r"\S+")) < 20)
 
 
-def parse_quality(skills: Column, years: Column, experience: Column, education: Column, projects: Column, length: Column, categories: Column, layout: Column, fallback: Column) -> Column:
-    """0 to 100 from counts: skills, years, entries, text length, categories filled, layout confidence, fallback parser."""
+def parse_quality(skills: Column, years: Column, experience: Column, education: Column, projects: Column, length: Column, categories: Column, layout: Column, fallback: Column, dated: Column | None = None) -> Column:
+    """0 to 100 from counts: skills, years, entries, text length, categories filled, layout confidence, fallback parser; a single entry without any date counts half."""
     def steps(x: Column, *levels: tuple[int, int]) -> Column:
         return reduce(lambda c, s: F.when(x >= s[0], s[1]).otherwise(c), reversed(levels), F.lit(0))
 
-    total = steps(skills, (10, 20), (5, 15), (3, 10), (1, 5)) + steps(years, (1, 20)) + steps(experience, (3, 20), (2, 15), (1, 10)) + steps(education, (2, 15), (1, 10)) + steps(projects, (2, 10), (1, 5)) + steps(length, (2000, 10), (500, 5)) + steps(categories, (3, 5)) + F.when(layout >= 0.8, 15).when(layout >= 0.5, 8).otherwise(0)
+    total = steps(skills, (10, 20), (5, 15), (3, 10), (1, 5)) + steps(years, (1, 20)) + steps(experience, (3, 20), (2, 15), (1, 10)) + steps(education, (2, 15), (1, 10)) + steps(projects, (2, 10), (1, 5)) + steps(length, (501, 10), (201, 5)) + steps(categories, (3, 5)) + F.when(layout >= 0.8, 15).when(layout >= 0.5, 8).otherwise(0)
+    if dated is not None:
+        total = total - F.when((experience == 1) & ~F.coalesce(dated, F.lit(False)), 5).otherwise(0)
     return F.least(F.greatest(total - F.when(fallback, 20).otherwise(0), F.lit(0)), F.lit(100))
 
 

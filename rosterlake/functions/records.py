@@ -71,6 +71,27 @@ def valid_skill(name: Column) -> Column:
     return F.coalesce(F.length(name).between(2, 50) & ~barred & looks, F.lit(False))
 
 
+def company_forms(company: Column) -> Column:
+    """A company's name in lower case, without its last word where that is a legal or trade word, and its first word; none for unknown names."""
+    low = F.lower(F.trim(filled(company)))
+    words = F.split(low, r"\s+")
+    short = F.when((F.size(words) > 1) & F.element_at(words, -1).isin(L.COMPANY_SUFFIXES), F.array_join(F.slice(words, 1, F.size(words) - 1), " "))
+    forms = F.array(low, short, F.when(F.size(words) > 1, F.get(words, 0)))
+    return F.when(low.isNotNull(), F.filter(forms, lambda x: x.isNotNull() & (x != ""))).otherwise(F.array().cast("array<string>"))
+
+
+def names_company(skill: Column, form: Column) -> Column:
+    """Whether a skill holds a company's form, or, from four letters on, lies inside one."""
+    low = F.lower(F.trim(skill))
+    return F.contains(low, form) | (F.length(low) >= 4) & F.contains(form, low)
+
+
+def without_companies(skills: Column, companies: Column) -> Column:
+    """Skills without those that name one of the companies."""
+    forms = F.array_distinct(F.flatten(F.transform(companies, lambda c: company_forms(c))))
+    return F.filter(skills, lambda s: ~F.exists(forms, lambda f: names_company(s, f)))
+
+
 def explanation(n_required: Column, matched: Column, missing: Column, n_nice: Column, matched_nice: Column, years: Column, score: Column) -> tuple[Column, Column]:
     """(strengths, weaknesses), up to five sentences each; matched and missing are arrays, years the surplus over the demand."""
     def names(skills: Column) -> Column:

@@ -58,6 +58,14 @@ def work_entry(entry: Column) -> Column:
     return F.struct(title.alias("title"), company.alias("company"), some(F.regexp_extract(F.get(dated, 0), L.ENTRY_RANGE, 1)).alias("start_date"), ended.alias("end_date"), F.array_join(described, "\n").alias("description"))
 
 
+def years_of(entries: Column, year: int) -> Column:
+    """Sum of the year differences of the entries that have a start date, an open end counting as year; null without one."""
+    first = lambda date: F.nullif(F.regexp_extract(date, r"^\d{4}", 0), F.lit("")).cast("int")
+    dated = F.filter(entries, lambda e: first(e["start_date"]).isNotNull())
+    spans = F.transform(dated, lambda e: F.greatest(F.coalesce(first(e["end_date"]), F.lit(year)) - first(e["start_date"]), F.lit(0)))
+    return F.when(F.size(dated) > 0, F.aggregate(spans, F.lit(0), lambda a, b: a + b))
+
+
 def is_school(company: Column) -> Column:
     """Whether an entry's company is a place of education."""
     return F.coalesce(any_of(F.upper(company), ["UNIVERSITY", "COLLEGE", "INSTITUTE", "SCHOOL", "ACADEMY"]), F.lit(False))

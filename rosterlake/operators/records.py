@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import lexicons as L
-from ..functions.records import filled
+from ..functions.records import company_forms as forms_of
+from ..functions.records import filled, names_company
 
 
 def reparse_changed(base: DataFrame, patch: DataFrame, key: str, text: str, derived: list[str], parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -31,17 +31,11 @@ def fill_gaps(first: DataFrame, second: DataFrame, key: str, fields: list[str])
 
 
 def company_forms(companies: DataFrame, owner: str, company: str) -> DataFrame:
-    """(owner, form): a company's name in lower case, without its last word where that is a legal or trade word, and its first word."""
-    low = F.lower(F.trim(company))
-    words = F.split(low, r"\s+")
-    short = F.when((F.size(words) > 1) & F.element_at(words, -1).isin(L.COMPANY_SUFFIXES), F.array_join(F.slice(words, 1, F.size(words) - 1), " "))
-    forms = F.filter(F.array(low, short, F.when(F.size(words) > 1, F.get(words, 0))), lambda x: x.isNotNull() & (x != ""))
-    return companies.filter(filled(F.col(company)).isNotNull()).select(owner, F.explode(forms).alias("form")).distinct()
+    """(owner, form): the forms of each owner's companies, see functions.records."""
+    return companies.select(owner, F.explode(forms_of(F.col(company))).alias("form")).distinct()
 
 
 def drop_company_skills(skills: DataFrame, companies: DataFrame, owner: str, skill: str, company: str) -> DataFrame:
     """Skills that are no company of their owner: not one of its forms, nor inside one (from four letters), nor holding one."""
     forms = company_forms(companies, owner, company).withColumnRenamed(owner, "_owner")
-    low = F.lower(F.trim(F.col(skill)))
-    named = F.contains(low, F.col("form")) | (F.length(low) >= 4) & F.contains(F.col("form"), low)
-    return skills.join(forms, (F.col(owner) == F.col("_owner")) & named, "left_anti")
+    return skills.join(forms, (F.col(owner) == F.col("_owner")) & names_company(F.col(skill), F.col("form")), "left_anti")

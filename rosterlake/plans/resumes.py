@@ -31,6 +31,19 @@ resumes AS (SELECT c_custkey AS candidate_id, {_TEXT} AS text FROM customer LEFT
 RESUME_LINES = f"{RESUMES}, resume_lines AS (SELECT candidate_id, i - 1 AS line_no, l[i] AS line FROM (SELECT candidate_id, string_split(text, chr(10)) AS l FROM resumes), unnest(generate_series(1, len(l))) AS t(i))"
 
 
+#: A third of the résumés as they are, a third without headings, a third hardly any text, some none; a company of some has a skill's name.
+_BARE = "text"
+for _head in ("SKILLS", "EXPERIENCE", "EDUCATION", "PROJECTS", "CERTIFICATIONS", "LANGUAGES"):
+    _BARE = f"replace({_BARE}, {_NL} || '{_head}' || {_NL}, {_NL})"
+_MIXED = f"CASE WHEN candidate_id % 6 = 0 THEN replace(text, 'Northern Parts', 'Northern Jenkins') WHEN candidate_id % 3 = 0 THEN text WHEN candidate_id % 3 = 1 THEN {_BARE} WHEN candidate_id % 9 = 2 THEN 'Notes of c' || candidate_id || ', who wrote python and sql' WHEN candidate_id % 9 = 5 THEN '' END"
+MIXED_RESUMES = RESUMES.replace("resumes AS (", "headed AS (", 1) + f", resumes AS (SELECT candidate_id, {_MIXED} AS text FROM headed)"
+
+
+def mixed_resumes(spark: SparkSession, d: str) -> DataFrame:
+    """(candidate_id, text): résumés of unequal worth to a parser."""
+    return resumes(spark, d).selectExpr("candidate_id", f"{_MIXED} AS text")
+
+
 def resumes(spark: SparkSession, d: str) -> DataFrame:
     """(candidate_id, text): a résumé for each customer, with a work entry for each of its orders."""
     entries = table(spark, d, "orders").selectExpr("o_custkey", "o_orderkey", f"{_TITLE} AS title", f"{_COMPANY} AS company", f"{_DATES} AS dates")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
-NAMES = ["pair_percentiles", "missing_skills", "status_transitions", "ingested_versions", "text_embeddings", "suppress_forward", "document_validity", "nearest_vectors"]
+NAMES = ["pair_percentiles", "missing_skills", "status_transitions", "ingested_versions", "text_embeddings", "suppress_forward", "document_validity", "nearest_vectors", "resume_records"]
 KEYS = {"documents": "doc_id", "events": "event_id", "conversations": "conv_id", "embeddings": "vec_id", "orders": "o_orderkey", "lineitem": "l_orderkey", "part": "p_partkey", "supplier": "s_suppkey", "customer": "c_custkey", "nation": "n_nationkey"}
 
 
