@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from .catalogue_resumes import _CATEGORY_SQL, _HOST, _WORK_SQL, _items_sql, _Q,
 from .functions import lexicons as L
 from .operators import cascade
 from .plans import resumes as V
+from .sources.tables import landing_zone
+from .sources.work import session_dir
 
 _YEAR = 2024
 _KINDS = ("experience", "education", "projects", "skills")
@@ -66,3 +70,24 @@ def resume_records(spark: SparkSession, d: str) -> DataFrame:
         "candidate_id", "parser", "first_name", "last_name", "email", "phone", "linkedin_url", "github_url", "portfolio_url", work.alias("experience"), school.alias("education"), F.transform("projects", lambda p: p["name"]).alias("projects"),
         "skills", "certifications", "languages", "years", "completeness", "quality", "score", "tier", "may_match",
     )
+
+
+#: Bytes of the largest résumé file that this landing zone takes.
+_LARGEST = 1000
+
+
+@_query(f"""WITH {V.MIXED_RESUMES}, f AS (SELECT candidate_id, CASE WHEN candidate_id % 5 = 4 THEN 'csv' ELSE 'txt' END AS file_type, CASE WHEN candidate_id % 5 = 4 THEN 'c' || candidate_id ELSE coalesce(text, '') END || chr(10) AS raw FROM resumes),
+r AS (SELECT *, CASE WHEN file_type = 'csv' THEN 'kind' WHEN strlen(raw) > {_LARGEST} THEN 'too large' END AS reason FROM f)
+SELECT candidate_id, file_type, strlen(raw) AS file_size, CASE WHEN reason IS NULL THEN 'pending' ELSE 'rejected' END AS status, reason, CASE WHEN reason IS NULL THEN sha256(raw) END AS text_hash FROM r""")
+def landed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Résumés uploaded as a file each, some of another kind, taken in or rejected by kind and size."""
+    folder = f"{session_dir(spark)}/landing-{uuid.uuid4().hex}"
+    text, other = F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("candidate_id") % 5 == 4, F.lit(False))
+    arrived = V.mixed_resumes(spark, d).withColumn("candidate", F.col("candidate_id")).repartition("candidate")
+    arrived.filter(~other).select("candidate", text).write.partitionBy("candidate").text(f"{folder}/one")
+    arrived.filter(other).select("candidate", F.concat(F.lit("c"), "candidate_id").alias("text")).write.partitionBy("candidate").csv(f"{folder}/two")
+    good, bad = landing_zone(spark, folder, largest=_LARGEST)
+    both = good.select("path", "file_type", "file_size", F.col("processing_status").alias("status"), F.lit(None).cast("string").alias("reason"), F.sha2("raw_text", 256).alias("text_hash"))
+    lost = bad.select("path", "file_type", "file_size", F.lit("rejected").alias("status"), "reason", F.lit(None).cast("string").alias("text_hash"))
+    key = F.regexp_extract("path", "/candidate=([0-9]+)/", 1).try_cast("long").alias("candidate_id")
+    return both.unionByName(lost).select(key, "file_type", "file_size", "status", "reason", "text_hash")

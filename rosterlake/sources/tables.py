@@ -25,14 +25,19 @@ def page(df: DataFrame, order: list[Column], skip: int = 0, limit: int = 100, **
     return df.orderBy(*order).offset(skip).limit(limit)
 
 
-def landing_zone(spark: SparkSession, path: str, *, kinds: str = "*.{txt,json}", largest: int = 10 << 20) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) files of a folder. Rejected are other kinds, whose content is never read, and files above the size cap."""
+def landing_zone(spark: SparkSession, path: str, *, kinds: tuple[str, ...] = ("txt", "json"), largest: int = 10 << 20) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) files of a folder and those below it, each by its path, as names may repeat.
+
+    Rejected are other kinds, whatever the case of their ending, and files above the size cap; the content of neither is read.
+    Accepted ones come with their text and status pending. An empty folder gives no rows.
+    """
     def named(files: DataFrame, *more: str) -> DataFrame:
-        return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("file_size"), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("file_type"), *more)
-
-    read = spark.read.format("binaryFile")
-    every, fit = named(read.load(path)), named(read.option("pathGlobFilter", kinds).load(path), "content")
-    good = fit.filter(F.col("file_size") <= largest).select("file_name", "file_size", "file_type", F.decode("content", "UTF-8").alias("raw_text"), F.lit("pending").alias("processing_status"))
-    known = fit.select("file_name").distinct().withColumn("_fit", F.lit(True))
-    reason = F.when(F.col("_fit").isNull(), "kind").when(F.col("file_size") > largest, "too large")
-    return good, every.join(known, "file_name", "left").withColumn("reason", reason).filter("reason IS NOT NULL").drop("_fit")
+        kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("file_type")
+        return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("file_size"), kind, *more)
+
+    read = lambda **options: spark.read.format("binaryFile").load(path, recursiveFileLookup=True, **options)
+    ending = ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in kind) for kind in kinds)
+    fit = named(read(pathGlobFilter=f"*.{{{ending}}}"), "content").filter(F.col("file_size") <= largest)
+    good = fit.select("path", "file_name", "file_size", "file_type", F.decode("content", "UTF-8").alias("raw_text"), F.lit("pending").alias("processing_status"))
+    reason = F.when(~F.col("file_type").isin(*kinds), "kind").when(F.col("file_size") > largest, "too large")
+    return good, named(read()).withColumn("reason", reason).filter("reason IS NOT NULL")

@@ -124,8 +124,15 @@ def test_landing_zone_and_pages(spark, tmp_path):
     (tmp_path / "a.txt").write_text("hello")
     (tmp_path / "b.txt").write_text("x" * 100)
     (tmp_path / "c.exe").write_text("no")
+    (tmp_path / "txt").write_text("a name without an ending")
+    for folder, name in (("one", "a.TXT"), ("two", "a.txt"), ("three", "a.txt")):  # names repeat, endings in capitals count
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / name).write_text("y" * (99 if folder == "three" else 3))
     good, bad = landing_zone(spark, str(tmp_path), largest=50)
-    assert [(r.file_name, r.raw_text) for r in good.collect()] == [("a.txt", "hello")] and sorted((r.file_name, r.reason) for r in bad.collect()) == [("b.txt", "too large"), ("c.exe", "kind")]
+    place = lambda r: r.path.split(tmp_path.name + "/")[1]
+    assert sorted((place(r), r.raw_text) for r in good.collect()) == [("a.txt", "hello"), ("one/a.TXT", "yyy"), ("two/a.txt", "yyy")]
+    assert sorted((place(r), r.reason) for r in bad.collect()) == [("b.txt", "too large"), ("c.exe", "kind"), ("three/a.txt", "too large"), ("txt", "kind")]
+    assert "content" not in bad._jdf.queryExecution().executedPlan().toString()
     df = spark.range(30)
     assert [r.id for r in page(df, [F.desc("id")], 5, 3).collect()] == [24, 23, 22] and by_key(df, "id", 7).count() == 1
     with pytest.raises(ValueError):
