@@ -216,3 +216,33 @@ def test_long_project_descriptions_stay_whole(spark):
     entry = "Shop platform\n" + "\n".join(f"line {i}" for i in range(1500))
     got = spark.createDataFrame([(entry,)], "e string").select(T.project_entry(F.col("e")).alias("p")).first().p
     assert got.description.count("\n") == 1499 and got.description.endswith("line 1499")
+
+
+def test_best_pairs_against_scores_of_all_pairs(spark):
+    import random
+
+    deal = random.Random(5)
+    words = [f"{a}{b}" for a in "qwxz" for b in ("alpha", "bravo", "kilo", "tango")]
+    skills = [(c, w) for c in range(1500) for w in deal.sample(words, deal.randint(1, 8))]
+    asked = [(j, w, i + 1, "required" if i < 3 and j % 5 else "nice") for j in range(9) for i, w in enumerate(deal.sample(words, 5))]
+    projects = [(c, p, " ".join(deal.sample(words, 4))) for c in range(0, 1500, 2) for p in range(deal.choice([1, 5, 12, 70]) if c < 100 else 3)]
+    left, right = profiles(spark, skills, asked, projects, [(c, [float(c % 7) - 3, 1.0]) for c in range(0, 1500, 3)], [(j, [1.0, float(j)]) for j in range(0, 9, 2)], [(c, c % 9) for c in range(0, 1500, 5)])
+    left = left.withColumn("stored", F.when(F.col("candidate_id") % 10 == 0, F.array(F.struct(F.lit(4).cast("long").alias("job_id"), F.lit(99.0).alias("overall"))))).cache()
+    every = ranking.score_pairs(ranking.count_pairs(left, right)).cache()
+    assert every.count() == 1500 * 9
+    for by, other, n in (("job", "candidate", 4), ("candidate", "job", 2)):
+        some = ranking.score_pairs(ranking.count_pairs(left, right, best=(by, n)))
+        rows = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in ranking.top_per(df, f"{by}_id", "overall", f"{other}_id", n).collect())  # noqa: E731, B023
+        assert [r[:2] for r in rows(some)] == [r[:2] for r in rows(every)]
+
+
+def test_a_task_gives_out_the_best_of_all_that_it_saw(spark):
+    stored = F.array(F.struct(F.lit(1).cast("long").alias("job_id"), (F.col("candidate_id") * 0.05).alias("overall")))
+    left, right = profiles(spark, [(c, "sql") for c in range(1500)], [(1, "sql", 1, "required")])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        got = [r.candidate_id for r in ranking.count_pairs(left.withColumn("stored", stored), right, best=("job", 4)).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert set(got) >= {1496, 1497, 1498, 1499} and len(got) <= 4 * 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
