@@ -246,3 +246,13 @@ def test_a_task_gives_out_the_best_of_all_that_it_saw(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert set(got) >= {1496, 1497, 1498, 1499} and len(got) <= 4 * 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_replies_meet_pairs_without_a_join(spark, sf):
+    import re as regex
+
+    from rosterlake import catalogue
+
+    plan = catalogue.score_override(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert not regex.search("Join|Exchange", above)
