@@ -111,7 +111,7 @@ i AS (SELECT candidate_id, trim(regexp_replace(trim(line), '^[-•]+', '')) AS i
 SELECT candidate_id, list(item ORDER BY rn) AS items FROM i WHERE rn <= 5 GROUP BY 1""")
 def reply_lists(spark: SparkSession, d: str) -> DataFrame:
     """The five lines, bullets or not, that follow a keyword in a free text."""
-    return lines.listed_after(lines.to_lines(V.resumes(spark, d), "candidate_id", "text"), "candidate_id", "experience", 5)
+    return lines.listed_after(V.resumes(spark, d), "candidate_id", "text", "experience", 5)
 
 
 @_query(f"""WITH {views.JOB_SKILLS}, s AS (SELECT job_id, list(skill ORDER BY rn) FILTER (WHERE kind = 'required') AS r, list(skill ORDER BY rn) FILTER (WHERE kind = 'nice') AS n FROM job_skills GROUP BY 1)
@@ -163,7 +163,7 @@ HAVING coalesce(title, company, dates) IS NOT NULL""")
 def simple_entries(spark: SparkSession, d: str) -> DataFrame:
     """Lines between blank ones as an entry: the first that looks like a title, like a company, like dates."""
     kinds = {"title": L.ENTRY_TITLE, "company": L.ENTRY_COMPANY, "dates": L.ENTRY_RANGE}
-    return R.simple_entries(lines.to_lines(V.resumes(spark, d), "candidate_id", "text"), "candidate_id", {n: F.col("line").rlike(p) for n, p in kinds.items()})
+    return R.simple_entries(V.resumes(spark, d), "candidate_id", "text", kinds)
 
 
 @_query(f"""WITH {V.BLOCKS}, o AS (SELECT *, regexp_matches(text, '^[0-9]*0 ') AS title, lag(top) OVER (PARTITION BY doc, page ORDER BY top, left_edge, text) AS p FROM blocks), g AS (SELECT *, sum(CASE WHEN title OR top - p > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page ORDER BY top, left_edge, text ROWS UNBOUNDED PRECEDING) AS e FROM o)

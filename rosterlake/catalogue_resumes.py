@@ -221,7 +221,7 @@ e AS (SELECT s.candidate_id, s.section, s.start, s.n, min(CASE WHEN pair THEN r.
 SELECT candidate_id, section, start, coalesce(stop, least(start + least(50, n - start), n - 1)) AS "end" FROM e""")
 def content_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections of résumés by what their lines hold, without any header."""
-    return R.content_sections(lines.to_lines(V.resumes(spark, d), "candidate_id", "text"), "candidate_id")
+    return R.content_sections(V.resumes(spark, d), "candidate_id", "text").drop("body")
 
 
 @_query(f"""WITH {V.RESUME_LINES}, p AS (SELECT candidate_id, line_no, line, strpos(line, ',') AS pos FROM resume_lines), m AS (SELECT candidate_id, mode_at FROM (SELECT candidate_id, pos AS mode_at, row_number() OVER (PARTITION BY candidate_id ORDER BY count(*) DESC, pos) AS rn FROM p WHERE pos > 0 GROUP BY candidate_id, pos) WHERE rn = 1),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,11 @@ def any_of(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once per row, however often use names it: a plain expression is copied wherever it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def hits(text: Column, words: list[str]) -> Column:
     """How many of the words stand in text."""
     return reduce(lambda a, b: a + b, [text.contains(w).cast("int") for w in words])

@@ -175,9 +175,8 @@ def _escaped(word: str) -> str:
     return reduce(lambda w, c: w.replace(c, "\\" + c), ".+*?()[]{}|^$", word)
 
 
-def content_flags(line: Column) -> dict[str, Column]:
-    """What a line tells of its section by its content: dates, title, company, work, school, tech, project."""
-    low = F.lower(line)
+def content_flags(line: Column, low: Column) -> dict[str, Column]:
+    """What a line (low: in lower case) tells of its section by its content: dates, title, company, work, school, tech, project."""
     url = line.rlike(r"https?://[^\s]+") | low.rlike(r"github\.com/[\w-]+/[\w-]+")
     return {
         "dates": F.upper(line).rlike(L.DATE_RANGE), "title": line.rlike(L.CONTENT_TITLES), "company": line.rlike(L.CONTENT_COMPANIES), "work": any_of(low, L.CONTENT_WORK),

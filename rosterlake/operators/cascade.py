@@ -86,10 +86,7 @@ def by_headers(rows: DataFrame, key: str) -> DataFrame:
 
 def by_content(rows: DataFrame, key: str) -> DataFrame:
     """Rows (key, text) with the lists of sections told from what their lines hold, without headers."""
-    each = lines.to_lines(rows, key, "text")
-    inside = each.join(R.content_sections(each, key), key).filter(F.col("line_no").between(F.col("start"), F.col("end")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    texts = work_table(inside.groupBy(key, "section").agg(joined.alias("body")), "section-texts")
+    texts = work_table(R.content_sections(rows, key, "text").select(key, "section", "body"), "section-texts")
     bodies = {s: texts.filter(F.col("section") == s).select(key, "body") for s in L.CONTENT_ENDS}
     return _with_lists(rows.join(section_lists(bodies, key), key, "left"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from .scan import fold_rows
 
 
@@ -97,11 +98,17 @@ def column_split(blocks: DataFrame, doc: str) -> DataFrame:
     return sides.filter("_l > 100 AND _r > 100").select(doc, "page", "split")
 
 
-def listed_after(lines: DataFrame, doc: str, keyword: str, most: int) -> DataFrame:
-    """(doc, items): the first lines after one that holds the keyword, bullets stripped; blank lines and further keyword lines do not count."""
-    hit = F.contains(F.lower("line"), F.lit(keyword.lower()))
-    begun = F.min(F.when(hit, F.col("line_no"))).over(Window.partitionBy(doc))
-    after = lines.withColumn("_k", begun).withColumn("_hit", hit).filter("line_no > _k AND NOT _hit AND trim(line) <> ''")
-    ranked = after.withColumn("_n", F.row_number().over(_order(doc))).filter(F.col("_n") <= most)
-    item = F.trim(F.regexp_replace(F.trim("line"), "^[-•]+", ""))
-    return ranked.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", item.alias("i")))), lambda x: x["i"]).alias("items"))
+def listed_after(texts: DataFrame, doc: str, text: str, keyword: str, most: int) -> DataFrame:
+    """(doc, items): the first lines after one that holds the keyword, bullets stripped; blank lines and further keyword lines do not count.
+
+    A text is read within its own row, so lines are neither shuffled nor sorted.
+    """
+    hit = lambda x: F.contains(F.lower(x), F.lit(keyword.lower()))
+    item = lambda x: F.trim(F.regexp_replace(F.trim(x), "^[-•]+", ""))
+
+    def listed(ls: Column) -> Column:
+        fit = lambda k: F.filter(ls, lambda x, i: (i >= k) & ~hit(x) & (F.trim(x) != ""))
+        return C.let(F.array_position(F.transform(ls, hit), True), lambda k: F.when(k > 0, F.transform(F.slice(fit(k), 1, most), item)))
+
+    found = texts.select(doc, F.explode(F.transform(F.array(F.split(text, "\n")), listed)).alias("items"))
+    return found.filter(F.size("items") > 0)

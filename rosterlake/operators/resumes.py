@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions import lexicons as L
 from ..functions import resumes as T
 
@@ -28,32 +31,55 @@ def categorised(lines: DataFrame, doc: str) -> DataFrame:
     return held.groupBy(doc, "no", "category").agg(joined.alias("body"))
 
 
-def content_sections(lines: DataFrame, doc: str, reach: int = 50) -> DataFrame:
-    """(doc, section, start, end) by what lines hold: dates, titles, companies, schools, technologies, projects with links.
+def content_sections(texts: DataFrame, doc: str, text: str, reach: int = 50) -> DataFrame:
+    """(doc, section, start, end, body) by what lines hold: dates, titles, companies, schools, technologies, projects with links.
 
-    A section ends at the first of two blank lines, before a line with another section's header word, or after reach lines.
+    A section ends at the first of two blank lines, before a line with another section's header word, or after reach lines;
+    body is its lines. A text is read within its own row, so lines are neither shuffled, sorted nor joined.
     """
-    flags = T.content_flags(F.col("line"))
-    seen = lines.select(doc, "line_no", *[c.alias(n) for n, c in flags.items()])
-    first = lambda c: F.min(F.when(c, F.col("line_no")))
-    work = F.col("dates") | F.col("title") | F.col("company") | F.col("work")
-    counts = seen.groupBy(doc).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("dates").alias("n_dates"), F.count_if("title").alias("n_titles"), F.count_if("company").alias("n_companies"),
-        first(work).alias("experience"), first(F.col("school")).alias("education"), first(F.col("tech")).alias("skills"), first(F.col("project")).alias("projects"),
-    )
-    enough = (F.col("n_dates") >= 2) | (F.col("n_titles") >= 1) & (F.col("n_companies") >= 1)
-    begun = F.array(*[F.struct(F.lit(s).alias("section"), (F.when(enough, F.col(s)) if s == "experience" else F.col(s)).alias("start")) for s in L.CONTENT_ENDS])
-    starts = counts.select(doc, "n", F.inline(begun)).filter("start IS NOT NULL")
-    blank = F.trim("line") == ""
-    pair = blank & F.coalesce(F.lead(blank).over(Window.partitionBy(doc).orderBy("line_no")), F.lit(False))
-    upper, ends = F.upper(F.trim("line")), F.lit(False)
-    for section, words in L.CONTENT_ENDS.items():
-        if words:
-            ends = F.when(F.col("section") == section, T.any_of(upper, words)).otherwise(ends)
-    span = F.least(F.lit(reach), F.col("n") - F.col("start"))
-    met = starts.join(lines.withColumn("_pair", pair), doc, "left").filter((F.col("line_no") > F.col("start")) & (F.col("line_no") < F.col("start") + span))
-    stops = met.groupBy(doc, "section").agg(F.min(F.when(F.col("_pair"), F.col("line_no")).when(ends, F.col("line_no") - 1)).alias("stop"))
-    return starts.join(stops, [doc, "section"], "left").select(doc, "section", "start", F.coalesce("stop", F.least(F.col("start") + span, F.col("n") - 1)).alias("end"))
+    def first(flags: Column, fits: Callable[[Column], Column]) -> Column:
+        at = F.array_position(F.transform(flags, fits), True)
+        return F.when(at > 0, (at - 1).cast("int"))
+
+    def many(flags: Column, name: str) -> Column:
+        return F.size(F.filter(flags, lambda f: f[name]))
+
+    def begun(flags: Column) -> Column:
+        enough = (many(flags, "dates") >= 2) | (many(flags, "title") >= 1) & (many(flags, "company") >= 1)
+        at = {
+            "experience": F.when(enough, first(flags, lambda f: f["dates"] | f["title"] | f["company"] | f["work"])), "education": first(flags, lambda f: f["school"]),
+            "skills": first(flags, lambda f: f["tech"]), "projects": first(flags, lambda f: f["project"]),
+        }
+        return F.filter(F.array(*[F.struct(F.lit(s).alias("section"), at[s].alias("start")) for s in L.CONTENT_ENDS]), lambda x: x["start"].isNotNull())
+
+    def stop(ls: Column, section: Column, start: Column, span: Column) -> Column:
+        def ends(line: Column) -> Column:
+            met = F.lit(False)
+            for name, words in L.CONTENT_ENDS.items():
+                if words:
+                    met = F.when(section == name, T.any_of(line, words)).otherwise(met)
+            return met
+
+        def at(line: Column, i: Column) -> Column:
+            no = start + 1 + i
+            pair = (F.trim(line) == "") & F.coalesce(F.trim(F.get(ls, no + 1)) == "", F.lit(False))
+            return F.when(pair, no).when(C.let(F.upper(F.trim(line)), ends), no - 1)
+
+        return F.array_min(F.transform(F.slice(ls, start + 2, F.greatest(span - 1, F.lit(0))), at))
+
+    def sections(ls: Column) -> Column:
+        def bounded(s: Column) -> Column:
+            span = F.least(F.lit(reach), F.size(ls) - s["start"])
+            end = F.coalesce(stop(ls, s["section"], s["start"], span), F.least(s["start"] + span, F.size(ls) - 1))
+            return F.struct(s["section"].alias("section"), s["start"].alias("start"), end.cast("long").alias("end"))
+
+        flagged = F.transform(ls, lambda x: C.let(F.struct(x.alias("x"), F.lower(x).alias("low")), lambda s: F.struct(*[c.alias(n) for n, c in T.content_flags(s["x"], s["low"]).items()])))
+        return F.transform(C.let(flagged, begun), bounded)
+
+    found = texts.select(doc, F.explode(F.transform(F.array(F.split(text, "\n")), lambda ls: F.struct(ls.alias("l"), sections(ls).alias("s")))).alias("_t"))
+    each = found.select(doc, "_t.l", F.explode("_t.s").alias("_s"))
+    body = F.array_join(F.slice("l", F.col("_s.start") + 1, (F.col("_s.end") - F.col("_s.start") + 1).cast("int")), "\n")
+    return each.select(doc, "_s.section", "_s.start", "_s.end", body.alias("body"))
 
 
 def split_columns(lines: DataFrame, doc: str, separator: str) -> DataFrame:
@@ -110,11 +136,20 @@ def block_labels(marked: DataFrame, doc: str, near_top: float = 100) -> DataFram
     return marked.withColumn("label", F.coalesce(F.last("section", True).over(order), none))
 
 
-def simple_entries(lines: DataFrame, doc: str, kinds: dict[str, Column]) -> DataFrame:
-    """(doc, entry_no, one column a kind): lines between blank ones, the first of each kind; entries with none are left out."""
-    numbered = lines.withColumn("entry_no", F.sum((F.trim("line") == "").cast("int")).over(_down(doc)))
-    first = [F.min_by(F.trim("line"), F.when(c, F.col("line_no"))).alias(n) for n, c in kinds.items()]
-    return numbered.groupBy(doc, "entry_no").agg(*first).filter(F.coalesce(*kinds).isNotNull())
+def simple_entries(texts: DataFrame, doc: str, text: str, kinds: dict[str, str]) -> DataFrame:
+    """(doc, entry_no, one column a kind): lines between blank ones, the first that its pattern fits; entries with none are left out.
+
+    A text is cut within its own row, so lines are neither shuffled nor sorted.
+    """
+    first = lambda ls, pattern: F.trim(F.get(F.filter(ls, lambda x: x.rlike(pattern)), 0))
+
+    def entry(piece: Column) -> Column:
+        return C.let(F.split(piece, "\n"), lambda ls: F.struct(*[first(ls, p).alias(n) for n, p in kinds.items()]))
+
+    # every line begins with its line end here, so a blank one is a cut
+    cut = F.split(F.concat(F.lit("\n"), F.col(text)), r"\n *(?=\n|\z)")
+    found = texts.select(doc, F.posexplode(F.transform(cut, entry)).alias("entry_no", "_e"))
+    return found.filter(F.coalesce(*[F.col("_e")[n] for n in kinds]).isNotNull()).select(doc, F.col("entry_no").cast("long").alias("entry_no"), "_e.*")
 
 
 def segment_entries(blocks: DataFrame, doc: str, title: Column, gap: float) -> DataFrame:
