@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import automaton
 from . import lexicons as L
-from .columns import any_of, hits
+from .columns import any_of, hits, let
 from .records import clean_skill, filled, valid_skill  # noqa: F401
 
 
@@ -156,19 +157,28 @@ def url_kind(url: Column) -> Column:
 def post_skills(text: Column, words: list[str]) -> tuple[Column, Column]:
     """(required, nice): lexicon words of a post's section of that kind, and those that follow "must" or "preferred" and the like on their line; sorted.
 
-    Full-stack posts require html, css and rest api where they name them. Words after "must" count as whole words only.
+    Full-stack posts require html, css and rest api where they name them. Words after "must" count as whole words only. Section
+    and line ends are cut out once a text, not once a word.
     """
-    low = F.lower(text)
+    def named(s: Column) -> list[Column]:
+        whole = lambda w: F.contains(s["after"], F.lit(w)) & s["after"].rlike(r"(?:^|[^a-z0-9_])" + _escaped(w) + r"(?:$|[^a-z0-9_])")
+        return [F.when(F.contains(s["block"], F.lit(w)) | whole(w), w) for w in words]
 
-    def named(section: str, lead: str) -> list[Column]:
-        block = F.lower(F.regexp_extract(text, section, 1))
-        after = F.array_join(F.regexp_extract_all(low, F.lit(lead + r"([^\n]*)"), F.lit(1)), "\n")
-        return [F.when(F.contains(block, F.lit(w)) | after.rlike(r"(?:^|[^a-z0-9_])" + _escaped(w) + r"(?:$|[^a-z0-9_])"), w) for w in words]
+    def implied(low: Column) -> list[Column]:
+        full = low.rlike("full[ -]?stack")
+        return [F.when(full & low.contains("html"), "html"), F.when(full & low.contains("css"), "css"), F.when(full & (low.contains("rest") | low.contains("api")), "rest api")]
 
-    full = low.rlike("full[ -]?stack")
-    implied = [F.when(full & low.contains("html"), "html"), F.when(full & low.contains("css"), "css"), F.when(full & (low.contains("rest") | low.contains("api")), "rest api")]
-    kept = lambda found: F.array_sort(F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull())))
-    return kept(named(L.POST_REQUIRED, L.POST_MUST) + implied), kept(named(L.POST_NICE, L.POST_MAY))
+    def listed(section: str, lead: str, more: Callable[[Column], list[Column]]) -> Column:
+        def kept(s: Column) -> Column:
+            return F.array_sort(F.array_distinct(F.filter(F.array(*named(s), *more(s["low"])), lambda x: x.isNotNull())))
+
+        def parts(low: Column) -> Column:
+            after = F.array_join(F.regexp_extract_all(low, F.lit(lead + r"([^\n]*)"), F.lit(1)), "\n")
+            return F.struct(F.lower(F.regexp_extract(text, section, 1)).alias("block"), after.alias("after"), low.alias("low"))
+
+        return let(let(F.lower(text), parts), kept)
+
+    return listed(L.POST_REQUIRED, L.POST_MUST, implied), listed(L.POST_NICE, L.POST_MAY, lambda low: [])
 
 
 def _escaped(word: str) -> str:
