@@ -41,3 +41,15 @@ def test_a_candidate_that_fails_has_its_error_in_all_pairs(spark):
     right = spark.createDataFrame([(7, ["sql"], [], ["sql"]), (8, [], ["go"], ["go"])], "job_id long, required array<string>, nice array<string>, words array<string>")
     got = {(r.candidate_id, r.job_id): (r.n_skills, *r.value) for r in ranking.expand(ranking.pair_kinds(left, right, ("skills", "vectors")), lambda k: F.struct(k["required"], k["n_nice"], k["error"].isNotNull())).collect()}
     assert got == {(1, 7): (1, 1, 0, False), (1, 8): (1, 0, 1, False), (2, 7): (2, None, None, True), (2, 8): (2, None, None, True), (None, 7): (3, 1, 0, False), (None, 8): (3, 0, 1, False)}
+
+
+@pytest.mark.parametrize("levels", [4096, 3])
+def test_percentiles_without_a_sort_of_pairs(spark, sides, monkeypatch, levels):
+    scored = ranking.score_pairs(ranking.count_pairs(*sides)).select("job_id", "candidate_id", "skill_score", "overall")
+    want = rows(scored.withColumn("p", ranking.percentile("overall", "job_id")).select("job_id", "candidate_id", "skill_score", F.col("p").alias("percentile_rank")))
+    sorted_pairs = []
+    real = ranking.group_percentiles
+    monkeypatch.setattr(ranking, "group_percentiles", lambda *a: sorted_pairs.append(a) or real(*a))
+    monkeypatch.setattr(ranking, "_LEVELS", levels)
+    assert rows(ranking.pair_percentiles(*sides)) == want
+    assert bool(sorted_pairs) == (levels == 3)
