@@ -48,8 +48,8 @@ work AS (SELECT candidate_id, entry_no, entry, title, company, start_date, CASE
 
 
 def _work(spark: SparkSession, d: str) -> DataFrame:
-    raw = R.split_entries(V.resumes(spark, d).select("candidate_id", T.section_text(F.col("text"), "experience").alias("sec")), "candidate_id", "sec", "\n\n+")
-    return raw.filter(F.length("entry") >= 10).select("candidate_id", "entry_no", "entry", T.work_entry(F.col("entry")).alias("e")).select("candidate_id", "entry_no", "entry", "e.*")
+    raw = R.read_entries(V.resumes(spark, d).select("candidate_id", T.section_text(F.col("text"), "experience").alias("sec")), "candidate_id", "sec", "\n\n+", 10, T.work_entry)
+    return raw.select("candidate_id", "entry_no", "entry", "e.*")
 
 
 @_query(f"""WITH {_WORK_SQL} SELECT candidate_id, entry_no, title, company, start_date, end_date, description FROM work
@@ -74,8 +74,8 @@ g AS (SELECT *, coalesce({', '.join(f"list_filter(ls, lambda x: regexp_matches(x
 f AS (SELECT *, substr(entry, strpos(entry, degree) + length(degree)) AS rest FROM g WHERE degree IS NOT NULL OR institution IS NOT NULL)
 SELECT candidate_id, entry_no, coalesce(degree, 'Unknown') AS degree, coalesce(institution, 'Unknown') AS institution, nullif(regexp_replace(CASE WHEN contains(rest, institution) THEN substr(rest, 1, strpos(rest, institution) - 1) END, '^[\\s,–—-]+|[\\s,–—-]+$', '', 'g'), '') AS field, year FROM f""")
 def education_entries(spark: SparkSession, d: str) -> DataFrame:
-    raw = R.split_entries(V.resumes(spark, d).select("candidate_id", T.section_text(F.col("text"), "education").alias("sec")), "candidate_id", "sec", r"\n\s*\n|\n\s*[-•]\s*")
-    e = raw.filter(F.length("entry") >= 5).select("candidate_id", "entry_no", T.education_entry(F.col("entry")).alias("e")).filter("e.degree IS NOT NULL OR e.institution IS NOT NULL")
+    raw = R.read_entries(V.resumes(spark, d).select("candidate_id", T.section_text(F.col("text"), "education").alias("sec")), "candidate_id", "sec", r"\n\s*\n|\n\s*[-•]\s*", 5, T.education_entry)
+    e = raw.filter("e.degree IS NOT NULL OR e.institution IS NOT NULL")
     return e.select("candidate_id", "entry_no", F.coalesce("e.degree", F.lit("Unknown")).alias("degree"), F.coalesce("e.institution", F.lit("Unknown")).alias("institution"), F.col("e.field").alias("field"), F.col("e.year").alias("year"))
 
 
@@ -83,8 +83,8 @@ def education_entries(spark: SparkSession, d: str) -> DataFrame:
 SELECT candidate_id, entry_no, ls[1] AS name, array_to_string(ls[2:], chr(10)) AS description, nullif(regexp_extract(entry, 'https?://[^\\s]+', 0), '') AS url, list_filter({_Q(L.PROJECT_TECHNOLOGIES)}, lambda t: contains(lower(entry), lower(t))) AS technologies FROM ls
 WHERE length(ls[1]) <= 60 AND lower(ls[1]) NOT IN ({', '.join(repr(w) for w in L.SUMMARY_NAMES)}) AND NOT (regexp_matches(entry, '{L.SUMMARY_WORDS}') AND length(entry) > 100)""")
 def project_entries(spark: SparkSession, d: str) -> DataFrame:
-    raw = R.split_entries(V.resumes(spark, d).select("candidate_id", T.section_text(F.col("text"), "projects").alias("sec")), "candidate_id", "sec", "\n\n+")
-    return raw.select("candidate_id", "entry_no", T.project_entry(F.col("entry")).alias("p")).filter("p IS NOT NULL").select("candidate_id", "entry_no", "p.*")
+    raw = R.read_entries(V.resumes(spark, d).select("candidate_id", T.section_text(F.col("text"), "projects").alias("sec")), "candidate_id", "sec", "\n\n+", 0, T.project_entry)
+    return raw.filter("e IS NOT NULL").select("candidate_id", "entry_no", "e.*")
 
 
 def _items_sql(section: str, shortest: int, longest: int) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
-from .columns import any_of
+from .columns import any_of, let
 
 
 def filled(*fields: Column) -> Column:
@@ -55,41 +55,52 @@ def prefer_refined(base: Column, refined: Column) -> Column:
 def clean_skill(raw: Column) -> Column:
     """A skill's bare name: no lead-in, examples, brackets, years or alternatives; null for phrases and single letters."""
     text = F.trim(raw)
+
+    def named(bare: Column) -> Column:
+        phrase = bare.rlike(L.SKILL_PHRASE) & let(F.lower(bare), lambda low: ~any_of(low, L.SKILL_PHRASE_NAMES))
+        name = F.regexp_replace(F.trim(F.regexp_replace(bare, L.SKILL_ALTERNATIVES, "")), "[.,;:]+$", "")
+        return F.when(~phrase, let(name, lambda n: F.when((F.size(F.split(F.trim(n), r"\s+")) <= 3) & (F.length(n) >= 2), n)))
+
     bare = text
     for pattern in L.SKILL_NOISE:
         bare = F.regexp_replace(bare, pattern, "")
-    phrase = bare.rlike(L.SKILL_PHRASE) & ~any_of(F.lower(bare), L.SKILL_PHRASE_NAMES)
-    name = F.regexp_replace(F.trim(F.regexp_replace(bare, L.SKILL_ALTERNATIVES, "")), "[.,;:]+$", "")
-    return F.when((F.length(text) <= 35) & ~phrase & (F.size(F.split(F.trim(name), r"\s+")) <= 3) & (F.length(name) >= 2), name)
+    return F.when(F.length(text) <= 35, let(bare, named))
 
 
 def valid_skill(name: Column) -> Column:
     """Whether a cleaned name can be a skill: no number, stop word, company word or verb, and a technical look or one short word."""
-    low = F.lower(F.trim(name))
-    barred = low.rlike(r"^[\d./-]+$") | low.isin(L.SKILL_STOP_WORDS) | name.rlike(r"\b(?:19|20)\d{2}\s*[-–—]") | any_of(low, L.COMPANY_MARKS) | any_of(low, L.ACTION_VERBS)
+    def bars(low: Column) -> Column:
+        return low.rlike(r"^[\d./-]+$") | low.isin(L.SKILL_STOP_WORDS) | name.rlike(r"\b(?:19|20)\d{2}\s*[-–—]") | any_of(low, L.COMPANY_MARKS) | any_of(low, L.ACTION_VERBS)
+
+    barred = let(F.lower(F.trim(name)), bars)
     looks = name.rlike(r"[A-Z./0-9]") & (F.length(name) <= 30) | name.rlike(r"^[a-z]{3,15}$")
     return F.coalesce(F.length(name).between(2, 50) & ~barred & looks, F.lit(False))
 
 
 def company_forms(company: Column) -> Column:
     """A company's name in lower case, without its last word where that is a legal or trade word, and its first word; none for unknown names."""
-    low = F.lower(F.trim(filled(company)))
-    words = F.split(low, r"\s+")
-    short = F.when((F.size(words) > 1) & F.element_at(words, -1).isin(L.COMPANY_SUFFIXES), F.array_join(F.slice(words, 1, F.size(words) - 1), " "))
-    forms = F.array(low, short, F.when(F.size(words) > 1, F.get(words, 0)))
-    return F.when(low.isNotNull(), F.filter(forms, lambda x: x.isNotNull() & (x != ""))).otherwise(F.array().cast("array<string>"))
+    def forms(low: Column, words: Column) -> Column:
+        short = F.when((F.size(words) > 1) & F.element_at(words, -1).isin(L.COMPANY_SUFFIXES), F.array_join(F.slice(words, 1, F.size(words) - 1), " "))
+        every = F.array(low, short, F.when(F.size(words) > 1, F.get(words, 0)))
+        return F.when(low.isNotNull(), F.filter(every, lambda x: x.isNotNull() & (x != ""))).otherwise(F.array().cast("array<string>"))
+
+    return let(F.lower(F.trim(filled(company))), lambda low: let(F.split(low, r"\s+"), lambda words: forms(low, words)))
 
 
 def names_company(skill: Column, form: Column) -> Column:
     """Whether a skill holds a company's form, or, from four letters on, lies inside one."""
-    low = F.lower(F.trim(skill))
+    return _low_names(F.lower(F.trim(skill)), form)
+
+
+def _low_names(low: Column, form: Column) -> Column:
     return F.contains(low, form) | (F.length(low) >= 4) & F.contains(form, low)
 
 
 def without_companies(skills: Column, companies: Column) -> Column:
-    """Skills without those that name one of the companies."""
-    forms = F.array_distinct(F.flatten(F.transform(companies, lambda c: company_forms(c))))
-    return F.filter(skills, lambda s: ~F.exists(forms, lambda f: names_company(s, f)))
+    """Skills without those that name one of the companies, whose forms are worked out once a row."""
+    every = F.array_distinct(F.flatten(F.transform(F.array_distinct(companies), lambda c: company_forms(c))))
+    kept = lambda s, forms: let(F.lower(F.trim(s)), lambda low: ~F.exists(forms, lambda f: _low_names(low, f)))
+    return let(every, lambda forms: F.filter(skills, lambda s: kept(s, forms)))
 
 
 def explanation(n_required: Column, matched: Column, missing: Column, n_nice: Column, matched_nice: Column, years: Column, score: Column) -> tuple[Column, Column]:

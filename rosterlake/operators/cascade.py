@@ -14,7 +14,6 @@ from ..functions import profiles as P
 from ..functions import records as N
 from ..functions import resumes as T
 from ..sources.work import work_table
-from . import lines
 from . import resumes as R
 
 #: What a parser gives, whichever it is.
@@ -47,48 +46,48 @@ def _with_lists(rows: DataFrame) -> DataFrame:
     return rows.withColumns({n: F.coalesce(F.col(n).cast(kind) if n in rows.columns else F.lit(None).cast(kind), F.array().cast(kind)) for n, kind in PARSED.items()})
 
 
-def section_lists(bodies: dict[str, DataFrame], key: str) -> DataFrame:
-    """(key, experience, education, projects, skills) from the texts (key, body) of these sections, entries in their order.
+def section_lists(bodies: dict[str, Column]) -> dict[str, Column]:
+    """experience, education, projects and skills from the texts of these sections, entries in their order; empty for a null text.
 
-    Entries of all kinds meet in one shuffle by key; the texts themselves are not shuffled.
+    A section is read within its own row, each entry once, so entries are neither shuffled nor sorted.
     """
-    def entries(section: str, pattern: str, least: int) -> DataFrame:
-        return R.split_entries(bodies[section], key, "body", pattern).filter(F.length("entry") >= least)
-
-    at = lambda no, place: F.struct(F.col(no).cast("int").alias("no"), F.col(place).cast("int").alias("place")).alias("_at")
-    work = entries("experience", "\n\n+", 10).filter(~C.any_of(F.upper("entry"), L.EDUCATION_WORDS)).withColumn("e", T.work_entry(F.col("entry")))
-    work = work.filter("e.company IS NOT NULL AND (e.title IS NOT NULL OR e.start_date IS NOT NULL)").filter(~T.is_school(F.col("e.company")))
-    school = entries("education", r"\n\s*\n|\n\s*[-•]\s*", 5).withColumn("e", T.education_entry(F.col("entry"))).filter("e.degree IS NOT NULL OR e.institution IS NOT NULL")
-    named = F.struct(F.coalesce("e.degree", F.lit("Unknown")).alias("degree"), F.coalesce("e.institution", F.lit("Unknown")).alias("institution"), "e.field", "e.year")
-    project = entries("projects", "\n\n+", 10).withColumn("e", T.project_entry(F.col("entry"))).filter("e IS NOT NULL")
-    rows = R.categorised(lines.to_lines(bodies["skills"], key, "body"), key)
-    skill = rows.select(key, "no", F.posexplode(T.category_skills(F.col("body"))).alias("place", "skills"))
-    parts = [
-        work.select(key, at("entry_no", "entry_no"), F.col("e").alias("experience")), school.select(key, at("entry_no", "entry_no"), named.alias("education")),
-        project.select(key, at("entry_no", "entry_no"), F.col("e").alias("projects")), skill.select(key, at("no", "place"), "skills"),
-    ]
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-    def listed(name: str) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("_at", name)))), lambda x: x[name])
-
-    lists = every.groupBy(key).agg(*[listed(n).alias(n) for n in ("experience", "education", "projects", "skills")])
-    return lists.withColumn("skills", T.ordered_distinct(F.col("skills")))
-
-
-def by_headers(rows: DataFrame, key: str) -> DataFrame:
-    """Rows (key, text) with the lists of the sections that headers open."""
+    def works(w: Column) -> Column:
+        e = w["e"]
+        return e["company"].isNotNull() & (e["title"].isNotNull() | e["start_date"].isNotNull()) & ~T.is_school(e["company"])
+
+    def school(w: Column) -> Column:
+        return F.struct(*[F.coalesce(w["e"][n], F.lit("Unknown")).alias(n) for n in ("degree", "institution")], w["e"]["field"].alias("field"), w["e"]["year"].alias("year"))
+
+    def of_work(entry: Column) -> Column:
+        return F.when(C.let(F.upper(entry), lambda up: ~C.any_of(up, L.EDUCATION_WORDS)), T.work_entry(entry))
+
+    read = lambda s, pattern, least, how: T.entries_of(bodies[s], pattern, least, how)
+    schools = F.filter(read("education", r"\n\s*\n|\n\s*[-•]\s*", 5, T.education_entry), lambda w: w["e"]["degree"].isNotNull() | w["e"]["institution"].isNotNull())
+    return {
+        "experience": F.transform(F.filter(read("experience", "\n\n+", 10, of_work), works), lambda w: w["e"]), "education": F.transform(schools, school),
+        "projects": F.transform(F.filter(read("projects", "\n\n+", 10, T.project_entry), lambda w: w["e"].isNotNull()), lambda w: w["e"]),
+        "skills": C.let(T.listed_skills(bodies["skills"]), T.ordered_distinct),
+    }
+
+
+def _with_sections(rows: DataFrame, bodies: dict[str, Column], more: dict[str, Column]) -> DataFrame:
+    """rows with the lists of their sections, whose texts are cut out once."""
+    names = {s: f"_{s}" for s in bodies}
+    lists = section_lists({s: F.col(n) for s, n in names.items()})
+    return _with_lists(rows.withColumns({names[s]: body for s, body in bodies.items()}).withColumns(lists | more)).drop(*names.values())
+
+
+def by_headers(rows: DataFrame) -> DataFrame:
+    """Rows with text and the lists of the sections that headers open."""
     text = F.col("text")
-    bodies = {s: rows.select(key, T.section_text(text, s).alias("body")).filter("body IS NOT NULL") for s in ("experience", "education", "projects", "skills")}
     more = {"certifications": T.list_items(T.section_text(text, "certifications"), 3, 49), "languages": T.list_items(T.section_text(text, "languages"), 2, 29)}
-    return _with_lists(rows.join(section_lists(bodies, key), key, "left").withColumns(more))
+    return _with_sections(rows, {s: T.section_text(text, s) for s in ("experience", "education", "projects", "skills")}, more)
 
 
-def by_content(rows: DataFrame, key: str) -> DataFrame:
-    """Rows (key, text) with the lists of sections told from what their lines hold, without headers."""
-    texts = work_table(R.content_sections(rows, key, "text").select(key, "section", "body"), "section-texts")
-    bodies = {s: texts.filter(F.col("section") == s).select(key, "body") for s in L.CONTENT_ENDS}
-    return _with_lists(rows.join(section_lists(bodies, key), key, "left"))
+def by_content(rows: DataFrame) -> DataFrame:
+    """Rows with text and the lists of sections told from what their lines hold, without headers."""
+    body = lambda section: F.get(F.filter("_parts", lambda s: s["section"] == section), 0)["body"]
+    return _with_sections(rows.withColumn("_parts", R.content_parts(F.col("text"))), {s: body(s) for s in L.CONTENT_ENDS}, {}).drop("_parts")
 
 
 def by_rules(rows: DataFrame) -> DataFrame:
@@ -106,24 +105,29 @@ def parse_resumes(docs: DataFrame, text: str, year: int) -> DataFrame:
     score the quality of the parse with its tier. Null and empty texts have parser 'none' and empty lists; text columns of docs
     are kept, columns of docs that are named like one of the record are replaced.
     """
-    keyed = docs.withColumn("_hash", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    keyed = work_table(docs.withColumn("_hash", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), "keyed")
     texts = work_table(keyed.groupBy("_hash").agg(F.coalesce(F.min(text), F.lit("")).alias("text")), "texts")
-    stages = {"headers": lambda r: by_headers(r, "_hash"), "content": lambda r: by_content(r, "_hash"), "rules": by_rules}
+    stages = {"headers": by_headers, "content": by_content, "rules": by_rules}
     parsed = in_turn(texts, stages, (F.size("experience") > 0) | (F.size("skills") > 0))
     record = stored_record(parsed, year).drop("text")
     return keyed.drop(*[c for c in record.columns if c != "_hash"]).join(record, "_hash").drop("_hash")
 
 
 def stored_record(parsed: DataFrame, year: int) -> DataFrame:
-    """A parse (text, parser and the lists) as the record that is stored, see parse_resumes."""
-    text = F.col("text")
-    name = F.trim(F.get(F.filter(F.slice(F.split(text, "\n"), 1, 5), lambda x: T.looks_like_name(x)), 0))
+    """A parse (text, parser and the lists) as the record that is stored, see parse_resumes. Name and links are looked for once a row."""
+    text, name, kinds_of_link = F.col("text"), F.col("_name"), ("linkedin", "github", "portfolio")
+    named = F.trim(F.get(F.filter(F.slice(F.split(text, "\n", 6), 1, 5), lambda x: T.looks_like_name(x)), 0))
     first, last = C.split_name(name)
     # no link crosses a character that none can hold; runs without a dot are passed over, as the pattern is quadratic in them
-    pieces = F.filter(F.split(text, "[^a-zA-Z0-9_/.:-]+"), lambda x: F.contains(x, F.lit(".")))
+    dotted = lambda words: F.filter(words, lambda x: x.contains("."))
+    words = dotted(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "))
+    pieces = dotted(F.flatten(F.transform(words, lambda x: F.split(x, "[^a-zA-Z0-9_/.:-]+"))))
     urls = F.flatten(F.transform(pieces, lambda x: F.regexp_extract_all(x, F.lit(L.URL), F.lit(0))))
-    link = lambda kind: C.normalize_url(F.get(F.filter(urls, lambda u: T.url_kind(u) == kind), 0))
-    said = parsed.withColumns({"first_name": first, "last_name": last, "email": C.first_email(text), "phone": C.first_phone(text), **{f"{k}_url": link(k) for k in ("linkedin", "github", "portfolio")}})
+    links = F.transform(urls, lambda u: F.struct(u.alias("url"), T.url_kind(u).alias("kind")))
+    link = lambda kind: F.get(F.filter("_links", lambda u: u["kind"] == kind), 0)["url"]
+    found = parsed.withColumns({"_name": named, "_links": links, "email": C.first_email(text), "phone": C.first_phone(text)})
+    said = found.withColumns({"first_name": first, "last_name": last, **{f"{k}_url": link(k) for k in kinds_of_link}})
+    said = said.withColumns({f"{k}_url": C.normalize_url(F.col(f"{k}_url")) for k in kinds_of_link})
     companies = F.transform("experience", lambda e: e["company"])
     cleaned = said.withColumns({"skills": N.without_companies(F.col("skills"), companies), "years": T.years_of(F.col("experience"), year)})
     n = {k: F.size(k) for k in ("experience", "education", "projects", "skills")}
@@ -133,4 +137,4 @@ def stored_record(parsed: DataFrame, year: int) -> DataFrame:
     layout = F.when(F.col("parser").isin("headers", "content"), 0.5).otherwise(0.0)
     score = C.parse_quality(n["skills"], F.col("years").isNotNull().cast("int"), n["experience"], n["education"], n["projects"], F.length(text), kinds, layout, layout == 0, dated)
     scored = cleaned.withColumns({"completeness": full, "score": score})
-    return scored.withColumns({"quality": P.percent(F.col("completeness")), "tier": C.quality_tier(F.col("score")), "may_match": C.may_match(F.col("score"))})
+    return scored.withColumns({"quality": P.percent(F.col("completeness")), "tier": C.quality_tier(F.col("score")), "may_match": C.may_match(F.col("score"))}).drop("_name", "_links")

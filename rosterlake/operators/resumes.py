@@ -16,10 +16,12 @@ def _down(doc: str) -> Window:
     return Window.partitionBy(doc).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def split_entries(texts: DataFrame, doc: str, text: str, pattern: str) -> DataFrame:
-    """(doc, entry_no from 0, entry) of texts cut at the pattern; null texts have no entries."""
-    cut = texts.filter(F.col(text).isNotNull()).select(doc, F.posexplode(F.split(text, pattern)).alias("entry_no", "entry"))
-    return cut.withColumn("entry", F.trim("entry"))
+def read_entries(texts: DataFrame, doc: str, text: str, pattern: str, least: int, read: Callable[[Column], Column]) -> DataFrame:
+    """(doc, entry_no from 0, entry, e = read(entry)) of texts cut at the pattern, entries of at least so many characters; null texts have none.
+
+    Entries are read as they are cut, so a later filter on e does not read them again.
+    """
+    return texts.select(doc, F.explode(T.entries_of(F.col(text), pattern, least, read)).alias("_e")).select(doc, "_e.*")
 
 
 def categorised(lines: DataFrame, doc: str) -> DataFrame:
@@ -32,54 +34,52 @@ def categorised(lines: DataFrame, doc: str) -> DataFrame:
 
 
 def content_sections(texts: DataFrame, doc: str, text: str, reach: int = 50) -> DataFrame:
-    """(doc, section, start, end, body) by what lines hold: dates, titles, companies, schools, technologies, projects with links.
+    """(doc, section, start, end, body) of texts, see content_parts. A text is read within its own row, so lines are neither shuffled, sorted nor joined."""
+    return texts.select(doc, F.explode(content_parts(F.col(text), reach)).alias("_s")).select(doc, "_s.*")
+
+
+def content_parts(text: Column, reach: int = 50) -> Column:
+    """(section, start, end, body) of a text by what lines hold: dates, titles, companies, schools, technologies, projects with links.
 
     A section ends at the first of two blank lines, before a line with another section's header word, or after reach lines;
-    body is its lines. A text is read within its own row, so lines are neither shuffled, sorted nor joined.
+    body is its lines. Each section stands once at most.
     """
-    def first(flags: Column, fits: Callable[[Column], Column]) -> Column:
-        at = F.array_position(F.transform(flags, fits), True)
-        return F.when(at > 0, (at - 1).cast("int"))
-
-    def many(flags: Column, name: str) -> Column:
-        return F.size(F.filter(flags, lambda f: f[name]))
-
-    def begun(flags: Column) -> Column:
-        enough = (many(flags, "dates") >= 2) | (many(flags, "title") >= 1) & (many(flags, "company") >= 1)
-        at = {
-            "experience": F.when(enough, first(flags, lambda f: f["dates"] | f["title"] | f["company"] | f["work"])), "education": first(flags, lambda f: f["school"]),
-            "skills": first(flags, lambda f: f["tech"]), "projects": first(flags, lambda f: f["project"]),
-        }
-        return F.filter(F.array(*[F.struct(F.lit(s).alias("section"), at[s].alias("start")) for s in L.CONTENT_ENDS]), lambda x: x["start"].isNotNull())
-
-    def stop(ls: Column, section: Column, start: Column, span: Column) -> Column:
-        def ends(line: Column) -> Column:
+    def begun(ls: Column) -> Column:
+        at = C.let(F.lower(text), lambda low: F.struct(*[c.cast("int").alias(n) for n, c in T.content_starts(text, low, ls).items()]))
+        return C.let(at, lambda a: F.filter(F.array(*[F.struct(F.lit(n).alias("section"), a[n].alias("start")) for n in L.CONTENT_ENDS]), lambda x: x["start"].isNotNull()))
+
+    def ends(marks: Column) -> Column:
+        # lines that may end a section: the first of two blank ones, and those with a header word of any
+        words = sorted({w for ws in L.CONTENT_ENDS.values() for w in ws})
+        pair = lambda m, i: (m == "") & F.coalesce(F.get(marks, i + 1) == "", F.lit(False))
+        every = F.transform(marks, lambda m, i: F.struct(i.alias("no"), m.alias("m"), pair(m, i).alias("pair")))
+        return F.filter(every, lambda e: e["pair"] | T.any_of(e["m"], words))
+
+    def stop(found: Column, section: Column, start: Column, span: Column) -> Column:
+        def headed(mark: Column) -> Column:
             met = F.lit(False)
             for name, words in L.CONTENT_ENDS.items():
                 if words:
-                    met = F.when(section == name, T.any_of(line, words)).otherwise(met)
+                    met = F.when(section == name, T.any_of(mark, words)).otherwise(met)
             return met
 
-        def at(line: Column, i: Column) -> Column:
-            no = start + 1 + i
-            pair = (F.trim(line) == "") & F.coalesce(F.trim(F.get(ls, no + 1)) == "", F.lit(False))
-            return F.when(pair, no).when(C.let(F.upper(F.trim(line)), ends), no - 1)
-
-        return F.array_min(F.transform(F.slice(ls, start + 2, F.greatest(span - 1, F.lit(0))), at))
+        inside = F.filter(found, lambda e: (e["no"] > start) & (e["no"] < start + span))
+        return F.array_min(F.transform(inside, lambda e: F.when(e["pair"], e["no"]).when(headed(e["m"]), e["no"] - 1)))
 
     def sections(ls: Column) -> Column:
-        def bounded(s: Column) -> Column:
+        def bounded(s: Column, found: Column) -> Column:
             span = F.least(F.lit(reach), F.size(ls) - s["start"])
-            end = F.coalesce(stop(ls, s["section"], s["start"], span), F.least(s["start"] + span, F.size(ls) - 1))
+            end = F.coalesce(stop(found, s["section"], s["start"], span), F.least(s["start"] + span, F.size(ls) - 1))
             return F.struct(s["section"].alias("section"), s["start"].alias("start"), end.cast("long").alias("end"))
 
-        flagged = F.transform(ls, lambda x: C.let(F.struct(x.alias("x"), F.lower(x).alias("low")), lambda s: F.struct(*[c.alias(n) for n, c in T.content_flags(s["x"], s["low"]).items()])))
-        return F.transform(C.let(flagged, begun), bounded)
+        found = C.let(F.transform(ls, lambda x: F.upper(F.trim(x))), ends)
+        return C.let(found, lambda f: F.transform(begun(ls), lambda s: bounded(s, f)))
+
+    def whole(ls: Column, s: Column) -> Column:
+        body = F.array_join(F.slice(ls, s["start"] + 1, (s["end"] - s["start"] + 1).cast("int")), "\n")
+        return F.struct(s["section"].alias("section"), s["start"].alias("start"), s["end"].alias("end"), body.alias("body"))
 
-    found = texts.select(doc, F.explode(F.transform(F.array(F.split(text, "\n")), lambda ls: F.struct(ls.alias("l"), sections(ls).alias("s")))).alias("_t"))
-    each = found.select(doc, "_t.l", F.explode("_t.s").alias("_s"))
-    body = F.array_join(F.slice("l", F.col("_s.start") + 1, (F.col("_s.end") - F.col("_s.start") + 1).cast("int")), "\n")
-    return each.select(doc, "_s.section", "_s.start", "_s.end", body.alias("body"))
+    return C.let(F.split(text, "\n"), lambda ls: F.transform(sections(ls), lambda s: whole(ls, s)))
 
 
 def split_columns(lines: DataFrame, doc: str, separator: str) -> DataFrame:

@@ -47,7 +47,7 @@ def mixed_resumes(spark: SparkSession, d: str) -> DataFrame:
 def resumes(spark: SparkSession, d: str) -> DataFrame:
     """(candidate_id, text): a résumé for each customer, with a work entry for each of its orders."""
     entries = table(spark, d, "orders").selectExpr("o_custkey", "o_orderkey", f"{_TITLE} AS title", f"{_COMPANY} AS company", f"{_DATES} AS dates")
-    listed = F.array_sort(F.collect_list(F.struct("o_orderkey", F.expr(_ENTRY).alias("entry"))))
+    listed = F.sort_array(F.collect_list(F.struct("o_orderkey", F.expr(_ENTRY).alias("entry"))))
     written = entries.groupBy("o_custkey").agg(F.array_join(F.transform(listed, lambda x: x["entry"]), "\n\n").alias("experience"))
     # Texts grow with the orders, so they are not broadcast: customers alone may be a single task.
     joined = table(spark, d, "customer").join(written.hint("merge"), F.col("o_custkey") == F.col("c_custkey"), "left")
