@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import _MARKED, _QUALITY_SQL, _RANKED_SQL, _marked, _met, _quality, _query, _ranked
+from .catalogue import _MARKED, _QUALITY_SQL, _RANKED_SQL, _marked, _profiles, _quality, _query, _top
 from .functions import lexicons as L
 from .functions import records as R
 from .operators import ranking, records
 from .plans import views as V
 from .sources.tables import table
+from .sources.work import work_table
 
 
 @_query("""WITH e AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN 'Lead' END AS role, CASE WHEN o_orderkey % 5 = 0 THEN 'unknown' ELSE o_orderpriority END AS title, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS company,
@@ -64,11 +65,12 @@ SELECT candidate_id, job_id, list_filter([CASE WHEN n_required > 0 THEN printf('
   list_filter([CASE WHEN len(miss) > 0 THEN printf('{_SAY["missing"]}', len(miss)::VARCHAR, array_to_string(miss[1:5], ', ')) END, CASE WHEN gap < 0 THEN printf('{_SAY["fewer_years"]}', (-gap)::VARCHAR) END, CASE WHEN skill_score < 50 THEN printf('{_SAY["limited"]}', round(skill_score)::BIGINT::VARCHAR) END], lambda x: x IS NOT NULL) AS weaknesses FROM g""")
 def explanation_facts(spark: SparkSession, d: str) -> DataFrame:
     """Strengths and weaknesses of the 20 best candidates of every job."""
-    top = ranking.top_per(_ranked(spark, d, ("job", 20)), "job_id", "overall", "candidate_id", 20).select("candidate_id", "job_id", "skill_score", (F.coalesce("have", F.lit(0)) - F.col("years")).alias("gap"))
-    asked = V.job_skills(spark, d)
-    own = _met(spark, d).withColumn("_own", F.lit(True)).join(top.select("candidate_id").distinct(), "candidate_id")
-    each = top.join(asked, "job_id").join(own, ["candidate_id", "skill"], "left")
-    required, has = F.col("kind") == "required", F.col("_own").isNotNull()
+    candidates, jobs = _profiles(spark, d)
+    candidates = work_table(candidates, "candidates")
+    top = _top(candidates, jobs, "job", 20).select("candidate_id", "job_id", "skill_score", (F.coalesce("have", F.lit(0)) - F.col("years")).alias("gap"))
+    own = candidates.select("candidate_id", "met").dropDuplicates(["candidate_id"])
+    each = top.join(own, "candidate_id", "left").join(V.job_skills(spark, d), "job_id")
+    required, has = F.col("kind") == "required", F.coalesce(F.array_contains("met", F.col("skill")), F.lit(False))
 
     def listed(which):
         return F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("rn", "skill")))), lambda x: x["skill"])
