@@ -53,3 +53,20 @@ def test_percentiles_without_a_sort_of_pairs(spark, sides, monkeypatch, levels):
     monkeypatch.setattr(ranking, "_LEVELS", levels)
     assert rows(ranking.pair_percentiles(*sides)) == want
     assert bool(sorted_pairs) == (levels == 3)
+
+
+def test_scores_of_kinds_in_tasks_are_those_of_columns_to_the_bit(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    left = [(c, ["sql", "go", "c"][: c % 4], c % 9, (None, 0, 1, 3, 12)[c % 5], (None, 0, 3, 7)[c % 4], [{"word": "sql", "places": [0, 1]}, {"word": "go", "places": [1]}] if c % 4 == 3 else None, [float(c), 1.0, 0.3] if c % 3 else None) for c in range(60)]
+    right = [(j, ["sql", "go", "c"][: j % 4], ["x", "go"][: j % 3], ["sql", "go"], j % 8, [0.1 * j, 1.0, 2.0] if j % 2 else None) for j in range(40)]
+    schema = "candidate_id long, met array<string>, n_skills int, have long, n_projects long, found array<struct<word: string, places: array<int>>>, a array<double>"
+    left, right = spark.createDataFrame(left, schema), spark.createDataFrame(right, "job_id long, required array<string>, nice array<string>, words array<string>, years int, b array<double>")
+    pairs = ranking.score_pairs(ranking.count_pairs(left, right)).collect()
+    block = ranking.JobBlock([r.asDict() for r in right.collect()])
+    some = ranking.Candidates(block, pa.RecordBatch.from_struct_array(pa.array([r.asDict(recursive=True) for r in left.collect()], pa.struct([("candidate_id", pa.int64()), ("met", pa.list_(pa.string())), ("n_skills", pa.int32()), ("have", pa.int64()), ("n_projects", pa.int64()), ("found", pa.list_(pa.struct([("word", pa.string()), ("places", pa.list_(pa.int32()))]))), ("a", pa.list_(pa.float64()))]))))
+    which, who = (x.ravel() for x in np.indices((40, 60)))
+    skill, overall = some.scores(which, who, some.count_some(which, who))
+    got = {(int(c), int(j)): (s, o) for c, j, s, o in zip(who, which, skill, overall)}
+    assert len(pairs) == 2400 and got == {(r.candidate_id, r.job_id): (r.skill_score, r.overall) for r in pairs}
