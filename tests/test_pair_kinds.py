@@ -70,3 +70,19 @@ def test_scores_of_kinds_in_tasks_are_those_of_columns_to_the_bit(spark):
     skill, overall = some.scores(which, who, some.count_some(which, who))
     got = {(int(c), int(j)): (s, o) for c, j, s, o in zip(who, which, skill, overall)}
     assert len(pairs) == 2400 and got == {(r.candidate_id, r.job_id): (r.skill_score, r.overall) for r in pairs}
+
+
+def test_replies_are_carried_by_tiles_not_by_pairs(spark, sf, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("pairs left Python one by one")
+
+    monkeypatch.setattr(ranking, "count_pairs", refuse)
+    got = catalogue.score_override(spark, sf)
+    assert got.count() == got.select("candidate_id").distinct().count() * got.select("job_id").distinct().count()
+
+
+def test_tiles_carry_numbers_of_candidates(spark):
+    left = spark.createDataFrame([(1, ["sql"], 1, 2.5, [1.0]), (2, [], 2, None, [float("nan")]), (None, ["sql"], 3, 7.0, None)], "candidate_id long, met array<string>, n_skills int, reply double, a array<double>")
+    right = spark.createDataFrame([(7, ["sql"], [], ["sql"])], "job_id long, required array<string>, nice array<string>, words array<string>")
+    pairs = ranking.expand(ranking.pair_kinds(left, right, ("skills",), carry=("reply",)), lambda k: k["required"], "reply")
+    assert sorted(map(repr, ((r.candidate_id, r.reply, r.value) for r in pairs.collect()))) == sorted(map(repr, [(1, 2.5, 1), (2, None, None), (None, 7.0, 1)]))
